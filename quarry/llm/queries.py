@@ -31,10 +31,9 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grades: 0 not toxic, 1 toxic, 2 toxic and of low quality, as far as the labels tell."""
+    """Labels say toxic or not; the toxic ones are split in three severity grades."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    grade = F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1))
-    model = toxicity.fit(docs, labels.select("doc_id", grade.alias("grade")))
+    model = toxicity.fit(docs, labels, grade_col="toxic", split_top=3)
     return toxicity.score(docs, model).select(F.col("id").alias("doc_id"), "severity", "toxic", "probabilities")
 
 

@@ -1,19 +1,24 @@
 """Toxicity by cumulative-link ordinal regression: P(grade <= k) = sigmoid(theta_k - w.x), one w for all thresholds.
 
-x marks which of the selected words a text holds. The words are those whose log odds between grade 0 and above stand
-out among the fit's rows; weights and ordered thresholds are then fitted together with an L2 penalty. The output
-is the probability of each grade, the expected severity and whether grade 1 or more is likelier than not.
+x marks which of the selected features a text holds: words (lower-cased) and the first 3 to 7 letters of words. Features are
+selected whose log odds between grade 0 and above stand out among the fit's rows; weights and ordered thresholds are then
+fitted together with an L2 penalty. The output is the probability of each grade, the expected severity and whether
+grade 1 or more is likelier than not.
 
-The fit reads a bounded sample of labelled rows (``fit_rows``, those with the smallest hashes of the id, copies of one text once);
-prediction covers every whole text.
+Where labels only say toxic or not, ``split_top`` cuts the top grade into severity grades of equal size, by the score of a first fit.
 
-Edge cases: null and empty texts hold no word and get the base rate; labelled rows with a null grade or id or text are left
+The fit reads a bounded sample of labelled rows (``fit_rows``, those with the smallest hashes of the id, copies of one text once)
+and at most ``MAX_FEATURES`` features; prediction covers every whole text.
+
+Edge cases: null and empty texts hold no feature and get the base rate; labelled rows with a null grade or id or text are left
 out; without labelled rows, or with one grade alone, everything gets that grade (0 if none); an empty table gives no rows.
+Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,9 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import written
+
 FIT_ROWS = 10_000
-#: A word is selected if it is in so many rows and its log odds ratio is so many standard errors from 0.
-MIN_ROWS, MIN_Z = 5, 4.0
+#: A feature is selected if it is in so many rows and its log odds ratio is so many standard errors from 0.
+MIN_ROWS, MIN_Z, MAX_FEATURES = 5, 4.5, 5_000
+#: Features a task counts before it passes the counts on, and words it remembers the features of.
+FLUSH, CACHE = 200_000, 400_000
 L2, STEPS = 0.2, 400
 _WORD = re.compile(r"\w+")
 
@@ -33,25 +42,37 @@ def words(text: str | None) -> set[str]:
     return set(_WORD.findall(text.lower())) if text else set()
 
 
+def features(word: str) -> list[str]:
+    return [word, *[f"{word[:k]}*" for k in range(3, min(8, len(word)))]]
+
+
 @dataclass(frozen=True)
 class Model:
     weights: dict[str, float]
     thresholds: list[float]
 
-    def grades(self, text: str | None) -> np.ndarray:
-        """Probability of each grade."""
-        score = sum(self.weights[w] for w in self.weights.keys() & words(text))
-        upto = [1 / (1 + np.exp(min(500.0, score - t))) for t in self.thresholds]
-        return np.diff(np.array([0.0, *upto, 1.0]))
+
+class _Held(dict):
+    """Word to those of its features that were selected."""
+
+    def __init__(self, selected: dict[str, float]):
+        self.selected = selected
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = got = tuple(f for f in features(word) if f in self.selected)
+        return got
+
+    def of(self, text: str | None) -> set[str]:
+        return {f for got in map(self.__getitem__, words(text)) if got for f in got}
 
 
-def _select(rows: np.ndarray, feats: np.ndarray, n_feats: int, high: np.ndarray) -> np.ndarray:
-    a = np.bincount(feats, high[rows], n_feats)
-    b = np.bincount(feats, 1.0 - high[rows], n_feats)
-    n_high, n_low = high.sum(), (1 - high).sum()
-    cells = [a + 0.5, n_high - a + 0.5, b + 0.5, n_low - b + 0.5]
-    z = np.log(cells[0] * cells[3] / (cells[1] * cells[2])) / np.sqrt(sum(1 / c for c in cells))
-    return np.flatnonzero((a + b >= MIN_ROWS) & (np.abs(z) >= MIN_Z))
+def grades(model: Model, held: _Held, text: str | None) -> np.ndarray:
+    """Probability of each grade."""
+    score = sum(model.weights[f] for f in held.of(text))
+    upto = [1 / (1 + np.exp(min(500.0, score - t))) for t in model.thresholds]
+    return np.diff(np.array([0.0, *upto, 1.0]))
 
 
 def solve(rows: np.ndarray, cols: np.ndarray, n_cols: int, grade: np.ndarray, n_grades: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,34 +102,67 @@ def solve(rows: np.ndarray, cols: np.ndarray, n_cols: int, grade: np.ndarray, n_
     return p[:n_cols], p[n_cols] + np.r_[0.0, np.cumsum(np.exp(p[n_cols + 1 :]))]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", fit_rows: int = FIT_ROWS) -> Model:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, rows with it, of those with a grade over 0), added up by task as far as memory allows."""
+
+    def flush(rows: Counter, high: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array(list(rows.values()), pa.int64()), pa.array([high[f] for f in rows], pa.int64())], ["feature", "n", "high"])
+
+    rows, high = Counter(), Counter()
+    for b in batches:
+        for grade, text in zip(b.column(0).to_pylist(), b.column(1)):
+            held = {f for w in words(text.as_py()) for f in features(w)}
+            rows.update(held)
+            if grade:
+                high.update(held)
+            if len(rows) > FLUSH:
+                yield flush(rows, high)
+                rows, high = Counter(), Counter()
+    yield flush(rows, high)
+
+
+def _selected(sample: DataFrame) -> list[str]:
+    n, high = sample.agg(F.count("*"), F.sum((F.col("grade") > 0).cast("long"))).first()
+    counts = sample.select("grade", "text").mapInArrow(_counted, "feature string, n long, high long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("high").alias("high"))
+    a, b = F.col("high") + 0.5, F.col("n") - F.col("high") + 0.5
+    c, d = high - F.col("high") + 0.5, (n - high) - (F.col("n") - F.col("high")) + 0.5
+    z = F.abs(F.log(a * d / (b * c)) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d))
+    best = counts.where(F.col("n") >= MIN_ROWS).withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES)
+    return sorted(r["feature"] for r in best.select("feature").collect())
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", split_top: int = 1, fit_rows: int = FIT_ROWS) -> Model:
     """labels: (id_col, grade_col int from 0)."""
     known = labels.select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade")).where("id is not null and grade is not null")
     some = known.orderBy(F.xxhash64(F.lit("fit"), "id"), "id", "grade").limit(fit_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(some), "id")
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sample = written(rows.groupBy(F.xxhash64("text").alias("h")).agg(F.max("grade").alias("grade"), F.min("text").alias("text")).select("grade", "text"))
+    seen = sorted(r["grade"] for r in sample.select("grade").distinct().collect())
+    if len(seen) < 2:
+        only = seen[0] if seen else 0
+        return Model({}, [-50.0] * only + [50.0])
+    names = _selected(sample)
+    place = {f: i for i, f in enumerate(names)}
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(place)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array([sorted(words(t)) for t in texts], pa.list_(pa.string()))], ["grade", "words"])
-
-    once = rows.withColumn("h", F.xxhash64("text")).groupBy("h", "grade").agg(F.min("text").alias("text")).select("grade", "text")
-    got = once.mapInArrow(features, "grade int, words array<string>").toArrow()
-    grade = got.column("grade").to_numpy().astype(np.int64)
-    if not len(grade) or grade.max() == grade.min():
-        only = int(grade[0]) if len(grade) else 0
-        return Model({}, [-50.0] * only + [50.0] * max(1, 1 if only == 0 else 0))
-    lists = got.column("words").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    coded = lists.flatten().dictionary_encode()
-    row = np.repeat(np.arange(len(grade)), np.diff(lists.offsets.to_numpy()))
-    feat, vocabulary = coded.indices.to_numpy(), coded.dictionary
-    chosen = _select(row, feat, len(vocabulary), (grade > 0).astype(float))
-    column = np.full(len(vocabulary), -1)
-    column[chosen] = np.arange(len(chosen))
-    use = column[feat] >= 0
-    w, theta = solve(row[use], column[feat[use]], len(chosen), grade, int(grade.max()) + 1)
-    return Model({vocabulary[int(i)].as_py(): float(x) for i, x in zip(chosen, w)}, [float(t) for t in theta])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(place[f] for f in held.of(t.as_py())) for t in b.column(1)], pa.list_(pa.int32()))], ["grade", "marks"])
+
+    got = sample.mapInArrow(marked, "grade int, marks array<int>").toArrow().combine_chunks()
+    grade, marks = got.column("grade").to_numpy().astype(np.int64), got.column("marks").to_pylist()
+    order = sorted(range(len(grade)), key=lambda i: (grade[i], marks[i]))  # partitions come in any order
+    grade, marks = grade[order], [marks[i] for i in order]
+    row = np.repeat(np.arange(len(grade)), [len(m) for m in marks])
+    col = np.array([i for m in marks for i in m], np.int64)
+    w, theta = solve(row, col, len(names), grade, int(grade.max()) + 1)
+    if split_top > 1:
+        top = grade == grade.max()
+        first = np.bincount(row, w[col], len(grade))
+        cuts = np.quantile(first[top], np.arange(1, split_top) / split_top)
+        grade = grade + np.where(top, np.searchsorted(cuts, first, side="left"), 0)
+        w, theta = solve(row, col, len(names), grade, int(grade.max()) + 1)
+    return Model(dict(zip(names, map(float, w))), [float(t) for t in theta])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,8 +172,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
+        held = _Held(model.weights)
         for b in batches:
-            p = [model.grades(t.as_py()) for t in b.column(1)]
+            p = [grades(model, held, t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(p, pa.list_(pa.float64())), pa.array([float(x @ np.arange(len(x))) for x in p], pa.float64()), pa.array([bool(x[0] <= 0.5) for x in p], pa.bool_())],
                 ["id", "probabilities", "severity", "toxic"],
