@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import content_hash, words
 from quarry.operators.ranking import context_budget
+from quarry.sources.scratch import stored
 
 #: The published defaults of Okapi BM25, candidates of the lexical leg, most results, budget of a prompt.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+LENGTH = "\0"
 LEXICAL_POOL, MOST_RESULTS, CONTEXT_CHARS = 40, 40, 8000
 
 
@@ -34,10 +36,17 @@ def raw_idf(n: Column, df: Column) -> Column:
 
 
 def index(docs: DataFrame, id_col: str, text_col: str, tokenize: Callable[[Column], Column] = words) -> Index:
-    """Document frequencies come from distinct terms within each row, so the only shuffle is that of the (term, count) pairs."""
-    tokens = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), tokenize(F.col(text_col)).alias("tokens"))
-    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    size = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    """One pass over the texts. Document frequencies come from distinct terms within each row, so the only shuffle is that of
+    (term, count) pairs. The vocabulary is stored, as each query reads it.
+
+    The generator keeps later filters from repeating the tokenizer. A document's length travels as one more term, marked by LENGTH.
+    """
+    tokens = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.explode(F.array(tokenize(F.col(text_col)))).alias("tokens"))
+    each = F.array_append(F.array_distinct("tokens"), F.concat(F.lit(LENGTH), F.size("tokens").cast("string")))
+    counts = stored(tokens.select(F.explode(each).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+    length = F.substring("term", 2, 20).cast("long")
+    size = counts.where(F.col("term").startswith(LENGTH)).agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n"), (F.sum(length * F.col("df")) / F.sum("df")).alias("avgdl"))
+    df = counts.where(~F.col("term").startswith(LENGTH))
     mean = df.crossJoin(F.broadcast(size)).agg(F.avg(raw_idf(F.col("n"), F.col("df"))).alias("avg_idf"))
     return Index(tokens, df, size.crossJoin(mean))
 
@@ -60,13 +69,15 @@ def bm25(ix: Index, query_terms: Sequence[str]) -> DataFrame:
     if not terms:
         return ix.docs.select("id", "text", F.lit(0.0).alias("score")).where("false")
     weights = idf(ix, terms).agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf"))
-    both = ix.docs.where(F.arrays_overlap("tokens", F.array(*map(F.lit, terms)))).crossJoin(F.broadcast(weights)).crossJoin(F.broadcast(ix.stats.select("avgdl")))
-    both = both.withColumn("norm", K1 * (1 - B + B * F.size("tokens") / F.col("avgdl")))
-    times = lambda t: F.size(F.filter("tokens", lambda x: x == t))
+    times = [(F.size("tokens") - F.size(F.array_remove("tokens", t))).alias(f"tf{i}") for i, t in enumerate(terms)]
+    found = ix.docs.where(F.arrays_overlap("tokens", F.array(*map(F.lit, terms))))
+    counted = found.select("id", "text", F.explode(F.array(F.struct(F.size("tokens").alias("dl"), *times))).alias("c")).select("id", "text", "c.*")
+    both = counted.crossJoin(F.broadcast(weights)).crossJoin(F.broadcast(ix.stats.select("avgdl")))
+    norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     score = F.lit(0.0)
-    for t in terms:
-        tf = times(t)
-        score = score + list(query_terms).count(t) * F.coalesce(F.try_element_at("idf", F.lit(t)), F.lit(0.0)) * tf * (K1 + 1) / (tf + F.col("norm"))
+    for i, t in enumerate(terms):
+        tf = F.col(f"tf{i}")
+        score = score + list(query_terms).count(t) * F.coalesce(F.try_element_at("idf", F.lit(t)), F.lit(0.0)) * tf * (K1 + 1) / (tf + norm)
     return both.select("id", "text", score.alias("score")).where(F.col("score") > 0)
 
 
