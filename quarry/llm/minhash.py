@@ -7,10 +7,13 @@ bits. Steps:
 
 1. one pass over the texts: set size, 128-bit set fingerprint, band keys, packed signature;
 2. equal sets collapse to the smallest id;
-3. in each band bucket every member is paired with the smallest id only; estimates far below the threshold
-   drop out; the rest are confirmed on full shingle sets, and confirmed links give components;
-4. pairs in one bucket whose components still differ are the only ones that can add a link; they are estimated and
-   confirmed likewise, and components are taken again.
+3. in each band bucket every member is paired with one center only, the member whose buckets are fullest; estimates far
+   below the threshold drop out; the rest are confirmed on full shingle sets, and confirmed links give components;
+4. only members of one bucket in different components can still add a link. A linked pair must share one of the rarest shingles of
+   each (the prefix filter: in any fixed order of all shingles, two sets of similarity s share one of their first
+   n - ceil(s n) + 1, at places that leave room for the rest of the overlap). Pairs that do, in different components, are
+   estimated and confirmed likewise, and components are taken again. The order is by a sketch of shingle counts of fixed size;
+   a coarse sketch costs time, never a link.
 
 A bucket of many copies so costs one pair a member, not all pairs, and no group meets in one task's memory: pairs
 are confirmed in a stream sorted by one end, which is salted.
@@ -41,6 +44,8 @@ SIG_WORDS = HASHES * BITS // 64
 SLACK = 0.24
 #: Pairs that one salted run of an end's pairs holds about.
 RUN = 512
+#: Counters of the sketch that orders shingles from rare to frequent; as a broadcast it has this size whatever the input.
+COUNTERS = 1 << 20
 #: Distinct words that a task remembers the hashes of; then it starts afresh.
 CACHE = 400_000
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -176,6 +181,60 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return runs.select("center", "member", "text").mapInPandas(_confirm(n, percent), "a long, b long")
 
 
+def _slot(shingles: np.ndarray) -> np.ndarray:
+    return (_mixed(shingles * _M) >> np.uint64(44)).astype(np.int64)
+
+
+def shingle_counts(texts: DataFrame, n: int) -> np.ndarray:
+    """How often each counter's shingles occur in the texts. Each task adds up its own; what is gathered has COUNTERS numbers."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache, sums = _WordHash(), np.zeros(COUNTERS, np.int64)
+        for pdf in batches:
+            for text in pdf["text"]:
+                np.add.at(sums, _slot(shingle_hashes(text, n, cache)), 1)
+        some = np.flatnonzero(sums)
+        yield pd.DataFrame({"slot": some, "n": sums[some]})
+
+    got = texts.select("text").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    sums = np.zeros(COUNTERS, np.int64)
+    sums[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    return sums
+
+
+def prefixes(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(id, size, at, shingle): the rarest shingles of each text, at their places, as many as the prefix filter needs."""
+    order = texts.sparkSession.sparkContext.broadcast(shingle_counts(texts, n))
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = _WordHash()
+        for pdf in batches:
+            out = []
+            for i, text in zip(pdf["id"], pdf["text"]):
+                s = shingle_hashes(text, n, cache)
+                first = s[np.lexsort((s, order.value[_slot(s)]))][: len(s) - -(-percent * len(s) // 100) + 1]
+                out.append(pd.DataFrame({"id": i, "size": len(s), "at": np.arange(len(first)), "shingle": first.view(np.int64)}))
+            yield pd.concat(out) if out else pd.DataFrame({"id": [], "size": [], "at": [], "shingle": []}).astype("int64")
+
+    return texts.select("id", "text").mapInPandas(take, "id long, size long, at long, shingle long")
+
+
+def across_components(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a prefix shingle with room for the overlap. rows: prefixes with component.
+
+    In each shingle the largest component is the right side alone, so that a large group isn't tried against itself.
+    """
+    sizes = rows.groupBy("shingle", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("shingle").agg(F.count("*").alias("k"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("k > 1")
+    rest = written(rows.join(mixed.select("shingle", "largest"), "shingle"))
+    left = rest.where("component <> largest").select("shingle", *[F.col(c).alias(f"{c}1") for c in ("id", "size", "at", "component")])
+    right = rest.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("id", "size", "at", "component")])
+    room = F.least(F.col("size1") - F.col("at1"), F.col("size2") - F.col("at2"))
+    fits = ((100 + percent) * room >= percent * (F.col("size1") + F.col("size2"))) & (100 * F.least("size1", "size2") >= percent * F.greatest("size1", "size2"))
+    met = left.join(right, "shingle").where((F.col("component1") != F.col("component2")) & fits)
+    return met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of docs."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -185,8 +244,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = sets.select("id", "set_a", "set_b").join(classes, ["set_a", "set_b"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     reps = sets.groupBy("set_a", "set_b").agg(F.min(F.struct("id", "sig", "bands")).alias("rep"))
     bands = written(reps.select("rep.id", "rep.sig", F.explode("rep.bands").alias("band")))
-    buckets = bands.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("band", "a")
-    shared = written(bands.join(buckets, "band"))
+    buckets = bands.groupBy("band").agg(F.count("*").alias("full")).where("full > 1")
+    met = written(bands.join(buckets, "band"))
+    weight = met.groupBy("id").agg(F.sum("full").alias("weight"))
+    # A center stands amid its near-copies: the fuller its buckets, the likelier. Ties go to the smaller id.
+    shared = met.join(weight, "id")
+    centers = shared.groupBy("band").agg(F.min(F.struct((-F.col("weight")).alias("w"), "id")).alias("c")).select("band", F.col("c.id").alias("a"))
+    shared = written(met.join(centers, "band").select("band", "id", "sig", "a"))
     sigs = shared.groupBy("id").agg(F.first("sig").alias("sig"))
     floor = percent / 100 - SLACK
 
@@ -201,10 +265,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # What can still join two components: members of one bucket in different ones.
     tagged = written(shared.select("band", "id", "sig").join(first, "id", "left").withColumn("component", F.coalesce("component", "id")))
     mixed = tagged.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("band")
-    rest = tagged.join(mixed, "band")
-    left, right = (rest.select("band", F.col("id").alias(x), F.col("sig").alias(f"s{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
-    across = left.join(right, "band").where("ca < cb").where(estimate(F.col("sa"), F.col("sb")) >= floor)
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    rest = written(tagged.join(mixed, "band").groupBy("id").agg(F.first("component").alias("component")))
+    # Texts of documents that no bucket leaves open aren't read again.
+    rare = prefixes(texts.join(rest.select("id"), "id"), n_words, percent).join(rest, "id")
+    both = across_components(rare, percent)
+    likely = both.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+    across = likely.where(estimate(F.col("sa"), F.col("sb")) >= floor).select("a", "b")
     more = written(confirmed(written(across), texts, n_words, percent))
 
     final = components(links.union(more).union(same))
