@@ -129,6 +129,8 @@ def build(vectors: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray, i
         to, frm = kept.ravel(), np.repeat(nodes, DEGREE)
         ok = to >= 0
         to, frm = to[ok], frm[ok]
+        if not len(to):  # a shard of one vector
+            continue
         by = np.argsort(to, kind="stable")
         to, frm = to[by], frm[by]
         first = np.r_[True, to[1:] != to[:-1]]

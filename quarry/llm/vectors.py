@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import components, partitions, written
 
 PER_VECTOR, HEAVY, CHUNK = 20, 1024, 512
+LEAST_DIM = 32
 #: Heavy buckets up to which their table is broadcast.
 BROADCAST_BUCKETS = 50_000
 _SEED = 7
@@ -58,6 +59,8 @@ def threshold(dim: int, size: int) -> float:
 
 def decode(units: np.ndarray, size: int) -> list[np.ndarray]:
     """Ids of all filters over the threshold, for each unit vector."""
+    # Short vectors are padded with zeros: the code's directions are only spread evenly in a space of some dimensions.
+    units = np.pad(units, ((0, 0), (0, max(0, LEAST_DIM - units.shape[1]))))
     dim = units.shape[1]
     rotation, one, two = code(dim, size)
     x = units @ rotation
