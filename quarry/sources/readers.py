@@ -25,7 +25,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def relative(root: str) -> Column:
     """Path of the file a row came from, below ``root``."""
-    tail = F.lit(root.rstrip("/").split("://", 1)[-1].split(":", 1)[-1].lstrip("/") + "/")
+    tail = root.rstrip("/").split("://", 1)[-1].split(":", 1)[-1].lstrip("/") + "/"
     return F.substring_index(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")), tail, -1)
 
 
