@@ -43,7 +43,7 @@ def exposition(metrics: DataFrame, prefix: str = "quarry") -> DataFrame:
     rows = metrics.select(F.lit(0).alias("part"), F.struct("method", "path", F.col("status").cast("string")).alias("k"), _metric(f"{prefix}_requests_total", ["method", "path", "status"], F.col("n").cast("string")).alias("line"))
     per = metrics.groupBy("path").agg(F.sum("total_ms").alias("ms"), F.sum("n_slow").alias("slow"))
     key = F.struct(F.lit("").alias("method"), "path", F.lit("").alias("status"))
-    rows = rows.union(per.select(F.lit(1), key, _metric(f"{prefix}_request_duration_ms_total", ["path"], F.format_number("ms", "0.0"))))
+    rows = rows.union(per.select(F.lit(1), key, _metric(f"{prefix}_request_duration_ms_total", ["path"], F.format_string("%.1f", F.col("ms").cast("double")))))
     rows = rows.union(per.where("slow > 0").select(F.lit(2), key, _metric(f"{prefix}_slow_requests_total", ["path"], F.col("slow").cast("string"))))
     return rows.orderBy("part", "k").select("line")
 
@@ -64,7 +64,7 @@ def update_queue(log: DataFrame, only_marked: bool = True) -> DataFrame:
     lines = F.filter(F.array(
         F.concat(F.lit("## ["), F.col("id").cast("string"), F.lit("] "), F.substring("query", 1, 100)), F.lit(""),
         F.concat(F.lit("- 提问人："), or_default(F.col("username"), "（未登录）"), F.lit(" ｜ IP："), "ip", F.lit(" ｜ "), F.col("created_at").cast("string")),
-        F.concat(F.lit("- 检索结果："), F.col("sources_count").cast("string"), F.lit(" 条来源，最高相关度 "), F.format_number("top_score", "0.000"), F.lit("，"), F.when(F.coalesce("answered", F.lit(False)), "已解答").otherwise("**没答上来**")),
+        F.concat(F.lit("- 检索结果："), F.col("sources_count").cast("string"), F.lit(" 条来源，最高相关度 "), F.format_string("%.3f", F.col("top_score").cast("double")), F.lit("，"), F.when(F.coalesce("answered", F.lit(False)), "已解答").otherwise("**没答上来**")),
         F.when(fb != "", F.concat(F.lit("- 用户评价：**"), F.coalesce(F.try_element_at(rating, fb), fb), F.lit("**"), F.when(or_default(F.col("feedback_reason"), "") != "", F.concat(F.lit(" —— 「"), "feedback_reason", F.lit("」"))).otherwise(""))),
         F.when(or_default(F.col("answer"), "") != "", F.concat(F.lit("\n**当时系统的回答：**\n\n"), quoted)),
         F.when(F.size(digest) > 0, F.concat(F.lit("- 当时给出的来源：\n"), F.array_join(listed, "\n"))), F.lit(""),

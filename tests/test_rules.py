@@ -176,6 +176,16 @@ def test_readers_and_writers(spark, tmp_path):
     assert writers.exposition(metrics).first()["line"] == 'quarry_requests_total{method="GET",path="/a",status="200"} 2'
 
 
+def test_update_queue(spark, tmp_path):
+    kind = "id long, query string, username string, ip string, created_at timestamp_ntz, sources_count int, top_score double, answered boolean, feedback string, feedback_reason string, answer string, sources_digest string, marked boolean"
+    digest = json.dumps([{"source": "s", "score": 0.5, "preview": "p"}])
+    log = spark.createDataFrame([(1, "why", "", "1.1.1.1", None, 2, 0.25, False, "unsolved", "r", "a\n\nb", digest, True), (2, "x", "u", "i", None, 0, 0.0, None, "", "", "", "", False)], kind)
+    got = writers.update_queue(log.withColumn("created_at", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))).collect()
+    assert len(got) == 1 and "## [1] why" in got[0]["section"] and "0.250" in got[0]["section"] and "> a\n>\n> b" in got[0]["section"] and "    - [s] 0.5｜p" in got[0]["section"]
+    writers.write_queue(log, str(tmp_path / "q"))
+    assert spark.read.text(str(tmp_path / "q")).first()["value"] == writers.QUEUE_TITLE
+
+
 def test_mutations(spark):
     now = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     rows = spark.createDataFrame([(1, 7, "a", "x"), (2, 8, "b", "y")], "id long, user_id long, name string, note string")
