@@ -88,6 +88,34 @@ def test_vector_edge_cases(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def _planted(n, dim, cosine, seed):
+    """n random unit vectors, and for each another at the given cosine."""
+    r = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    u, x = unit(r.standard_normal((n, dim))), r.standard_normal((n, dim))
+    return u, cosine * u + np.sqrt(1 - cosine**2) * unit(x - (x * u).sum(axis=1, keepdims=True) * u)
+
+
+@pytest.mark.parametrize("rows", [10_000, 100_000, 1_000_000])
+def test_vectors_at_the_limit_share_a_filter(rows):
+    """The code of a table of so many distinct vectors, on pairs at exactly 0.98."""
+    u, w = _planted(10_000, 64, 0.98, rows)
+    size = int(np.ceil(np.sqrt(rows)))
+    assert (vectors.decode(u, size)[:, :, None] == vectors.decode(w, size)[:, None, :]).any(axis=(1, 2)).all()
+
+
+def test_planted_near_vectors_by_brute_force(spark):
+    u, w = _planted(4_000, 64, 0.981, 3)
+    v = np.concatenate([u, w, _planted(1_000, 64, 0.97, 4)[1]])
+    label = np.arange(len(v)) % 2_000 % 3
+    near = (v @ v.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    assert near.sum() == 8_000
+    df = spark.createDataFrame([(i, x.tolist(), int(k)) for i, (x, k) in enumerate(zip(v, label))], "vec_id long, embedding array<double>, label int")
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(df).collect()}
+    assert got == {i: (int(near[i].sum()), int(min([i, *np.flatnonzero(near[i])]))) for i in range(len(v))}
+
+
 def test_mixing(spark, docs, odd):
     got = mixing.mix(docs).toPandas()
     base = docs.toPandas()
