@@ -1,7 +1,7 @@
 """Main-text extraction by site style trees.
 
 The pages of one host are merged into a style tree: a node is the path of block elements from the root, each with its
-classes. Two importances are taken from all pages of the host:
+classes. Two importances are taken from the host's distinct pages (those of the same texts count once, however many rows):
 
 * presentation: entropy of the ways the node's children are laid out, relative to the number of pages;
 * content: mean over the node's distinct texts of 1 - log(pages with the text) / log(pages), so that texts found on
@@ -10,8 +10,8 @@ classes. Two importances are taken from all pages of the host:
 They are combined as in the published method, (1 - G) * presentation + G * content with G = 0.9, and a branch below ``NOISE`` is cut
 from each page (``INSIDE`` within article or main elements). Elements whose tag, class, id or role says that
 they are navigation, advertising, a form, comments and so on are cut whatever their importance; that also serves hosts with few
-pages, for which importance says nothing (it is 1 for a host's only page). Where a page has an article or main
-element with text, text outside it is dropped.
+pages, for which importance says nothing (it is 1 for a host's only page). A page that would lose all its text to the
+importances keeps it. Where a page has an article or main element with text, text outside it is dropped.
 
 Text: character references are decoded, white space in a block becomes one space, blocks are joined by one newline.
 
@@ -36,6 +36,8 @@ from quarry.llm.common import written
 G, NOISE, INSIDE = 0.9, 0.45, 0.1
 #: Pages a host must have for its importances to count.
 LEAST_PAGES = 8
+#: Pages a task remembers so as not to take an equal one again; beyond it equal ones meet in the shuffle.
+KNOWN_PAGES = 100_000
 #: Hosts whose cut branches are broadcast (some hundred bytes each); beyond it the join shuffles the pages.
 BROADCAST_HOSTS = 50_000
 
@@ -167,37 +169,40 @@ def main_text(html: str | None, cut: frozenset[str] | set[str] = frozenset()) ->
     blocks = [b for b in Page(html).blocks if not b[1]]
     if cut:
         known = {p: not cut.isdisjoint(_prefixes(p)) for p in {b[0] for b in blocks}}
-        blocks = [b for b in blocks if not known[b[0]]] or [b for b in blocks if b[2]]
+        blocks = [b for b in blocks if not known[b[0]]] or blocks
     inside = [b for b in blocks if b[2]]
     return "\n".join(b[3] for b in inside or blocks)
 
 
-STATS = "host string, path string, kind int, hash long"
+STATS = "host string, page long, nodes array<struct<path:string,kind:int,hash:long>>"
 
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each page its distinct (path, text) of kind 0 and (path, layout of children) of kind 1."""
-    h = xxhash.xxh3_64_intdigest
+    """For each page the hash of its texts, and its distinct (path, text) of kind 0 and (path, layout of children) of kind 1."""
+    h = lambda x: xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace")) - 2**63
+    done: set[tuple[str, int]] = set()
     for b in batches:
-        hosts, paths, kinds, hashes = [], [], [], []
+        hosts, keys, nodes = [], [], []
         for url, html in zip(b.column(0).to_pylist(), b.column(1)):
             html = html.as_py()
-            if not html:
+            if not html or (same := (host_of(url), h(html))) in done:
                 continue
-            page, host = Page(html), host_of(url)
-            rows = {(p, 0, h(t.encode("utf-8", "replace")) - 2**63) for p, cut, _, t in page.blocks if not cut}
-            rows |= {(p, 1, h("\0".join(c).encode("utf-8", "replace")) - 2**63) for p, c in page.children.items()}
-            for p, kind, value in rows:
-                hosts.append(host)
-                paths.append(p)
-                kinds.append(kind)
-                hashes.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(kinds, pa.int32()), pa.array(hashes, pa.int64())], ["host", "path", "kind", "hash"])
+            if len(done) < KNOWN_PAGES:
+                done.add(same)
+            page = Page(html)
+            rows = {(p, 0, h(t)) for p, cut, _, t in page.blocks if not cut}
+            rows |= {(p, 1, h("\0".join(c))) for p, c in page.children.items()}
+            hosts.append(same[0])
+            keys.append(h("\0".join(t for _, cut, _, t in page.blocks if not cut)))
+            nodes.append([{"path": p, "kind": k, "hash": x} for p, k, x in sorted(rows)])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(nodes, pa.list_(pa.struct([("path", pa.string()), ("kind", pa.int32()), ("hash", pa.int64())])))], ["host", "page", "nodes"])
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, path, pages, presentation, content, importance) of each node of each host's tree."""
     seen = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_stats, STATS)
+    # Of pages with the same texts in other markup, the least markup stands for all.
+    seen = seen.groupBy("host", "page").agg(F.min("nodes").alias("nodes")).select("host", F.inline("nodes"))
     values = written(seen.groupBy("host", "path", "kind", "hash").agg(F.count("*").alias("n")))
     size = values.where("kind = 1 and path = ''").groupBy("host").agg(F.sum("n").alias("pages"))
     each = values.groupBy("host", "path", "kind").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.log("n")).alias("log_n"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"))

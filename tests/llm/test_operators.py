@@ -225,6 +225,21 @@ def test_style_tree_drops_what_pages_share(spark):
     assert all(r["text"] == f"Story number {r['id']} about {r['id']}\nMore of {r['id']}" for r in html.extract(pages).collect())
 
 
+def _texts(spark, htmls, host="http://c.example/"):
+    pages = spark.createDataFrame([(i, f"{host}{i}", x) for i, x in enumerate(htmls)], "page_id long, url string, html string")
+    got = {r["id"]: r["text"] for r in html.extract(pages).collect()}
+    return [got[i] for i in range(len(htmls))]
+
+
+def test_copies_of_pages_keep_their_text(spark):
+    """Groups of copies without an article element, and repeated rows alone."""
+    page = "<html><body><div class='strip'><p>Same words on every page</p></div><div class='story'><p>Story {i}</p><p>More of {i}</p></div></body></html>"
+    for n, copies in ((32, 4), (96, 12), (1, 8)):
+        want = [(i, page.replace("{i}", str(i))) for i in range(n // copies or 1) for _ in range(copies)]
+        strip = "" if n > 1 else "Same words on every page\n"
+        assert _texts(spark, [x for _, x in want]) == [f"{strip}Story {i}\nMore of {i}" for i, _ in want]
+
+
 def test_language_on_held_out(spark):
     got = queries.op9_language(spark, FOLDER).where("held_out").join(spark.read.parquet(f"{FOLDER}/documents.parquet"), "doc_id").toPandas()
     assert (got["lang_pred"] == got["lang"]).mean() > 0.95 and got["score"].between(0, 1).all()
