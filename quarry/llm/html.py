@@ -8,9 +8,10 @@ classes. Two importances are taken from the host's distinct pages (those of the
   many pages count little.
 
 They are combined as in the published method, (1 - G) * presentation + G * content with G = 0.9, and a branch below ``NOISE`` is cut
-from each page (``INSIDE`` within article or main elements). Elements whose tag, class, id or role says that
-they are navigation, advertising, a form, comments and so on are cut whatever their importance; that also serves hosts with few
-pages, for which importance says nothing (it is 1 for a host's only page). A page that would lose all its text to the
+from each page (``INSIDE`` within article or main elements). Elements whose tag or role says that
+they are navigation, advertising, a form and so on are cut whatever their importance; that also serves hosts with few
+pages, for which importance says nothing (it is 1 for a host's only page). Elements whose class or id has such a word are cut unless
+they hold the page's main text (:meth:`Page._judge`): what a layout or a wrapper holds is left to the importances. A page that would lose all its text to the
 importances keeps it. Where a page has an article or main element with text, text outside it is dropped.
 
 Text: character references are decoded, white space in a block becomes one space, blocks are joined by one newline.
@@ -21,6 +22,7 @@ its own; repeated rows are extracted alike; an empty table gives no rows. Other
 
 from __future__ import annotations
 
+import heapq
 import html as _html
 import re
 from collections.abc import Iterator
@@ -63,11 +65,11 @@ _ATTR = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 _WORDS = re.compile(r"[a-z]+")
 
 
-def _style(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
-    """(the element's name in paths, whether its tag or attributes say that it is not main text)."""
+def _style(tag: str, attrs: str, inside: bool) -> tuple[str, bool, bool]:
+    """(the element's name in paths, whether its tag or role says that it is not main text, whether its class or id does)."""
     cut = tag in CUT or (tag in CUT_OUTSIDE_ARTICLE and not inside)
     if "=" not in attrs and "hidden" not in attrs:
-        return tag, cut
+        return tag, cut, False
     classes, words = "", set()
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
@@ -77,19 +79,19 @@ def _style(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
             words.update(_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
         elif name == "role" and value.lower() in CUT_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             cut = True
-    if tag not in ("html", "body", "article", "main") and words & CUT_WORDS:
-        cut = True
-    return f"{tag}.{classes}" if classes else tag, cut
+    return f"{tag}.{classes}" if classes else tag, cut, not words.isdisjoint(CUT_WORDS)
 
 
 class Page:
-    """blocks: (path, cut by its own words, within article or main, text); children: path -> hash of its children's names."""
+    """blocks: (path, cut by its own tags or words, within article or main, text); children: path -> hash of its children's names."""
 
     def __init__(self, html: str):
         self.blocks: list[tuple[str, bool, bool, str]] = []
         self.children: dict[str, list[str]] = {}
         self._text: list[str] = []
-        self._stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, cut, inside
+        self._stack: list[tuple[str, str, bool, bool, int, bool]] = [("", "", False, False, -1, False)]  # tag, path, cut, inside, mark, main
+        self._outer: list[int] = []  # of each element marked by its words the next marked one around it, -1 for none
+        self._marks: list[tuple[int, bool]] = []  # of each block the innermost marked element, and whether it is main by its element
         at, head, low = 0, False, None
         for m in iter(lambda: _TAG.search(html, at), None):
             if m.start() > at and not head:
@@ -118,13 +120,63 @@ class Page:
         if at < len(html) and not head:
             self._text.append(html[at:])
         self._flush()
+        if self._outer:
+            self._judge()
+
+    def _judge(self) -> None:
+        """Cuts what elements marked by their words hold. Two kinds of them are not cut, but judged by what they have inside:
+
+        * those with more text of article and main elements than there is outside of all marked elements;
+        * where no article or main element has text outside of them, those with over half of the page's text.
+
+        Of nested ones the outer comes first. An article whose own words mark it (a comment, say) is none here. Repeated texts count once.
+        """
+        kept = {m: False for m in range(len(self._outer))}
+        weigh: list[list[int]] = [[0, 0] for _ in self._outer]  # of each marked element: letters in all, in main elements
+        free, every, seen = [0, 0], 0, set()
+        waits: dict[int, list[int]] = {}  # letters by the innermost marked element
+        for (_, cut, _, text), (mark, main) in zip(self.blocks, self._marks):
+            if cut or text in seen:
+                continue
+            seen.add(text)
+            every += len(text)
+            got = waits.setdefault(mark, [0, 0]) if mark >= 0 else free
+            got[0] += len(text)
+            got[1] += len(text) * main
+        inner: dict[int, list[int]] = {}
+        for m in range(len(self._outer) - 1, -1, -1):  # an element comes after those around it
+            own = waits.get(m, [0, 0])
+            weigh[m][0] += own[0]
+            weigh[m][1] += own[1]
+            if self._outer[m] >= 0:
+                weigh[self._outer[m]][0] += weigh[m][0]
+                weigh[self._outer[m]][1] += weigh[m][1]
+            inner.setdefault(self._outer[m], []).append(m)
+        for kind in (1, 0):
+            if kind == 0 and free[1]:
+                break
+            heap = [(-weigh[m][kind], m) for m in range(len(self._outer)) if not kept[m] and (self._outer[m] < 0 or kept[self._outer[m]])]
+            heapq.heapify(heap)
+            while heap and -heap[0][0] > (free[1] if kind else every / 2):
+                m = heapq.heappop(heap)[1]
+                kept[m] = True
+                own = waits.get(m, [0, 0])
+                free[0] += own[0]
+                free[1] += own[1]
+                for x in inner.get(m, ()):
+                    heapq.heappush(heap, (-weigh[x][kind], x))
+        gone = []  # whether an element or one around it is cut
+        for m, outer in enumerate(self._outer):
+            gone.append(not kept[m] or (outer >= 0 and gone[outer]))
+        self.blocks = [(path, cut or (mark >= 0 and gone[mark]), inside, text) for (path, cut, inside, text), (mark, _) in zip(self.blocks, self._marks)]
 
     def _flush(self) -> None:
         if self._text:
-            _, path, cut, inside = self._stack[-1]
+            _, path, cut, inside, mark, main = self._stack[-1]
             text = " ".join(_html.unescape("".join(self._text)).split())
             if text:
                 self.blocks.append((path, cut, inside, text))
+                self._marks.append((mark, main))
             self._text.clear()
 
     def _open(self, tag: str, attrs: str) -> None:
@@ -134,13 +186,18 @@ class Page:
             self._stack.pop()
         if tag in ("html", "body") and any(s[0] == tag for s in self._stack):
             return
-        _, path, cut, inside = self._stack[-1]
-        name, own = _style(tag, attrs, inside)
+        _, path, cut, inside, mark, main = self._stack[-1]
+        name, own, marked = _style(tag, attrs, inside)
         got = self.children.setdefault(path, [])
         if not got or got[-1] != name:
             got.append(name)
+        if tag in ("article", "main"):
+            inside, main = True, main or not marked
+        elif marked and tag not in ("html", "body"):
+            self._outer.append(mark)
+            mark = len(self._outer) - 1
         if len(self._stack) < 64:  # deeper elements count as part of the 64th
-            self._stack.append((tag, f"{path}/{name}", cut or own, inside or tag in ("article", "main")))
+            self._stack.append((tag, f"{path}/{name}", cut or own, inside, mark, main))
 
     def _close(self, tag: str) -> None:
         for i in range(len(self._stack) - 1, 0, -1):

@@ -240,6 +240,16 @@ def test_copies_of_pages_keep_their_text(spark):
         assert _texts(spark, [x for _, x in want]) == [f"{strip}Story {i}\nMore of {i}" for i, _ in want]
 
 
+@pytest.mark.parametrize("wrapper", ["class='layout with-sidebar'", "class='no-sidebar'", "class='page has-comments'", "class='content-widget'", "class='share-enabled'", "id='notice-board'"])
+def test_wrappers_named_after_what_they_lack(wrapper):
+    story, more = "<h1>Head</h1><p>A story of some length, told at its own pace</p>", "<div class='sidebar'><p>Side</p></div><div class='comments'><article class='comment'><p>I agree</p></article></div>"
+    want = "Head\nA story of some length, told at its own pace"
+    for body in (f"<div {wrapper}><article>{story}</article>{more}</div>", f"<div {wrapper}><div {wrapper}><main>{story}</main></div>{more}</div>", f"<article><div {wrapper}>{story}</div></article>{more}", f"<div {wrapper}>{story}{more}</div>"):
+        assert html.main_text(f"<html><body>{body}</body></html>") == want
+    cards = "<div class='related'>" + "".join(f"<article class='card'><p>Card {i}</p></article>" for i in range(3)) + "</div>"
+    assert html.main_text(f"<body><div {wrapper}><article>{story}</article>{cards}</div></body>") == want
+
+
 def test_language_on_held_out(spark):
     got = queries.op9_language(spark, FOLDER).where("held_out").join(spark.read.parquet(f"{FOLDER}/documents.parquet"), "doc_id").toPandas()
     assert (got["lang_pred"] == got["lang"]).mean() > 0.95 and got["score"].between(0, 1).all()
