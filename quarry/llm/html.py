@@ -9,8 +9,8 @@ classes. Two importances are taken from the host's distinct pages (those of the
 
 They are combined as in the published method, (1 - G) * presentation + G * content with G = 0.9, and a branch below ``NOISE`` is cut
 from each page (``INSIDE`` within article or main elements). Elements whose tag or role says that
-they are navigation, advertising, a form and so on are cut whatever their importance; that also serves hosts with few
-pages, for which importance says nothing (it is 1 for a host's only page). Elements whose class or id has such a word are cut unless
+they are navigation, advertising, a form and so on are cut whatever their importance; that also serves hosts of one
+distinct page, which have no importances. Elements whose class or id has such a word are cut unless
 they hold the page's main text (:meth:`Page._judge`): what a layout or a wrapper holds is left to the importances. A page that would lose all its text to the
 importances keeps it. Where a page has an article or main element with text, text outside it is dropped.
 
@@ -36,8 +36,6 @@ from pyspark.sql import functions as F
 from quarry.llm.common import written
 
 G, NOISE, INSIDE = 0.9, 0.45, 0.1
-#: Pages a host must have for its importances to count.
-LEAST_PAGES = 8
 #: Pages a task remembers so as not to take an equal one again; beyond it equal ones meet in the shuffle.
 KNOWN_PAGES = 100_000
 #: Hosts whose cut branches are broadcast (some hundred bytes each); beyond it the join shuffles the pages.
@@ -278,7 +276,7 @@ def cut_branches(tree: DataFrame) -> DataFrame:
     """(host, cut array<string>): paths of low importance. A host has as many as its templates have elements."""
     low = F.when(F.col("path").rlike("/(article|main)\\b"), INSIDE).otherwise(NOISE)
     never = F.col("path").rlike("(^|/)(html|body|article|main)(\\.[^/]*)?$")
-    return tree.where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < low) & ~never).groupBy("host").agg(F.collect_set("path").alias("cut"))
+    return tree.where((F.col("importance") < low) & ~never).groupBy("host").agg(F.collect_set("path").alias("cut"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -250,6 +250,12 @@ def test_wrappers_named_after_what_they_lack(wrapper):
     assert html.main_text(f"<body><div {wrapper}><article>{story}</article>{cards}</div></body>") == want
 
 
+@pytest.mark.parametrize("n", [2, 3, 7])
+def test_small_hosts_lose_what_pages_share(spark, n):
+    page = "<body><div><p>Same words on every page</p></div><section><p>Story {i}</p><p>More of {i}</p></section></body>"
+    assert _texts(spark, [page.replace("{i}", str(i)) for i in range(n)]) == [f"Story {i}\nMore of {i}" for i in range(n)]
+
+
 def test_language_on_held_out(spark):
     got = queries.op9_language(spark, FOLDER).where("held_out").join(spark.read.parquet(f"{FOLDER}/documents.parquet"), "doc_id").toPandas()
     assert (got["lang_pred"] == got["lang"]).mean() > 0.95 and got["score"].between(0, 1).all()
