@@ -25,6 +25,7 @@ from __future__ import annotations
 import heapq
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -36,6 +37,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import written
 
 G, NOISE, INSIDE = 0.9, 0.45, 0.1
+#: Elements that a path names.
+NAMED = 64
 #: Pages a task remembers so as not to take an equal one again; beyond it equal ones meet in the shuffle.
 KNOWN_PAGES = 100_000
 #: Hosts whose cut branches are broadcast (some hundred bytes each); beyond it the join shuffles the pages.
@@ -48,7 +51,7 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BREAKS = frozenset("br hr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
-HEAD = frozenset("head title".split())
+HEAD = frozenset("html title base basefont bgsound link meta script style noscript template".split())
 CUT = frozenset("nav aside footer form button select dialog menu iframe noscript template svg canvas audio video object textarea option fieldset".split())
 CUT_OUTSIDE_ARTICLE = frozenset("header".split())
 CUT_WORDS = frozenset(
@@ -88,12 +91,15 @@ class Page:
         self.children: dict[str, list[str]] = {}
         self._text: list[str] = []
         self._stack: list[tuple[str, str, bool, bool, int, bool]] = [("", "", False, False, -1, False)]  # tag, path, cut, inside, mark, main
+        self._opened: Counter[str] = Counter()  # how many of each tag the stack holds
         self._outer: list[int] = []  # of each element marked by its words the next marked one around it, -1 for none
         self._marks: list[tuple[int, bool]] = []  # of each block the innermost marked element, and whether it is main by its element
         at, head, low = 0, False, None
         for m in iter(lambda: _TAG.search(html, at), None):
-            if m.start() > at and not head:
-                self._text.append(html[at : m.start()])
+            text = html[at : m.start()]
+            if text and (not head or text.strip()):
+                head = False
+                self._text.append(text)
             at = max(m.end(), at + 1)
             if not m[2]:
                 continue
@@ -103,10 +109,8 @@ class Page:
                 if tag in BLOCKS:
                     self._close(tag)
                 continue
-            if tag == "head":
-                head = True
-            elif tag == "body":
-                head = False
+            # The end tag of head and the start tag of body may be left out.
+            head = tag == "head" or (head and tag in HEAD)
             if tag in RAW:
                 low = html.lower() if low is None else low
                 end = low.find(f"</{tag}", at)
@@ -115,8 +119,7 @@ class Page:
                 self._flush()
             elif tag in BLOCKS:
                 self._open(tag, m[3])
-        if at < len(html) and not head:
-            self._text.append(html[at:])
+        self._text.append(html[at:])
         self._flush()
         if self._outer:
             self._judge()
@@ -181,8 +184,8 @@ class Page:
         self._flush()
         ends = CLOSES.get(tag, ())
         while len(self._stack) > 1 and (self._stack[-1][0] == "p" or self._stack[-1][0] in ends):
-            self._stack.pop()
-        if tag in ("html", "body") and any(s[0] == tag for s in self._stack):
+            self._opened[self._stack.pop()[0]] -= 1
+        if tag in ("html", "body") and self._opened[tag]:
             return
         _, path, cut, inside, mark, main = self._stack[-1]
         name, own, marked = _style(tag, attrs, inside)
@@ -194,15 +197,17 @@ class Page:
         elif marked and tag not in ("html", "body"):
             self._outer.append(mark)
             mark = len(self._outer) - 1
-        if len(self._stack) < 64:  # deeper elements count as part of the 64th
-            self._stack.append((tag, f"{path}/{name}", cut or own, inside, mark, main))
+        # Deeper elements count as part of the deepest one named.
+        self._stack.append((tag, f"{path}/{name}" if len(self._stack) < NAMED else path, cut or own, inside, mark, main))
+        self._opened[tag] += 1
 
     def _close(self, tag: str) -> None:
-        for i in range(len(self._stack) - 1, 0, -1):
-            if self._stack[i][0] == tag:
-                self._flush()
-                del self._stack[i:]
-                return
+        if self._opened[tag]:
+            self._flush()
+            closed = ""
+            while closed != tag:
+                closed = self._stack.pop()[0]
+                self._opened[closed] -= 1
 
 
 def host_of(url: str | None) -> str:

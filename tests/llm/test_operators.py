@@ -256,6 +256,16 @@ def test_small_hosts_lose_what_pages_share(spark, n):
     assert _texts(spark, [page.replace("{i}", str(i)) for i in range(n)]) == [f"Story {i}\nMore of {i}" for i in range(n)]
 
 
+def test_deep_and_unclosed_pages():
+    deep = "<div>" * 500 + "Deep" + "<nav>Menu</nav>" + "</div>" * 500
+    assert html.main_text(f"<body><div><article><p>First</p>{deep}<p>Last</p></article><p>Side</p></div></body>") == "First\nDeep\nLast"
+    assert html.main_text("<div>" * 100 + "<nav>Menu</nav><article>Deep</article>Side" + "</div>" * 100) == "Deep"
+    assert html.main_text("<html><head><title>T</title><meta charset=utf-8><style>p{}</style><body><p>Words") == "Words"
+    assert html.main_text("<head><title>T</title><link rel=x><p>Words<p>More") == "Words\nMore"
+    assert html.main_text("<head> <title>T</title> Words <b>more</b></head>") == "Words more"
+    assert html.main_text("</div>" * 3 + "<head><title>T</title></head><body>Words</body></html>") == "Words"
+
+
 def test_language_on_held_out(spark):
     got = queries.op9_language(spark, FOLDER).where("held_out").join(spark.read.parquet(f"{FOLDER}/documents.parquet"), "doc_id").toPandas()
     assert (got["lang_pred"] == got["lang"]).mean() > 0.95 and got["score"].between(0, 1).all()
