@@ -11,8 +11,13 @@ from quarry.llm.common import read, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what has no language: null texts, texts without letters, and those no profile is nearer to than another."""
+    """Rejects what has no language: null texts, texts without letters, and those no profile is nearer to than another.
+
+    Where no row names a language there is no profile to go by: all texts with letters stay.
+    """
     profiles = langid.fit(docs)
+    if not profiles:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = langid.predict(docs.select(F.struct("*").alias("row"), F.col("text").alias("body")), profiles, "row", "body")
     return found.where("lang_pred <> 'und' and score > 0").select("id.*")
 

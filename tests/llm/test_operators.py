@@ -291,6 +291,13 @@ def test_tokenizer_equals_library(spark, docs, odd):
         assert got == want
 
 
+def test_pipeline_without_a_language(spark, odd):
+    """No row names a language: what has letters stays."""
+    got = dict(corpus_pipeline.STAGES)["language"](spark, odd.withColumn("lang", F.lit(None).cast("string")), SMALL)
+    assert got.columns == odd.columns
+    assert sorted((r["doc_id"] or 0 for r in got.collect())) == [0, 3, 3, 4, 5, 6, 9]
+
+
 def test_pipeline_against_brute_force(spark, docs):
     """Rows of run() are the mix of what the first three stages keep, tokenized; each stage's decisions are checked on its input."""
     stage = dict(corpus_pipeline.STAGES)
