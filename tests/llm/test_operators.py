@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +58,22 @@ def test_nearest_recall_and_scores(spark):
     assert set(found["query_id"]) == {i for i in ids if i % 20 == 0} and hits / total >= 0.9
 
 
+def test_nearest_recall_over_full_shards(spark):
+    """Queries over five shards of about 8,000, of which each holds a query in one alone."""
+    r = np.random.default_rng(0)
+    v = r.standard_normal((40_000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": v.tolist()}), "vec_id long, embedding array<double>").repartition(8)
+    found = ann.nearest(df, F.col("vec_id") % 200 == 0, k=20).toPandas()
+    hits = 0
+    for q, part in found.groupby("query_id"):
+        s = v @ v[q]
+        s[q] = -2
+        hits += len(set(np.argpartition(-s, 20)[:20]) & set(part["vec_id"]))
+    print("recall", hits / (20 * 200))
+    assert found["query_id"].nunique() == 200 and hits / (20 * 200) >= 0.9
+
+
 def test_nearest_edge_cases(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (None, [1.0, 1.0]), (7, [0.5, 0.5, 0.5]), (20, [0.0, 2.0]), (0, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
