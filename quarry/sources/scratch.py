@@ -6,10 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_made: list[str] = []
 
 
 def root(spark: SparkSession) -> str:
@@ -17,7 +19,7 @@ def root(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}"
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="quarry-"))
@@ -29,4 +31,18 @@ def stored(df: DataFrame) -> DataFrame:
     """df written once and read back: what is used several times is computed once and survives lost executors."""
     path = f"{root(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def made() -> list[str]:
+    """Paths of the tables stored so far and not removed."""
+    return list(_made)
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes stored tables that nothing will read again."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _made.remove(path)
