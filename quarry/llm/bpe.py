@@ -9,6 +9,8 @@ with crossing pieces is worked on whole texts.
 The vocabulary (tens of thousands of pieces) is read once on the driver through the sentencepiece library and sent to
 the tasks. :func:`mismatches` holds results against that library, batch by batch.
 
+Vocabularies of the unigram type (whose scores are no ranks), without byte pieces, or with white space squeezed are refused.
+
 Edge cases: null and empty texts have no ids and decode to the empty text; any code point, U+2581 too, takes the
 library's way; other columns are carried untouched when asked for; an empty table gives no rows.
 """
@@ -24,6 +26,9 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
+
+from quarry.llm.common import schema
 
 MARK = "▁"
 #: Encodings of short units that a task remembers; then it starts afresh.
@@ -48,7 +53,7 @@ class Vocabulary:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        ids, scores, bytes_, surfaces = {}, {}, [0] * 256, []
+        ids, scores, bytes_, surfaces = {}, {}, [-1] * 256, []
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
@@ -60,6 +65,10 @@ class Vocabulary:
             else:
                 ids[piece], scores[piece] = i, sp.get_score(i)
                 surfaces.append(piece.replace(MARK, " "))
+        if -1 in bytes_:
+            raise ValueError("this vocabulary has no byte pieces for symbols outside of it")
+        if any(s != int(s) for s in scores.values()):
+            raise ValueError("scores of a merge-type vocabulary are ranks; this one's are not whole numbers")
         # Whether a mark is put before the text and runs of spaces are squeezed shows in what the library makes of a text.
         first = sp.encode("a", out_type=str)
         return cls(ids, scores, bytes_, surfaces, sp.unk_id(), first[0].startswith(MARK), sp.decode(sp.encode("a  b")) == "a b", any(re.search(f"[^{MARK}]{MARK}", p) for p in ids))
@@ -168,7 +177,7 @@ class Encoder:
         return sum([g[0] for g in got]), ",".join([g[1] for g in got]), decoded[1:] if self.v.prefix and decoded.startswith(" ") else decoded
 
 
-def _tokens(vocabulary, id_col: str, text_col: str, full: bool):
+def _tokens(vocabulary, full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary.value)
         for batch in batches:
@@ -190,26 +199,25 @@ def _tokens(vocabulary, id_col: str, text_col: str, full: bool):
 def tokenize(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """(id, n_tokens, ids, decoded) of each text; with digests, ids and decoded are SHA-256 in hex (of ids joined by commas)."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path))
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    ids = "string" if digests else "array<int>"
-    return rows.mapInArrow(_tokens(vocabulary, id_col, text_col, not digests), f"id {kind}, n_tokens long, ids {ids}, decoded string")
+    kind = schema(id=rows.schema["id"].dataType, n_tokens=LongType(), ids=StringType() if digests else ArrayType(IntegerType()), decoded=StringType())
+    return rows.mapInArrow(_tokens(vocabulary, not digests), kind)
 
 
 def mismatches(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Ids of texts whose ids or decoded text differ from the sentencepiece library's; it holds them together in Arrow batches."""
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    mine = tokenize(docs, model_path, id_col, text_col)
-    both = mine.join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
+    """Ids of texts whose ids or decoded text differ from the sentencepiece library's; both are made in the same Arrow batches."""
+    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        sp, encoder = sentencepiece.SentencePieceProcessor(model_file=model_path), Encoder(vocabulary.value)
         for b in batches:
-            rows = b.to_pylist()
-            theirs = sp.encode([r["text"] or "" for r in rows], num_threads=1)
-            bad = [r["id"] for r, t in zip(rows, theirs) if r["ids"] != t or r["decoded"] != sp.decode(t)]
-            yield pa.RecordBatch.from_arrays([pa.array(bad, b.schema.field("id").type)], ["id"])
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            theirs = sp.encode(texts, num_threads=1)
+            mine = [encoder.digest(t) for t in texts]
+            bad = [m != (len(t), ",".join(map(str, t)), sp.decode(t)) for m, t in zip(mine, theirs)]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(bad, pa.bool_()))], ["id"])
 
-    return both.mapInArrow(differ, f"id {kind}")
+    return rows.mapInArrow(differ, schema(id=rows.schema["id"].dataType))

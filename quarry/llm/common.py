@@ -2,39 +2,35 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
+from pyspark.sql.utils import AnalysisException
+
+from quarry.sources.scratch import stored as written
 
 #: ASCII white space, as the contracts give it: [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_local_root: list[str] = []
+
+def placed(docs: DataFrame, name: str = "_at") -> DataFrame:
+    """docs with each row's file name and row index; what is not read from files is written once first, so that places survive retries."""
+    try:
+        return docs.select("*", _place(docs).alias(name))
+    except AnalysisException:
+        kept = written(docs)
+        return kept.select("*", _place(kept).alias(name))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set and Spark runs in this process."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}"
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _local_root:
-        _local_root.append(tempfile.mkdtemp(prefix="quarry-"))
-        atexit.register(shutil.rmtree, _local_root[0], ignore_errors=True)
-    return _local_root[0]
+def _place(df: DataFrame) -> Column:
+    meta = df.metadataColumn("_metadata")
+    return F.struct(meta.getField("file_name").alias("file"), meta.getField("row_index").alias("row"))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and outlives lost executors."""
-    path = f"{scratch_root(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def schema(**fields: DataType) -> StructType:
+    """A schema of nullable columns, for types that a DDL string can't spell (not-null fields inside a struct)."""
+    return StructType([StructField(n, t, True) for n, t in fields.items()])
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,23 +1,27 @@
 """Main-text extraction by site style trees.
 
 The pages of one host are merged into a style tree: a node is the path of block elements from the root, each with its
-classes. Two importances are taken from the host's distinct pages (those of the same texts count once, however many rows):
+classes; the texts directly in an element are a leaf below it (``#``). Importances are taken from the host's distinct pages (those of
+the same texts outside marked elements count once, however many rows):
 
-* presentation: entropy of the ways the node's children are laid out, relative to the number of pages;
-* content: mean over the node's distinct texts of 1 - log(pages with the text) / log(pages), so that texts found on
-  many pages count little.
+* a leaf's: the mean, over the occurrences of its texts, of 1 - log(pages with the text) / log(pages); on a host of one page, 1;
+* an element's own: entropy of the ways its children are laid out, over log(pages);
+* an element's composite one, recursively: (1 - G**(l-1)) of its own + G**(l-1) of the mean of its children's composite ones, weighted by
+  the letters they hold, for l layouts. The published method has l for l - 1 and equal weights; so, an element that all pages lay out
+  alike says nothing about what it holds, and a short text counts as little as it is.
 
-They are combined as in the published method, (1 - G) * presentation + G * content with G = 0.9, and a branch below ``NOISE`` is cut
-from each page (``INSIDE`` within article or main elements). Elements whose tag or role says that
-they are navigation, advertising, a form and so on are cut whatever their importance; that also serves hosts of one
-distinct page, which have no importances. Elements whose class or id has such a word are cut unless
-they hold the page's main text (:meth:`Page._judge`): what a layout or a wrapper holds is left to the importances. A page that would lose all its text to the
-importances keeps it. Where a page has an article or main element with text, text outside it is dropped.
+As in the published method a branch is noise if it and all that is below it have an importance under ``NOISE``; the largest such
+branches are cut from each page. Within article and main elements more is asked: ``INSIDE``, with ``DOUBT`` pages added to those counted,
+so that two near-copies on a small host don't cut each other's text. A page that would lose all text in this way keeps it.
+
+Entropy can't see noise that is new on each page (a comment, an advert's text), nor any on a host of one page. So elements whose tag or
+role says that they are navigation, advertising, a form and so on are marked, and so are those whose class or id does and that don't
+hold the page's main text (:meth:`Page._judge`). A marked leaf (``#!``) has the importance 0, whatever its entropy.
 
 Text: character references are decoded, white space in a block becomes one space, blocks are joined by one newline.
 
-Edge cases: null or empty html gives the empty text; unclosed and stray tags are forgiven; a null url is a host of
-its own; repeated rows are extracted alike; an empty table gives no rows. Other columns are not read.
+Edge cases: null or empty html gives the empty text; unclosed and stray tags are forgiven; a null url and one without a host belong to
+the host without a name; repeated rows are extracted alike; ids may be null; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,22 +31,22 @@ import html as _html
 import re
 from collections import Counter
 from collections.abc import Iterator
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from quarry.llm.common import written
+from quarry.llm.common import schema, written
 
-G, NOISE, INSIDE = 0.9, 0.45, 0.1
+G, NOISE, INSIDE, DOUBT = 0.9, 0.45, 0.1, 8
 #: Elements that a path names.
 NAMED = 64
 #: Pages a task remembers so as not to take an equal one again; beyond it equal ones meet in the shuffle.
 KNOWN_PAGES = 100_000
-#: Hosts whose cut branches are broadcast (some hundred bytes each); beyond it the join shuffles the pages.
-BROADCAST_HOSTS = 50_000
+#: Letters of all cut paths together up to which they are broadcast; beyond it a join brings them to the pages.
+BROADCAST_LETTERS = 8 << 20
 
 # Element and word lists.
 BLOCKS = frozenset(
@@ -84,10 +88,10 @@ def _style(tag: str, attrs: str, inside: bool) -> tuple[str, bool, bool]:
 
 
 class Page:
-    """blocks: (path, cut by its own tags or words, within article or main, text); children: path -> hash of its children's names."""
+    """blocks: (path of its leaf, marked by tags or words, text); children: path -> names of what it holds in order, runs as one."""
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, bool, bool, str]] = []
+        self.blocks: list[tuple[str, bool, str]] = []
         self.children: dict[str, list[str]] = {}
         self._text: list[str] = []
         self._stack: list[tuple[str, str, bool, bool, int, bool]] = [("", "", False, False, -1, False)]  # tag, path, cut, inside, mark, main
@@ -123,6 +127,7 @@ class Page:
         self._flush()
         if self._outer:
             self._judge()
+        self.blocks = [(f"{path}/#!" if cut else f"{path}/#", cut, text) for path, cut, text in self.blocks]
 
     def _judge(self) -> None:
         """Cuts what elements marked by their words hold. Two kinds of them are not cut, but judged by what they have inside:
@@ -136,7 +141,7 @@ class Page:
         weigh: list[list[int]] = [[0, 0] for _ in self._outer]  # of each marked element: letters in all, in main elements
         free, every, seen = [0, 0], 0, set()
         waits: dict[int, list[int]] = {}  # letters by the innermost marked element
-        for (_, cut, _, text), (mark, main) in zip(self.blocks, self._marks):
+        for (_, cut, text), (mark, main) in zip(self.blocks, self._marks):
             if cut or text in seen:
                 continue
             seen.add(text)
@@ -169,17 +174,23 @@ class Page:
         gone = []  # whether an element or one around it is cut
         for m, outer in enumerate(self._outer):
             gone.append(not kept[m] or (outer >= 0 and gone[outer]))
-        self.blocks = [(path, cut or (mark >= 0 and gone[mark]), inside, text) for (path, cut, inside, text), (mark, _) in zip(self.blocks, self._marks)]
+        self.blocks = [(path, cut or (mark >= 0 and gone[mark]), text) for (path, cut, text), (mark, _) in zip(self.blocks, self._marks)]
 
     def _flush(self) -> None:
         if self._text:
-            _, path, cut, inside, mark, main = self._stack[-1]
+            _, path, cut, _, mark, main = self._stack[-1]
             text = " ".join(_html.unescape("".join(self._text)).split())
             if text:
-                self.blocks.append((path, cut, inside, text))
+                self.blocks.append((path, cut, text))
                 self._marks.append((mark, main))
+                self._laid_out(path, "#")
             self._text.clear()
 
+    def _laid_out(self, path: str, name: str) -> None:
+        got = self.children.setdefault(path, [])
+        if not got or got[-1] != name:
+            got.append(name)
+
     def _open(self, tag: str, attrs: str) -> None:
         self._flush()
         ends = CLOSES.get(tag, ())
@@ -189,9 +200,7 @@ class Page:
             return
         _, path, cut, inside, mark, main = self._stack[-1]
         name, own, marked = _style(tag, attrs, inside)
-        got = self.children.setdefault(path, [])
-        if not got or got[-1] != name:
-            got.append(name)
+        self._laid_out(path, name)
         if tag in ("article", "main"):
             inside, main = True, main or not marked
         elif marked and tag not in ("html", "body"):
@@ -210,14 +219,13 @@ class Page:
                 self._opened[closed] -= 1
 
 
-def host_of(url: str | None) -> str:
-    try:
-        return (urlsplit(url or "").hostname or "").lower()
-    except ValueError:
-        return ""
+def host_of(url: Column) -> Column:
+    """The url's host in small letters; empty where it has none."""
+    return F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
 
 
-def _prefixes(path: str) -> list[str]:
+def prefixes(path: str) -> list[str]:
+    """The branches a path is in: of /a/b they are /a and /a/b."""
     parts = path.split("/")
     return ["/".join(parts[:i]) for i in range(2, len(parts) + 1)]
 
@@ -226,83 +234,104 @@ def main_text(html: str | None, cut: frozenset[str] | set[str] = frozenset()) ->
     """The page's main text without the branches of ``cut`` (paths)."""
     if not html:
         return ""
-    blocks = [b for b in Page(html).blocks if not b[1]]
+    blocks = [(path, text) for path, marked, text in Page(html).blocks if not marked]
     if cut:
-        known = {p: not cut.isdisjoint(_prefixes(p)) for p in {b[0] for b in blocks}}
+        known = {p: not cut.isdisjoint(prefixes(p)) for p in {b[0] for b in blocks}}
         blocks = [b for b in blocks if not known[b[0]]] or blocks
-    inside = [b for b in blocks if b[2]]
-    return "\n".join(b[3] for b in inside or blocks)
+    return "\n".join(b[1] for b in blocks)
 
 
-STATS = "host string, page long, nodes array<struct<path:string,kind:int,hash:long>>"
+STATS = "host string, page long, nodes array<struct<path:string,hash:long,letters:long>>"
 
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each page the hash of its texts, and its distinct (path, text) of kind 0 and (path, layout of children) of kind 1."""
+    """For each page the hash of its texts, and of its distinct texts by leaf and the layout of each element the hash (letters: 0 for a layout)."""
     h = lambda x: xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace")) - 2**63
+    kind = pa.list_(pa.struct([("path", pa.string()), ("hash", pa.int64()), ("letters", pa.int64())]))
     done: set[tuple[str, int]] = set()
     for b in batches:
         hosts, keys, nodes = [], [], []
-        for url, html in zip(b.column(0).to_pylist(), b.column(1)):
+        for host, html in zip(b.column(0).to_pylist(), b.column(1)):
             html = html.as_py()
-            if not html or (same := (host_of(url), h(html))) in done:
+            if not html or (same := (host, h(html))) in done:
                 continue
             if len(done) < KNOWN_PAGES:
                 done.add(same)
             page = Page(html)
-            rows = {(p, 0, h(t)) for p, cut, _, t in page.blocks if not cut}
-            rows |= {(p, 1, h("\0".join(c))) for p, c in page.children.items()}
-            hosts.append(same[0])
-            keys.append(h("\0".join(t for _, cut, _, t in page.blocks if not cut)))
-            nodes.append([{"path": p, "kind": k, "hash": x} for p, k, x in sorted(rows)])
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(nodes, pa.list_(pa.struct([("path", pa.string()), ("kind", pa.int32()), ("hash", pa.int64())])))], ["host", "page", "nodes"])
+            rows = {(p, h(t), len(t)) for p, _, t in page.blocks} | {(p, h("\0".join(c)), 0) for p, c in page.children.items()}
+            hosts.append(host)
+            keys.append(h("\0".join(t for _, marked, t in page.blocks if not marked)))
+            nodes.append([{"path": p, "hash": x, "letters": k} for p, x, k in sorted(rows)])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(nodes, kind)], ["host", "page", "nodes"])
+
+
+def _branches(path: str = "path", least: int = 2) -> Column:
+    """:func:`prefixes` of a path column; with ``least`` 1 the root, the empty path, is one too."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(least), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, pages, presentation, content, importance) of each node of each host's tree."""
-    seen = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_stats, STATS)
+    """(host, path, letters, importance) of each node of each host's tree; a leaf's path ends with /# or, if it is marked, with /#!.
+
+    Nodes with little text are small rows, however long the texts; what is joined is one row for each node and one above it.
+    """
+    seen = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_stats, STATS)
     # Of pages with the same texts in other markup, the least markup stands for all.
     seen = seen.groupBy("host", "page").agg(F.min("nodes").alias("nodes")).select("host", F.inline("nodes"))
-    values = written(seen.groupBy("host", "path", "kind", "hash").agg(F.count("*").alias("n")))
-    size = values.where("kind = 1 and path = ''").groupBy("host").agg(F.sum("n").alias("pages"))
-    each = values.groupBy("host", "path", "kind").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.log("n")).alias("log_n"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"))
-    each = each.join(size, "host").where("pages > 1")
-    # Entropy of the layouts: log n - (sum n_i log n_i) / n, relative to log pages.
-    layout = each.where("kind = 1").select("host", "path", "pages", ((F.log("n") - F.col("n_log_n") / F.col("n")) / F.log("pages")).alias("presentation"))
-    texts = each.where("kind = 0").select("host", "path", "k", "log_n", "pages", F.split("path", "/").alias("parts"))
-    # A node's content is that of all leaves below it.
-    texts = texts.withColumn("depth", F.explode(F.sequence(F.lit(2), F.size("parts")))).withColumn("path", F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/"))
-    content = texts.groupBy("host", "path").agg((1 - F.sum("log_n") / F.log(F.first("pages")) / F.sum("k")).alias("content"), F.first("pages").alias("pages"))
-    both = content.join(layout.drop("pages"), ["host", "path"], "left")
-    return both.select("host", "path", "pages", "presentation", "content", ((1 - G) * F.coalesce("presentation", F.lit(0.0)) + G * F.col("content")).alias("importance"))
+    values = written(seen.groupBy("host", "path", "hash", "letters").agg(F.count("*").alias("n")))
+    size = values.where("letters = 0 and path = ''").groupBy("host").agg(F.sum("n").alias("pages"))
+    log_pages = F.log("pages")
+    doubt = F.when(F.col("path").rlike("/(article|main)\\b"), DOUBT).otherwise(0)
+    texts = values.where("letters > 0").join(size, "host").groupBy("host", "path").agg(
+        F.sum(F.col("n") * F.col("letters")).alias("letters"), F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"), F.first("pages").alias("pages")
+    )
+    content = F.when(F.col("path").endswith("!"), 0.0).when(F.col("pages") == 1, 1.0).otherwise(1 - F.col("n_log_n") / F.col("n") / F.log(F.col("pages") + doubt))
+    leaves = texts.select("host", "path", "letters", content.alias("own"), F.lit(0.0).alias("g"))
+    layouts = values.where("letters = 0").join(size, "host").groupBy("host", "path").agg(F.count("*").alias("l"), F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"), F.first("pages").alias("pages"))
+    entropy = F.when(F.col("pages") > 1, (F.log("n") - F.col("n_log_n") / F.col("n")) / log_pages).otherwise(1.0)
+    g = (F.col("l") - 1) * F.log(F.lit(G))
+    held = leaves.select("host", F.explode(_branches(least=1)).alias("path"), "letters", F.col("path").alias("leaf")).where("path <> leaf").groupBy("host", "path").agg(F.sum("letters").alias("letters"))
+    elements = layouts.select("host", "path", ((1 - F.exp(g)) * entropy).alias("own"), g.alias("g")).join(held, ["host", "path"])
+    nodes = written(leaves.unionByName(elements))
+    # What a node adds to one above it: its share of the letters, and the weights G**(l-1) of all elements from that one down to it.
+    up = nodes.select("host", "path", F.explode(_branches(least=1)).alias("above"))
+    weigh = up.where("above <> path").join(nodes.select("host", F.col("path").alias("above"), "g"), ["host", "above"]).groupBy("host", "path").agg(F.sum("g").alias("way"))
+    nodes = written(nodes.join(weigh, ["host", "path"], "left").withColumn("way", F.coalesce("way", F.lit(0.0))))
+    pairs = nodes.select("host", F.explode(_branches(least=1)).alias("above"), (F.col("letters") * F.col("own")).alias("gives"), "way")
+    tops = nodes.select("host", F.col("path").alias("above"), F.col("letters").alias("all"), F.col("way").alias("way_above"))
+    sums = pairs.join(tops, ["host", "above"]).groupBy("host", "above").agg((F.sum(F.col("gives") * F.exp(F.col("way") - F.col("way_above"))) / F.first("all")).alias("importance"), F.first("all").alias("letters"))
+    return sums.select("host", F.col("above").alias("path"), "letters", "importance")
 
 
 def cut_branches(tree: DataFrame) -> DataFrame:
-    """(host, cut array<string>): paths of low importance. A host has as many as its templates have elements."""
+    """(host, cut array<string>): the largest branches of noise. A host has as many as its templates have elements."""
     low = F.when(F.col("path").rlike("/(article|main)\\b"), INSIDE).otherwise(NOISE)
-    never = F.col("path").rlike("(^|/)(html|body|article|main)(\\.[^/]*)?$")
-    return tree.where((F.col("importance") < low) & ~never).groupBy("host").agg(F.collect_set("path").alias("cut"))
+    nodes = tree.where("path <> ''").select("host", "path", (F.col("importance") < low).alias("low"))
+    good = nodes.where("not low").select("host", F.explode(_branches()).alias("path")).distinct()
+    noise = nodes.where("low").join(good, ["host", "path"], "left_anti")
+    inner = noise.select("host", F.col("path").alias("outer"))
+    largest = noise.withColumn("outer", F.regexp_replace("path", "/[^/]*$", "")).join(inner, ["host", "outer"], "left_anti")
+    # A page cuts its marked texts by itself.
+    return largest.where(~F.col("path").endswith("/#!")).groupBy("host").agg(F.collect_list("path").alias("cut"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text) of each page."""
     cuts = written(cut_branches(style_tree(pages, url_col, html_col)))
-    kind = pages.select(id_col).schema[0].dataType.simpleString()
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    host = F.udf(host_of)
-    if cuts.count() <= BROADCAST_HOSTS:
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
+    if (cuts.agg(F.sum(F.length("host") + F.aggregate("cut", F.lit(0), lambda s, x: s + F.length(x) + 8))).first()[0] or 0) <= BROADCAST_LETTERS:
         # The map goes to the tasks once; they look the host up themselves.
         known = pages.sparkSession.sparkContext.broadcast({r["host"]: frozenset(r["cut"]) for r in cuts.collect()})
         rows = rows.withColumn("cut", F.lit(None).cast("array<string>"))
     else:
         known = None
-        rows = rows.withColumn("host", host("url")).join(cuts, "host", "left").select("id", "url", "html", "cut")
+        rows = rows.join(cuts, "host", "left").select("id", "url", "html", "host", "cut")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            urls = b.column(1).to_pylist()
-            cut = [known.value.get(host_of(u), frozenset()) for u in urls] if known else [set(c or ()) for c in b.column(3).to_pylist()]
+            cut = [known.value.get(h, frozenset()) for h in b.column(3).to_pylist()] if known else [set(c or ()) for c in b.column(4).to_pylist()]
             texts = [main_text(h.as_py(), c) for h, c in zip(b.column(2), cut)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
 
-    return rows.mapInArrow(run, f"id {kind}, url string, text string")
+    return rows.mapInArrow(run, schema(id=rows.schema["id"].dataType, url=StringType(), text=StringType()))

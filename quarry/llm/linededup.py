@@ -3,6 +3,11 @@
 Built-in functions only. A line's key is the line stripped of ASCII white space with A-Z lower-cased. Keys of at
 least ``min_chars`` code points that occur in two or more documents keep their lines only in the smallest id.
 
+Hashes are uniform, so the ranges need no sample: a line's range is where its hash lies among 2**53 places, and there are as many ranges as
+shuffle partitions. A line that very many documents hold would fill one range; so hashes are first turned by a salt of the document,
+which lays the rows of one key over all ranges. What is first in its key and salt, at most one document a range for a key, meets in a
+second pass by key alone.
+
 Edge cases: null or empty text is one empty line; rows with a null id hold no keys and lose no lines; a repeated row
 gets the same bitmap as its twin, and rows that share an id with other text are told apart by a text hash; an empty
 table gives no rows. Only id and text are read, so other columns may have any name.
@@ -15,8 +20,11 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import ASCII_SPACE, ascii_lower, partitions, written
 
-#: A key's rows are dealt over so many sub-ranges by document, so that no key fills one task.
-SALTS = 32
+
+def _range(n: int, turn: Column | int = 0) -> Column:
+    """Which of n ranges of equal width holds the hash h1, turned by ``turn`` ranges."""
+    at = F.floor(F.shiftrightunsigned("h1", 11) / F.lit(float(2**53)) * n)
+    return ((at + turn) % n).cast("int")
 
 
 def _lines(text: Column) -> Column:
@@ -33,6 +41,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keep_words is the keep bitmap in 64-bit words, bit i % 64 of word i div 64 for line i; words with every bit set
     are left out, which is what compresses it.
     """
+    n = partitions(docs.sparkSession)
     lines = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("doc"), _text_hash(F.col(text_col)).alias("th"), F.posexplode(_lines(F.col(text_col))).alias("pos", "line")
     )
@@ -40,14 +49,13 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hashes = (
         lines.select("doc", "th", "pos", key.alias("key"))
         .where(F.char_length("key") >= min_chars)
-        .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"), "doc", "th", "pos")
+        .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), F.pmod(F.xxhash64("doc"), F.lit(n)).cast("int").alias("salt"), "doc", "th", "pos")
     )
-    n = partitions(docs.sparkSession)
-    local = Window.partitionBy("h1", "h2", "salt").orderBy("doc", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranged = written(hashes.repartitionByRange(n, "h1", "h2", "salt").withColumn("first", F.first("doc").over(local)))
-    # Of each key, a sub-range has at most one document left; the second pass compares those alone.
-    left = ranged.where("doc = first").repartitionByRange(n, "h1", "h2")
-    whole = Window.partitionBy("h1", "h2").orderBy("doc", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # The range stands first among the window's keys, so the shuffle by it serves the window too.
+    local = Window.partitionBy("range", "h1", "h2", "salt").orderBy("doc", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranged = written(hashes.withColumn("range", _range(n, F.col("salt"))).repartitionById(n, "range").withColumn("first", F.first("doc").over(local)).drop("range", "salt"))
+    whole = Window.partitionBy("range", "h1", "h2").orderBy("doc", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = ranged.where("doc = first").withColumn("range", _range(n)).repartitionById(n, "range")
     dropped = (
         ranged.where("doc <> first")
         .select("doc", "th", "pos")

@@ -22,7 +22,7 @@ A true pair at the threshold 0.8 misses all bands with probability (1 - 0.8**5)*
 estimate lies ``SLACK`` (over six standard deviations) too low less often still.
 
 Edge cases: null, empty and blank texts have n_shingles 0 and link with nothing; a null id passes through with a null
-component and kept = true; repeated rows share their component; an empty table gives no rows. Other columns are not read.
+component and kept = true; rows that share an id share their component, and are linked by any of their texts; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -149,29 +149,33 @@ def estimate(x: Column, y: Column) -> Column:
 
 
 def _confirm(n: int, percent: int):
-    """Rows come sorted by (center, salt) with the center's own text first in each run; yields the members that pass."""
+    """Rows come sorted by (center, salt) with the center's own texts (one, but for repeated ids) first in each run; yields the members that pass."""
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = _WordHash()
-        center, own = None, np.empty(0, np.uint64)
+        center, own, member = None, [], False
         for pdf in batches:
             out = []
             for c, i, text in zip(pdf["center"], pdf["member"], pdf["text"]):
                 s = shingle_hashes(text, n, cache)
                 if i == c:
-                    center, own = c, s
+                    own = [*own, s] if c == center and not member else [s]
+                    center, member = c, False
                     continue
                 assert c == center
-                both = len(np.intersect1d(own, s, assume_unique=True))
-                if both and 100 * both >= percent * (len(own) + len(s) - both):
-                    out.append((c, i))
+                member = True
+                for o in own:
+                    both = len(np.intersect1d(o, s, assume_unique=True))
+                    if both and 100 * both >= percent * (len(o) + len(s) - both):
+                        out.append((c, i))
+                        break
             yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return confirm
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets pass. texts: (id, text), one row per id."""
+    """The pairs (a, b) whose full shingle sets pass. texts: (id, text)."""
     degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN).cast("int").alias("runs"))
     member = pairs.join(degree, "a").select(F.col("a").alias("center"), F.col("b").alias("member"), F.pmod(F.xxhash64("b"), F.col("runs").cast("long")).cast("int").alias("salt"))
     lead = degree.select(F.col("a").alias("center"), F.col("a").alias("member"), F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("salt"))
@@ -243,27 +247,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = sets.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     same = sets.select("id", "set_a", "set_b").join(classes, ["set_a", "set_b"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     reps = sets.groupBy("set_a", "set_b").agg(F.min(F.struct("id", "sig", "bands")).alias("rep"))
-    bands = written(reps.select("rep.id", "rep.sig", F.explode("rep.bands").alias("band")))
+    reps = written(reps.select("rep.*"))
+    bands = reps.select("id", F.explode("bands").alias("band"))
+    # Most buckets hold one document; only keys of the others are written.
     buckets = bands.groupBy("band").agg(F.count("*").alias("full")).where("full > 1")
     met = written(bands.join(buckets, "band"))
     weight = met.groupBy("id").agg(F.sum("full").alias("weight"))
     # A center stands amid its near-copies: the fuller its buckets, the likelier. Ties go to the smaller id.
     shared = met.join(weight, "id")
     centers = shared.groupBy("band").agg(F.min(F.struct((-F.col("weight")).alias("w"), "id")).alias("c")).select("band", F.col("c.id").alias("a"))
-    shared = written(met.join(centers, "band").select("band", "id", "sig", "a"))
-    sigs = shared.groupBy("id").agg(F.first("sig").alias("sig"))
+    shared = written(met.join(centers, "band").select("band", "id", "a"))
+    sigs = written(reps.join(shared.select("id").distinct(), "id").select("id", "sig"))
     floor = percent / 100 - SLACK
 
     stars = shared.where("a <> id").select("a", F.col("id").alias("b")).distinct()
     likely = stars.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
     pairs = written(likely.where(estimate(F.col("sa"), F.col("sb")) >= floor).select("a", "b"))
-    wanted = sigs.select("id")
-    texts = written(rows.join(wanted, "id").groupBy("id").agg(F.min("text").alias("text")))
+    texts = written(rows.join(sigs.select("id").distinct(), "id").dropDuplicates(["id", "text"]))
     links = written(confirmed(pairs, texts, n_words, percent))
     first = components(links)
 
     # What can still join two components: members of one bucket in different ones.
-    tagged = written(shared.select("band", "id", "sig").join(first, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    tagged = written(shared.select("band", "id").join(first, "id", "left").withColumn("component", F.coalesce("component", "id")))
     mixed = tagged.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("band")
     rest = written(tagged.join(mixed, "band").groupBy("id").agg(F.first("component").alias("component")))
     # Texts of documents that no bucket leaves open aren't read again.

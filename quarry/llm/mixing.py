@@ -7,9 +7,12 @@ documents, epoch after epoch, cut into blocks that all hold the sources in propo
 
 With no budget given it is the smallest that takes each document at least once, so nothing is lost and small sources repeat.
 
-Edge cases: a null source is a source of its own; null or empty texts hold no tokens and are placed once; repeated rows
-are placed one by one; a single source gets weight 1; an empty table gives no rows. Columns to carry may have any name
-that does not start with ``_mix_``.
+Words are counted in one pass, which writes a narrow row a document: its place in the input (file name and row index), id, source, count
+and hash. Placements are made of those; carried columns are joined last, by place, so a text is shuffled once however often it repeats.
+
+Edge cases: a null source is a source of its own; null or empty texts hold no tokens and are placed once; those of a source
+without any token are dealt over all blocks by hash; repeated rows are placed one by one, and spread over the parts like others; a
+single source gets weight 1; an empty table gives no rows. Carried columns may have any name, as they travel in a struct.
 """
 
 from __future__ import annotations
@@ -19,12 +22,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ASCII_SPACE, written
+from quarry.llm.common import ASCII_SPACE, placed, written
 
 #: Halvings of the exponent's range that one pass over the shares decides, and such passes.
 LEVELS, PASSES = 5, 5
 #: Documents in a part of a source's permutation; a source of any size is ordered part by part.
-PART_ROWS = 20_000
+PART_ROWS = 5_000
 #: Sources up to which their table (a few numbers each) is broadcast; beyond it the join shuffles.
 BROADCAST_SOURCES = 100_000
 
@@ -73,6 +76,11 @@ def exponent(shares: DataFrame, target_entropy: float, max_repetition: float, bu
     return max(_bisect(shares, flat), _bisect(shares, repeats))
 
 
+def _unit(*columns: Column | str) -> Column:
+    """A number in [0, 1) from a hash."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(2**53))
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -84,35 +92,45 @@ def mix(
     block_tokens: int = 1_000_000,
     seed: int = 17,
     carry: Sequence[str] = (),
+    stored: bool = False,
 ) -> DataFrame:
-    """One row per placement: id, source, n_tokens, epoch, weight, block, slot, then the columns of ``carry`` as struct ``row``."""
-    name = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("null"))
-    own = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
-    rows = docs.select(name.alias("_mix_s"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("n_tokens"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_mix_t"), *own)
-    sums = written(rows.groupBy("_mix_s").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_rows")))
+    """One row per placement: id, source, n_tokens, epoch, weight, block, slot, then the columns of ``carry`` as struct ``row``.
+
+    With ``stored``, docs is a plain read of files; else it is written once first, as places must be unique and survive retries.
+    """
+    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row") if carry else F.lit(None).alias("row"))
+    base = placed(base if stored else written(base))
+    name = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))
+    narrow = written(base.select("_at", name.alias("s"), "id", "source", word_count(F.col("text")).alias("n_tokens"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")))
+    sums = written(narrow.groupBy("s").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_rows")))
     total = sums.agg(F.sum("tokens")).first()[0] or 0
     shares = sums.where("tokens > 0").withColumn("p", F.col("tokens") / F.lit(float(max(1, total)))).withColumn("ln_p", F.log("p"))
     x = exponent(shares, target_entropy, max_repetition, budget)
-    z, most = shares.agg(F.sum(F.exp(x * F.col("ln_p"))), F.max("tokens")).first()
+    z = shares.agg(F.sum(F.exp(x * F.col("ln_p")))).first()[0]
     weight = F.when(F.col("tokens") > 0, F.exp(x * F.log(F.col("tokens") / F.lit(float(max(1, total))))) / F.lit(float(z or 1.0))).otherwise(0.0)
     need = budget if budget is not None else sums.agg(F.max(F.col("tokens") / weight)).first()[0] or 0.0
     quotas = sums.withColumn("weight", weight).withColumn("quota", F.round(F.col("weight") * need, 3))
     quotas = quotas.withColumn("epochs", F.greatest(F.lit(1), F.ceil(F.when(F.col("tokens") > 0, F.col("quota") / F.col("tokens") - 1e-9).otherwise(1)))).withColumn("parts", F.ceil(F.col("n_rows") / PART_ROWS))
-    quotas = written(quotas.select("_mix_s", "tokens", "weight", "quota", F.col("epochs").cast("int").alias("epochs"), F.col("parts").cast("int").alias("parts")))
+    quotas = written(quotas.select("s", "tokens", "weight", "quota", F.col("epochs").cast("int").alias("epochs"), F.col("parts").cast("int").alias("parts")))
     few = sums.count() <= BROADCAST_SOURCES
 
-    placed = rows.join(F.broadcast(quotas) if few else quotas, "_mix_s").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
-    u = F.xxhash64(F.lit(seed), "epoch", "id", "_mix_t")
-    unit = F.shiftrightunsigned(u, 11) / F.lit(float(2**53))
-    placed = placed.withColumn("_mix_u", unit).withColumn("_mix_part", F.floor(F.col("_mix_u") * F.col("parts")).cast("int"))
-    slim = placed.groupBy("_mix_s", "epoch", "_mix_part").agg(F.sum("n_tokens").alias("part_tokens"))
-    before = Window.partitionBy("_mix_s").orderBy("epoch", "_mix_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = slim.select("_mix_s", "epoch", "_mix_part", F.coalesce(F.sum("part_tokens").over(before), F.lit(0)).alias("start"))
-    keys = ["_mix_s", "epoch", "_mix_part"]
-    inside = Window.partitionBy(*keys).orderBy("_mix_u", "id", "_mix_t").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = narrow.join(F.broadcast(quotas) if few else quotas, "s").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
+    dealt = dealt.withColumn("u", _unit(F.lit(seed), "epoch", "id", "h", "_at")).withColumn("part", F.floor(F.col("u") * F.col("parts")).cast("int"))
+    keys = ["s", "epoch", "part"]
+    slim = dealt.groupBy(*keys).agg(F.sum("n_tokens").alias("part_tokens"))
+    before = Window.partitionBy("s").orderBy("epoch", "part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = slim.select(*keys, F.coalesce(F.sum("part_tokens").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy(*keys).orderBy("u", "id", "_at").rowsBetween(Window.unboundedPreceding, -1)
     # The bare part name is shuffled with the row; the joined starts are one row per part.
-    ordered = placed.withColumn("run", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(starts, keys).withColumn("at", F.col("start") + F.col("run"))
+    ordered = dealt.withColumn("run", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(starts, keys).withColumn("at", F.col("start") + F.col("run"))
     taken = ordered.where((F.col("at") < F.col("quota")) | ((F.col("n_tokens") == 0) & (F.col("epoch") == 0)))
-    block = F.when(F.col("weight") > 0, F.floor(F.col("at") / (F.col("weight") * block_tokens))).otherwise(0).cast("long")
-    slots = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed + 1), "id", "epoch", "_mix_t"), "id", "epoch")
-    return taken.withColumn("block", block).withColumn("slot", F.row_number().over(slots).cast("long") - 1).select("id", "source", "n_tokens", "epoch", "weight", "block", "slot", *(["row"] if carry else []))
+    blocks = max(1, -int(-need // block_tokens))
+    block = F.when(F.col("weight") > 0, F.floor(F.col("at") / (F.col("weight") * block_tokens))).otherwise(F.floor(F.col("u") * blocks)).cast("long")
+    slots = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed + 1), "id", "epoch", "_at"), "id", "epoch", "_at")
+    out = taken.withColumn("block", block).withColumn("slot", F.row_number().over(slots).cast("long") - 1)
+    columns = ["id", "source", "n_tokens", "epoch", "weight", "block", "slot"]
+    if not carry:
+        return out.select(*columns)
+    # A document's placements are as many as its source's epochs; they meet its one row and are unfolded behind the join.
+    each = out.groupBy("_at").agg(F.collect_list(F.struct(*columns)).alias("p"))
+    return base.select("_at", "row").join(each, "_at").select(F.explode("p").alias("p"), "row").select("p.*", "row")

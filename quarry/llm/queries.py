@@ -27,13 +27,13 @@ def op3_vector_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return mixing.mix(read(spark, sf_dir, "documents"), stored=True).withColumnRenamed("id", "doc_id")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels say toxic or not; the toxic ones are split in three severity grades."""
+    """Labels say toxic or not: two grades, and severity is the probability of the upper one."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    model = toxicity.fit(docs, labels, grade_col="toxic", split_top=3)
+    model = toxicity.fit(docs, labels, grade_col="toxic")
     return toxicity.score(docs, model).select(F.col("id").alias("doc_id"), "severity", "toxic", "probabilities")
 
 
@@ -53,7 +53,7 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     profiles = langid.fit(docs.where(~langid.held_out()))
-    return langid.predict(docs, profiles).select(F.col("id").alias("doc_id"), langid.held_out("id").alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs, profiles).select(F.col("id").alias("doc_id"), langid.held_out("id").alias("held_out"), "lang_pred", "score", "distance")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

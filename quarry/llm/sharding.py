@@ -5,10 +5,12 @@ Pass 2 loads one bucket at a time, puts it in a fixed order and shuffles it (Fis
 after the other are a random permutation of all records; the record at place p goes to shard p mod n, slot p div n,
 so counts of shards are at most one apart and slots have no gaps (law ``rows``).
 
-Equal texts carry different ids and are scattered like any other records, so a group of copies of any size spreads over all buckets.
+The hash covers the record's id, its text's checksum and its place in the input (file name and row index), so a group of copies of any
+size spreads over all buckets, rows equal in everything too. Input that is not read from files is written once first: places
+must be the same when a lost task runs again. The permutation is fixed by the seed and the stored files.
 
-Edge cases: null texts count 8 bytes; null ids and repeated rows are placed like others (a row number within equal rows tells
-the latter apart); an empty table gives no rows; carried columns may have any name, as they travel in a struct.
+Edge cases: null texts count 8 bytes and have the checksum of the empty text; null ids and repeated rows are placed like others;
+an empty table gives no rows; columns may have any name and type, nullable or not, as they travel in a struct.
 """
 
 from __future__ import annotations
@@ -18,6 +20,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
+
+from quarry.llm.common import placed, schema
 
 BUCKET_BYTES = 16 << 20
 #: Buckets up to which their offsets (two numbers each) are broadcast; beyond it the join shuffles.
@@ -26,23 +31,23 @@ BROADCAST_BUCKETS = 100_000
 
 def shuffle_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """docs' rows as struct ``row`` with size, text_crc32, bucket and place (long, from 0, all records permuted)."""
-    size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + 8
-    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    total = docs.agg(F.sum(size)).first()[0] or 0
+    size = F.coalesce(F.octet_length(F.col("row")[text_col]), F.lit(0)).cast("long") + 8
+    crc = F.crc32(F.coalesce(F.col("row")[text_col], F.lit("")).cast("binary"))
+    rows = placed(docs.select(F.struct("*").alias("row")))
+    total = rows.agg(F.sum(size)).first()[0] or 0
     n = max(1, -(-total // bucket_bytes))
-    # The text's checksum joins the key, lest rows that share one id all meet in one bucket.
-    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("string").alias("key"), size.alias("size"), crc.alias("text_crc32"))
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "key", "text_crc32"), 11) / F.lit(float(2**53))
-    scattered = keyed.withColumn("bucket", F.floor(unit * n).cast("int"))
+    keyed = rows.select("row", size.alias("size"), crc.alias("text_crc32"), F.xxhash64(F.lit(seed), F.col("row")[id_col].cast("string"), crc, "_at").alias("key"), "_at")
+    unit = F.shiftrightunsigned("key", 11) / F.lit(float(2**53))
+    scattered = keyed.select("row", "size", "text_crc32", "key", F.col("_at.file").alias("file"), F.col("_at.row").alias("index"), F.floor(unit * n).cast("int").alias("bucket"))
 
     def shuffle(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        table = table.take(pc.sort_indices(table, sort_keys=[("key", "ascending"), ("text_crc32", "ascending")]))
+        table = table.take(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in ("key", "file", "index")]))
         order = np.random.default_rng((seed, bucket)).permutation(len(table))
         return table.take(pa.array(order)).append_column("at", pa.array(np.arange(len(table)), pa.int64())).select(["row", "size", "text_crc32", "bucket", "at"])
 
-    kind = scattered.select("row").schema[0].dataType.simpleString()
-    shuffled = scattered.groupBy("bucket").applyInArrow(shuffle, f"row {kind}, size long, text_crc32 long, bucket int, at long")
+    kind = schema(row=scattered.schema["row"].dataType, size=LongType(), text_crc32=LongType(), bucket=IntegerType(), at=LongType())
+    shuffled = scattered.groupBy("bucket").applyInArrow(shuffle, kind)
     sizes = scattered.groupBy("bucket").agg(F.count("*").alias("n"))
     offsets = sizes.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     return shuffled.join(F.broadcast(offsets) if n <= BROADCAST_BUCKETS else offsets, "bucket").select("row", "size", "text_crc32", "bucket", (F.col("start") + F.col("at")).alias("place"))
@@ -54,7 +59,10 @@ def shard(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str
     return rows.withColumn("shard", (F.col("place") % n_shards).cast("int")).withColumn("slot", F.expr(f"place div {n_shards}"))
 
 
-def write_shards(docs: DataFrame, path: str, n_shards: int, **options) -> None:
-    """The records as Parquet, a folder per shard; rows of a file are in slot order."""
-    out = shard(docs, n_shards, **options).select("row.*", "shard", "slot") if not {"shard", "slot"} & set(docs.columns) else shard(docs, n_shards, **options).select("row", "shard", "slot")
-    out.repartition(n_shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, n_shards: int, pieces: int = 1, **options) -> None:
+    """The records as Parquet (``row``, slot), a folder per shard; a shard is written by ``pieces`` tasks, each a run of slots in order."""
+    out = shard(docs, n_shards, **options).select("row", "shard", "slot")
+    longest = max(1, -(-docs.count() // n_shards))
+    piece = F.floor(F.col("slot") * pieces / longest).cast("int")
+    dealt = out.withColumn("_to", F.col("shard") * pieces + piece).repartitionById(n_shards * pieces, "_to").drop("_to")
+    dealt.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

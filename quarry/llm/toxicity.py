@@ -5,13 +5,14 @@ selected whose log odds between grade 0 and above stand out among the fit's rows
 fitted together with an L2 penalty. The output is the probability of each grade, the expected severity and whether
 grade 1 or more is likelier than not.
 
-Where labels only say toxic or not, ``split_top`` cuts the top grade into severity grades of equal size, by the score of a first fit.
+Grades come from the labels alone. Where those only say toxic or not there are two grades, one threshold, and the severity is the
+probability of being toxic.
 
 The fit reads a bounded sample of labelled rows (``fit_rows``, those with the smallest hashes of the id, copies of one text once)
-and at most ``MAX_FEATURES`` features; prediction covers every whole text.
+and at most ``most_features`` features; prediction covers every whole text.
 
 Edge cases: null and empty texts hold no feature and get the base rate; labelled rows with a null grade or id or text are left
-out; without labelled rows, or with one grade alone, everything gets that grade (0 if none); an empty table gives no rows.
+out; an id with several grades has the highest; a grade that no row has gets next to no probability; without labelled rows, or with one grade alone, everything gets that grade (0 if none); an empty table gives no rows.
 Other columns are not read.
 """
 
@@ -26,12 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType
 
-from quarry.llm.common import written
+from quarry.llm.common import schema, written
 
 FIT_ROWS = 10_000
 #: A feature is selected if it is in so many rows and its log odds ratio is so many standard errors from 0.
-MIN_ROWS, MIN_Z, MAX_FEATURES = 5, 4.5, 5_000
+MIN_ROWS, MIN_Z, MOST_FEATURES = 5, 4.5, 5_000
 #: Features a task counts before it passes the counts on, and words it remembers the features of.
 FLUSH, CACHE = 200_000, 400_000
 L2, STEPS = 0.2, 400
@@ -75,31 +77,42 @@ def grades(model: Model, held: _Held, text: str | None) -> np.ndarray:
     return np.diff(np.array([0.0, *upto, 1.0]))
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+
+def _thresholds(p: np.ndarray, n_cols: int) -> np.ndarray:
+    """A first threshold, then positive gaps, which p holds as logarithms."""
+    return p[n_cols] + np.r_[0.0, np.cumsum(np.exp(p[n_cols + 1 :]))]
+
+
+def loss(p: np.ndarray, rows: np.ndarray, cols: np.ndarray, n_cols: int, grade: np.ndarray) -> tuple[float, np.ndarray]:
+    """Penalised negative log likelihood of the parameters (weights, first threshold, logarithms of gaps), and its gradient."""
+    w, theta, steps = p[:n_cols], _thresholds(p, n_cols), np.exp(p[n_cols + 1 :])
+    score = np.bincount(rows, w[cols], len(grade))
+    above = np.r_[theta, np.inf][grade] - score
+    below = np.r_[-np.inf, theta][grade] - score
+    up, lo = np.where(np.isinf(above), 1.0, _sigmoid(above)), np.where(np.isinf(below), 0.0, _sigmoid(below))
+    mass = np.maximum(up - lo, 1e-12)
+    d_up, d_lo = up * (1 - up) / mass, lo * (1 - lo) / mass
+    by_theta = np.array([(-d_up[grade == j]).sum() + d_lo[grade == j + 1].sum() for j in range(len(theta))])
+    later = np.cumsum(by_theta[::-1])[::-1]
+    by_weight = np.bincount(cols, (d_up - d_lo)[rows], n_cols) + L2 * w
+    return float(-np.log(mass).sum() + L2 / 2 * (w @ w)), np.concatenate([by_weight, later[:1], later[1:] * steps])
+
+
 def solve(rows: np.ndarray, cols: np.ndarray, n_cols: int, grade: np.ndarray, n_grades: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds of the penalised likelihood, by Adam on the full sample. Thresholds are a first one plus positive gaps."""
+    """Weights and thresholds of least :func:`loss`, by Adam on the full sample. rows, cols: the marked cells of the feature matrix."""
     n, k = len(grade), n_grades - 1
     share = np.clip(np.cumsum(np.bincount(grade, minlength=n_grades) + 0.5)[:k] / (n + 0.5 * n_grades), 1e-6, 1 - 1e-6)
     theta = np.log(share / (1 - share))
-    gaps = np.log(np.maximum(np.diff(theta), 1e-3))
-    p = np.concatenate([np.zeros(n_cols), theta[:1], gaps])
+    p = np.concatenate([np.zeros(n_cols), theta[:1], np.log(np.maximum(np.diff(theta), 1e-3))])
     m, v = np.zeros_like(p), np.zeros_like(p)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
     for step in range(1, STEPS + 1):
-        w, steps = p[:n_cols], np.exp(p[n_cols + 1 :])
-        theta = p[n_cols] + np.r_[0.0, np.cumsum(steps)]
-        score = np.bincount(rows, w[cols], n)
-        above = np.r_[theta, np.inf][grade] - score
-        below = np.r_[-np.inf, theta][grade] - score
-        up, lo = np.where(np.isinf(above), 1.0, sigmoid(above)), np.where(np.isinf(below), 0.0, sigmoid(below))
-        mass = np.maximum(up - lo, 1e-12)
-        d_up, d_lo = up * (1 - up) / mass, lo * (1 - lo) / mass
-        g_score = d_up - d_lo  # of -log likelihood by the row's score
-        g_theta = np.array([(-d_up[grade == j]).sum() + d_lo[grade == j + 1].sum() for j in range(k)])
-        later = np.cumsum(g_theta[::-1])[::-1]
-        g = np.concatenate([np.bincount(cols, g_score[rows], n_cols) + L2 * w, later[:1], later[1:] * steps])
+        _, g = loss(p, rows, cols, n_cols, grade)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        p = p - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-    return p[:n_cols], p[n_cols] + np.r_[0.0, np.cumsum(np.exp(p[n_cols + 1 :]))]
+        p = p - 0.1 * 0.99 ** max(0, step - STEPS // 2) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+    return p[:n_cols], _thresholds(p, n_cols)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,17 +134,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush(rows, high)
 
 
-def _selected(sample: DataFrame) -> list[str]:
+def _selected(sample: DataFrame, most: int) -> list[str]:
     n, high = sample.agg(F.count("*"), F.sum((F.col("grade") > 0).cast("long"))).first()
     counts = sample.select("grade", "text").mapInArrow(_counted, "feature string, n long, high long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("high").alias("high"))
     a, b = F.col("high") + 0.5, F.col("n") - F.col("high") + 0.5
     c, d = high - F.col("high") + 0.5, (n - high) - (F.col("n") - F.col("high")) + 0.5
     z = F.abs(F.log(a * d / (b * c)) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d))
-    best = counts.where(F.col("n") >= MIN_ROWS).withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES)
+    best = counts.where(F.col("n") >= MIN_ROWS).withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "feature").limit(most)
     return sorted(r["feature"] for r in best.select("feature").collect())
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", split_top: int = 1, fit_rows: int = FIT_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", fit_rows: int = FIT_ROWS, most_features: int = MOST_FEATURES) -> Model:
     """labels: (id_col, grade_col int from 0)."""
     known = labels.select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade")).where("id is not null and grade is not null")
     some = known.orderBy(F.xxhash64(F.lit("fit"), "id"), "id", "grade").limit(fit_rows)
@@ -141,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if len(seen) < 2:
         only = seen[0] if seen else 0
         return Model({}, [-50.0] * only + [50.0])
-    names = _selected(sample)
+    names = _selected(sample, most_features)
     place = {f: i for i, f in enumerate(names)}
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,19 +169,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     row = np.repeat(np.arange(len(grade)), [len(m) for m in marks])
     col = np.array([i for m in marks for i in m], np.int64)
     w, theta = solve(row, col, len(names), grade, int(grade.max()) + 1)
-    if split_top > 1:
-        top = grade == grade.max()
-        first = np.bincount(row, w[col], len(grade))
-        cuts = np.quantile(first[top], np.arange(1, split_top) / split_top)
-        grade = grade + np.where(top, np.searchsorted(cuts, first, side="left"), 0)
-        w, theta = solve(row, col, len(names), grade, int(grade.max()) + 1)
     return Model(dict(zip(names, map(float, w))), [float(t) for t in theta])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, probabilities, severity, toxic) of each text: severity is the expected grade, toxic says P(grade >= 1) >= 0.5."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    kind = schema(id=docs.select(id_col).schema[0].dataType, probabilities=ArrayType(DoubleType()), severity=DoubleType(), toxic=BooleanType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -180,4 +187,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 ["id", "probabilities", "severity", "toxic"],
             )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, probabilities array<double>, severity double, toxic boolean")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, kind)
