@@ -108,7 +108,7 @@ def mix(
     x = exponent(shares, target_entropy, max_repetition, budget)
     z = shares.agg(F.sum(F.exp(x * F.col("ln_p")))).first()[0]
     weight = F.when(F.col("tokens") > 0, F.exp(x * F.log(F.col("tokens") / F.lit(float(max(1, total))))) / F.lit(float(z or 1.0))).otherwise(0.0)
-    need = budget if budget is not None else sums.agg(F.max(F.col("tokens") / weight)).first()[0] or 0.0
+    need = budget if budget is not None else sums.agg(F.max(F.try_divide("tokens", weight))).first()[0] or 0.0
     quotas = sums.withColumn("weight", weight).withColumn("quota", F.round(F.col("weight") * need, 3))
     quotas = quotas.withColumn("epochs", F.greatest(F.lit(1), F.ceil(F.when(F.col("tokens") > 0, F.col("quota") / F.col("tokens") - 1e-9).otherwise(1)))).withColumn("parts", F.ceil(F.col("n_rows") / PART_ROWS))
     quotas = written(quotas.select("s", "tokens", "weight", "quota", F.col("epochs").cast("int").alias("epochs"), F.col("parts").cast("int").alias("parts")))

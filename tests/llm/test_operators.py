@@ -495,7 +495,7 @@ def test_style_tree_by_recursion(spark):
         "<body><div class='top'><p>Welcome</p><p>All pages say this</p></div><nav><a>Home</a></nav>"
         + "".join(f"<section><h2>Part {k} of {i}</h2><p>Text {k} on page {i}</p></section>" for k in range(int(r.integers(1, 4))))
         + ("<div class='note'>Seen on some</div>" if i % 3 == 0 else "")
-        + f"<article>Lead {i}<p>Words of {i}</p><p>Every article ends so</p></article><div class='promo'>Buy {i}</div><div>Foot <b>of</b> all</div></body>"
+        + f"<article>Lead {i}<p>Words of {i}</p><blockquote>Every article ends so</blockquote></article><div class='promo'>Buy {i}</div><div>Foot <b>of</b> all</div></body>"
     )
     hosts = {"a.example": [page(i) for i in range(25)], "b.example": [page(99)]}
     rows = [(f"http://{h}/{i}", x) for h, xs in hosts.items() for i, x in enumerate([*xs, xs[0]])]
