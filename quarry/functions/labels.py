@@ -148,8 +148,10 @@ def source_digest(sources: Column) -> Column:
     return F.to_json(F.transform(F.slice(F.coalesce(sources, F.array()), 1, 5), one))
 
 
-def tag_summary(tags: Column) -> Column:
-    return F.array_join(F.slice(tags, 1, 6), "、")
+def tag_summary(tags: Column, text: Column | None = None) -> Column:
+    """The first six tags in a line; where there is no list, the first 80 characters of ``text``."""
+    line = F.array_join(F.slice(tags, 1, 6), "、")
+    return line if text is None else F.coalesce(line, F.substring(F.coalesce(text, F.lit("")), 1, 80))
 
 
 def quota_gate(total_bytes: Column, file_bytes: Column, files: Column, user_files: Column, ip_files_today: Column, t: Tunables = DEFAULTS) -> Column:

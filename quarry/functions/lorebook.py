@@ -113,3 +113,25 @@ def convert_book(raw: Column, direction: str) -> Column:
     out = F.struct(F.coalesce(_get(doc, "$.name", "string"), F.lit(f"Unnamed {name} Book")).alias("name"), _text(doc, "description").alias("description"), make(doc).alias("entries"))
     some = F.size(entries(doc)) > 0
     return F.struct(F.when(some, F.to_json(out)).alias("converted"), F.when(doc.isNull(), "not valid JSON").when(~some, "no entries found").otherwise("ok").alias("message"))
+
+
+def _with_default(v: Column, path: str, kind: str, default) -> Column:
+    return F.coalesce(_get(v, path, kind), F.lit(default))
+
+
+def card_defaults(card: Column) -> Column:
+    """struct of what a generated card (variant) may lack, with defaults: tags (a text is cut at commas), style, status bar, image."""
+    tags = _get(card, "$.tags", "variant")
+    cut = F.transform(F.split(_get(tags, "$", "string"), ","), lambda x: F.trim(x))
+    listed = F.when(kind_of(tags) == "array", as_list(tags)).when(tags.isNull() | kind_of(tags).isin("void", "null"), F.array().cast("array<string>")).otherwise(cut)
+    return F.struct(
+        listed.alias("tags"), _with_default(card, "$.custom_css", "string", "").alias("custom_css"), _with_default(card, "$.has_status_bar", "boolean", False).alias("has_status_bar"),
+        _with_default(card, "$.status_bar_content", "string", "").alias("status_bar_content"), _with_default(card, "$.image_path", "string", "").alias("image_path"),
+    )
+
+
+def book_defaults(book: Column) -> Column:
+    """struct(tags, entries) of a generated book (variant): entries get depth 1, no comment and no trigger words where they have none."""
+    one = lambda e: F.struct(e.alias("entry"), _with_default(e, "$.depth", "int", 1).alias("depth"), _with_default(e, "$.comment", "string", "").alias("comment"), as_list(_get(e, "$.trigger_words", "variant")).alias("trigger_words"))
+    found = F.coalesce(_get(book, "$.entries", ENTRY), F.array().cast(ENTRY))
+    return F.struct(as_list(_get(book, "$.tags", "variant")).alias("tags"), F.transform(found, one).alias("entries"))

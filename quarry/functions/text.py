@@ -1,9 +1,9 @@
-"""Text expressions. All but :func:`format_json` and :func:`convert_chinese` stay in the JVM."""
+"""Text expressions. All but :func:`normalize_json` stay in the JVM."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column
@@ -109,19 +109,11 @@ def format_text(text: Column, operation: str) -> Column:
     return F.struct(out.alias("text"), F.when(out.isNull(), F.lit(bad)).alias("message"))
 
 
-def convert_chinese(direction: str):
-    """pandas UDF for one of seven conversions between script variants; needs the opencc package's dictionaries."""
+def convert_chinese(text: Column, direction: str, tables: Mapping[str, Mapping[str, str]]) -> Column:
+    """Script conversion by a table of characters for each direction, as the caller has them; no dictionary comes with the library."""
     if direction not in CHINESE_DIRECTIONS:
         raise ValueError(f"unsupported direction: {direction}")
-    try:
-        from opencc import OpenCC
-    except ImportError as e:
-        raise RuntimeError("script conversion needs the opencc package on driver and executors") from e
-
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        converter = OpenCC(direction)
-        for s in batches:
-            yield s.map(converter.convert, na_action="ignore")
-
-    return run
+    if direction not in tables:
+        raise LookupError(f"no table of characters for {direction}")
+    table = tables[direction]
+    return F.translate(text, "".join(table), "".join(table.values()))

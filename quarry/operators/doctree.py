@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.markdown import LINK, first_heading, front_matter
-from quarry.functions.text import content_hash, digits_or_null, or_default
+from quarry.functions.text import content_hash, digits_or_null
 
 # What marks probe pages; the title of the root.
 PROBE, JUNK_ROUTE, JUNK_TITLE = r"(?i)^#\s*Index Probe", r"(?i)^/(verify|test|tmp)(/|$)", r"(?i)删除探测|deletion[- ]?probe"
@@ -152,9 +152,35 @@ def consistency(listed: DataFrame, on_disk: DataFrame) -> DataFrame:
 
 
 def article(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (route, with or without outer slashes) joined to its node; top_level says depth at most 1."""
+    """wanted (route, with or without outer slashes) joined to its node; top_level says depth at most 1, null where there is no such page."""
     asked = wanted.select(F.col("route").alias("asked"), normal_route(F.col("route")).alias("route"))
-    return asked.join(nodes, "route", "left").withColumn("top_level", or_default(F.col("route"), "/").isNotNull() & (depth(F.col("route")) <= 1))
+    known = nodes.withColumn("top_level", depth(F.col("route")) <= 1)
+    return asked.join(known, "route", "left")
+
+
+def staleness(manifest: DataFrame, fingerprint: DataFrame, commit: str, force: bool = False) -> DataFrame:
+    """(status) of generated pages: ``current`` if the last manifest row (fingerprint, commit) has both as they are now, else ``stale``."""
+    same = manifest.join(fingerprint, "fingerprint").where(F.col("commit") == commit).agg(F.count("*").alias("n"))
+    return same.select(F.when((F.col("n") > 0) & F.lit(not force), "current").otherwise("stale").alias("status"))
+
+
+def nested(nodes: DataFrame) -> DataFrame:
+    """(route, json): the root's subtree as nested JSON, children in tree order.
+
+    Folded from the deepest level up, one join a level; what a step holds in a row is a node's own subtree.
+    """
+    levels = nodes.agg(F.max("depth")).first()[0]
+    done = None
+    for d in range(levels if levels is not None else -1, -1, -1):
+        here = nodes.where(F.col("depth") == d)
+        if done is None:
+            here = here.withColumn("_kids", F.array().cast("array<string>"))
+        else:
+            kids = done.groupBy(F.col("parent").alias("route")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "json"))), lambda x: x["json"]).alias("_kids"))
+            here = here.join(kids, "route", "left").withColumn("_kids", F.coalesce("_kids", F.array().cast("array<string>")))
+        own = F.to_json(F.struct("route", "title", "synthetic"))
+        done = here.select("route", "parent", sort_key().alias("_k"), F.concat(F.substring(own, F.lit(1), F.length(own) - 1), F.lit(',"children":['), F.array_join("_kids", ","), F.lit("]}")).alias("json"))
+    return nodes.select("route", F.lit("").alias("json")).where("false") if done is None else done.select("route", "json")
 
 
 def children_lists(nodes: DataFrame) -> DataFrame:

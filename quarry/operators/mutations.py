@@ -14,6 +14,12 @@ from quarry.functions.labels import answered_after_feedback, feedback_kind, norm
 from quarry.functions.text import or_default, py_strip
 
 
+def last_per_key(changes: DataFrame, key: str, at: str | None = None) -> DataFrame:
+    """One row of each key: the last by ``at``, equal ones by all their columns; without ``at`` the largest by all."""
+    by = F.struct(*([at] if at else []), *[F.to_json(F.struct(c)) for c in changes.columns])
+    return changes.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct("*"), by).alias("_row")).select("_row.*")
+
+
 def append(table: DataFrame, rows: DataFrame, cut: Mapping[str, int] | None = None) -> DataFrame:
     """Both, by name; missing columns are null. ``cut`` gives longest lengths of text columns."""
     new = rows.withColumns({c: F.substring(F.col(c), 1, n) for c, n in (cut or {}).items() if c in rows.columns})
@@ -28,9 +34,12 @@ def delete(table: DataFrame, ids: Sequence[int], owner: int | None = None, admin
     return table.where(~F.coalesce(gone, F.lit(False)))
 
 
-def update(table: DataFrame, patch: DataFrame, key: str = "id", given: str = "given") -> DataFrame:
-    """Partial update: ``patch`` has the key, new values and ``given``, the names of the columns that were supplied (null is a value)."""
-    new = patch.select(key, given, *[F.col(c).alias(f"_{c}") for c in patch.columns if c not in (key, given)])
+def update(table: DataFrame, patch: DataFrame, key: str = "id", given: str = "given", at: str | None = None) -> DataFrame:
+    """Partial update: ``patch`` has the key, new values and ``given``, the names of the columns that were supplied (null is a value).
+
+    Of several patches of a row the last one by ``at`` holds; a row is never doubled.
+    """
+    new = last_per_key(patch, key, at).select(key, given, *[F.col(c).alias(f"_{c}") for c in patch.columns if c not in (key, given)])
     joined = table.join(new, key, "left")
     out = [F.when(F.array_contains(given, F.lit(c)), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if f"_{c}" in new.columns else F.col(c) for c in table.columns]
     return joined.select(*out)
@@ -41,9 +50,9 @@ def mark(log: DataFrame, ids: Sequence[int], marked: bool, now: Column) -> DataF
     return log.withColumns({"marked": F.when(hit, F.lit(marked)).otherwise(F.col("marked")), "marked_at": F.when(hit, now if marked else F.lit(None)).otherwise(F.col("marked_at"))})
 
 
-def rate(log: DataFrame, ratings: DataFrame, now: Column) -> DataFrame:
-    """log after users' feedback (id, kind, reason): the label follows it; the last rating of a query holds."""
-    new = ratings.select("id", feedback_kind(F.col("kind")).alias("_kind"), F.substring(F.coalesce("reason", F.lit("")), 1, 255).alias("_reason"))
+def rate(log: DataFrame, ratings: DataFrame, now: Column, at: str | None = None) -> DataFrame:
+    """log after users' feedback (id, kind, reason): the label follows it; the last rating of a query by ``at`` holds."""
+    new = last_per_key(ratings, "id", at).select("id", feedback_kind(F.col("kind")).alias("_kind"), F.substring(F.coalesce("reason", F.lit("")), 1, 255).alias("_reason"))
     out = log.join(new, "id", "left")
     hit = F.col("_kind").isNotNull()
     return out.withColumns({
@@ -65,11 +74,12 @@ def handle(feedback: DataFrame, feedback_id: int, handled: bool, by: str, now: C
     return feedback.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in new.items()})
 
 
-def ban_ips(bans: DataFrame, new: DataFrame, now: Column) -> DataFrame:
-    """Upsert by address: an empty reason keeps the old one, the expiry is overwritten, loopback is refused."""
+def ban_ips(bans: DataFrame, new: DataFrame, now: Column, at: str | None = None) -> DataFrame:
+    """Upsert by address: an empty reason keeps the old one, the expiry is overwritten, loopback is refused; the last ban of an address by ``at`` holds."""
     from quarry.functions.labels import is_loopback
 
-    n = new.where(~is_loopback(F.col("ip"))).select(normalize_ip(F.col("ip")).alias("ip"), F.col("reason").alias("_reason"), F.col("expires_at").alias("_expires"), F.lit(True).alias("_new"))
+    known = new.where(~is_loopback(F.col("ip"))).withColumn("ip", normalize_ip(F.col("ip")))
+    n = last_per_key(known, "ip", at).select("ip", F.col("reason").alias("_reason"), F.col("expires_at").alias("_expires"), F.lit(True).alias("_new"))
     out = bans.select("ip", "reason", "created_at", "expires_at").join(n, "ip", "full_outer")
     return out.select(
         "ip", or_default(F.col("_reason"), F.coalesce("reason", F.lit(""))).alias("reason"), F.coalesce("created_at", now).alias("created_at"),

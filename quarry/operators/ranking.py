@@ -43,14 +43,24 @@ def newest(df: DataFrame, id_col: str, n: int) -> DataFrame:
     return df.join(F.broadcast(last), F.col(id_col) >= F.col("_least"), "left_semi")
 
 
-def context_budget(df: DataFrame, keys: Sequence[str], order: Sequence[str], text_col: str, most: int = 8000, least_tail: int = 200) -> DataFrame:
-    """Rows of each key in order until ``most`` characters are used up; the first that overflows is cut to what is left if that is over ``least_tail``."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    upto = F.sum(F.length(text_col)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    out = df.withColumn("_before", F.coalesce(upto, F.lit(0))).where(F.col("_before") <= most)
+def context_budget(df: DataFrame, keys: Sequence[str], order: Sequence[str], text_col: str, most: int = 8000, least_tail: int = 200, salts: int = 32) -> DataFrame:
+    """Rows of each key in order until ``most`` characters are used up; the first that overflows is cut to what is left if that is over
+    ``least_tail``. ``order`` is unique within a key.
+
+    Lengths alone are sorted, and texts join the few rows that stay. A key of any size is first cut in ``salts`` parts: what is
+    beyond the budget within a part is beyond it in the whole.
+    """
+    slim = df.select(*keys, *order, F.coalesce(F.length(text_col), F.lit(0)).alias("_n"))
+    before = lambda *by: F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = slim.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    few = parts.withColumn("_before", before(*keys, "_salt")).where(F.col("_before") <= most).withColumn("_before", before(*keys))
     left = most - F.col("_before")
-    fits = F.length(text_col) <= left
-    return out.where(fits | (left > least_tail)).withColumn(text_col, F.when(fits, F.col(text_col)).otherwise(F.substring(F.col(text_col), F.lit(1), left.cast("int")))).drop("_before")
+    few = few.where((F.col("_n") <= left) | (left > least_tail)).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*keys, *order])], "_n", left.alias("_left"))
+    same = F.lit(True)
+    for i, c in enumerate([*keys, *order]):
+        same = same & df[c].eqNullSafe(F.col(f"_k{i}"))
+    text = F.when(F.col("_n") <= F.col("_left"), F.col(text_col)).otherwise(F.substring(F.col(text_col), F.lit(1), F.col("_left").cast("int")))
+    return df.join(few, same).withColumn(text_col, text).select(*df.columns)
 
 
 def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], same: Sequence[str], out: str = "run") -> DataFrame:

@@ -1,7 +1,8 @@
-"""Hybrid retrieval: BM25 and cosine candidates, content dedup, rerank, neighbours, budgeted context.
+"""Hybrid retrieval: a stored BM25 index, cosine candidates, content dedup, rerank, neighbours, budgeted context.
 
-A query is a driver-side value (words and one vector), so both legs are single scans that end in a distributed top-k; nothing is
-joined with the corpus but one-row statistics.
+The index is made in one pass over the texts and kept as Parquet: postings in folders by the term's hash, sorted by term, so that a
+search reads the folders of its terms and of those the row groups that may hold them. Texts are met again by the few rows that a
+search returns. One query is a driver-side value (words and one vector); :func:`bm25_queries` takes a table of queries.
 """
 
 from __future__ import annotations
@@ -9,46 +10,77 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import content_hash, words
 from quarry.operators.ranking import context_budget
-from quarry.sources.scratch import stored
+from quarry.sources import scratch
 
 #: The published defaults of Okapi BM25, candidates of the lexical leg, most results, budget of a prompt.
 K1, B, EPSILON = 1.5, 0.75, 0.25
-LENGTH = "\0"
 LEXICAL_POOL, MOST_RESULTS, CONTEXT_CHARS = 40, 40, 8000
+#: The term that stands for a document's length.
+LENGTH = "\0"
 
 
 @dataclass(frozen=True)
 class Index:
-    """Lexical statistics. ``docs``: (id, text, tokens); ``df``: (term, df); ``stats``: one row (n, avgdl, avg_idf)."""
+    """``postings``: (bucket, term, id, tf, dl); ``df``: (term, df); ``stats``: one row (n, avgdl, avg_idf, buckets); ``docs``: (id, text)."""
 
-    docs: DataFrame
+    postings: DataFrame
     df: DataFrame
     stats: DataFrame
+    docs: DataFrame
+    buckets: int
 
 
 def raw_idf(n: Column, df: Column) -> Column:
     return F.log(n - df + 0.5) - F.log(df + 0.5)
 
 
-def index(docs: DataFrame, id_col: str, text_col: str, tokenize: Callable[[Column], Column] = words) -> Index:
-    """One pass over the texts. Document frequencies come from distinct terms within each row, so the only shuffle is that of
-    (term, count) pairs. The vocabulary is stored, as each query reads it.
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
 
-    The generator keeps later filters from repeating the tokenizer. A document's length travels as one more term, marked by LENGTH.
+def _docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+
+def index(docs: DataFrame, id_col: str, text_col: str, tokenize: Callable[[Column], Column] = words, path: str | None = None, buckets: int = 16, salts: int = 4) -> Index:
+    """Tokenizes each text once and stores the index under ``path`` (else with the scratch tables).
+
+    A folder's postings are written by up to ``salts`` tasks, dealt by document, so that no frequent term fills one task. For a large
+    corpus take so many buckets that a folder is a few GB.
     """
-    tokens = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.explode(F.array(tokenize(F.col(text_col)))).alias("tokens"))
-    each = F.array_append(F.array_distinct("tokens"), F.concat(F.lit(LENGTH), F.size("tokens").cast("string")))
-    counts = stored(tokens.select(F.explode(each).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
-    length = F.substring("term", 2, 20).cast("long")
-    size = counts.where(F.col("term").startswith(LENGTH)).agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n"), (F.sum(length * F.col("df")) / F.sum("df")).alias("avgdl"))
-    df = counts.where(~F.col("term").startswith(LENGTH))
+    spark, path = docs.sparkSession, path or scratch.folder(docs.sparkSession)
+    tokens = _docs(docs, id_col, text_col).select("id", F.explode(F.array(tokenize(F.col("text")))).alias("tokens"))
+    each = tokens.select("id", F.size("tokens").alias("dl"), F.explode(F.array_append("tokens", F.lit(LENGTH))).alias("term"))
+    each = each.withColumn("bucket", _bucket(F.col("term"), buckets)).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+    counts = each.repartition("bucket", "salt").groupBy("bucket", "salt", "term", "id", "dl").agg(F.count("*").cast("int").alias("tf"))
+    counts.drop("salt").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
+    postings = spark.read.parquet(f"{path}/postings")
+    postings.where(F.col("term") != LENGTH).groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/df")
+    df = spark.read.parquet(f"{path}/df")
+    size = _of_terms(postings, [LENGTH], buckets).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     mean = df.crossJoin(F.broadcast(size)).agg(F.avg(raw_idf(F.col("n"), F.col("df"))).alias("avg_idf"))
-    return Index(tokens, df, size.crossJoin(mean))
+    size.crossJoin(mean).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/stats")
+    return load_index(spark, path, docs, id_col, text_col)
+
+
+def load_index(spark: SparkSession, path: str, docs: DataFrame, id_col: str, text_col: str) -> Index:
+    """A stored index without tokenizing again; refused if it holds another number of documents than ``docs``."""
+    stats = spark.read.parquet(f"{path}/stats")
+    one, rows = stats.first(), docs.count()
+    if one["n"] != rows:
+        raise ValueError(f"the index under {path} is of {one['n']} documents, not of {rows}")
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/df"), stats, _docs(docs, id_col, text_col), one["buckets"])
+
+
+def _of_terms(postings: DataFrame, terms: Sequence[str], buckets: int) -> DataFrame:
+    """Postings of some terms; the folders of others aren't read."""
+    known = postings.sparkSession.range(1).select(*[_bucket(F.lit(t), buckets).alias(f"b{i}") for i, t in enumerate(terms)]).first() if terms else ()
+    return postings.where(F.col("bucket").isin(*set(known)) & F.col("term").isin(*terms))
 
 
 def corpus_stats(ix: Index) -> DataFrame:
@@ -57,34 +89,54 @@ def corpus_stats(ix: Index) -> DataFrame:
     return ix.stats.select(F.col("n").alias("n_docs"), "avgdl").crossJoin(terms)
 
 
-def idf(ix: Index, terms: Sequence[str]) -> DataFrame:
-    """(term, df, idf) of the terms that occur; negative values become EPSILON times the mean."""
+def _weighed(ix: Index, df: DataFrame) -> DataFrame:
+    """df (with term, df) with ``idf``; negative values become EPSILON times the mean."""
     w = raw_idf(F.col("n"), F.col("df"))
-    return ix.df.where(F.col("term").isin(*terms)).crossJoin(F.broadcast(ix.stats)).select("term", "df", F.when(w < 0, EPSILON * F.col("avg_idf")).otherwise(w).alias("idf"))
+    both = df.crossJoin(F.broadcast(ix.stats))
+    return both.select(*df.columns, F.when(w < 0, EPSILON * F.col("avg_idf")).otherwise(w).alias("idf"), "avgdl")
+
+
+def idf(ix: Index, terms: Sequence[str]) -> DataFrame:
+    """(term, df, idf) of the terms that occur."""
+    return _weighed(ix, ix.df.where(F.col("term").isin(*terms))).select("term", "df", "idf")
+
+
+def _contribution() -> Column:
+    tf, norm = F.col("tf"), K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+    return F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + norm)
 
 
 def bm25(ix: Index, query_terms: Sequence[str]) -> DataFrame:
-    """(id, text, score) of documents with a positive score. Term counts are taken within the row: no postings are shuffled."""
-    terms = list(dict.fromkeys(query_terms))
-    if not terms:
-        return ix.docs.select("id", "text", F.lit(0.0).alias("score")).where("false")
-    weights = idf(ix, terms).agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf"))
-    times = [(F.size("tokens") - F.size(F.array_remove("tokens", t))).alias(f"tf{i}") for i, t in enumerate(terms)]
-    found = ix.docs.where(F.arrays_overlap("tokens", F.array(*map(F.lit, terms))))
-    counted = found.select("id", "text", F.explode(F.array(F.struct(F.size("tokens").alias("dl"), *times))).alias("c")).select("id", "text", "c.*")
-    both = counted.crossJoin(F.broadcast(weights)).crossJoin(F.broadcast(ix.stats.select("avgdl")))
-    norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    score = F.lit(0.0)
-    for i, t in enumerate(terms):
-        tf = F.col(f"tf{i}")
-        score = score + list(query_terms).count(t) * F.coalesce(F.try_element_at("idf", F.lit(t)), F.lit(0.0)) * tf * (K1 + 1) / (tf + norm)
-    return both.select("id", "text", score.alias("score")).where(F.col("score") > 0)
+    """(id, score) of documents with a positive score. Only postings of the query's terms are read and shuffled."""
+    times = {t: list(query_terms).count(t) for t in query_terms}
+    if not times:
+        return ix.docs.select("id", F.lit(0.0).alias("score")).where("false")
+    repeats = F.lit(None)
+    for t, n in times.items():
+        repeats = F.when(F.col("term") == t, n).otherwise(repeats)
+    # As many rows as the query has terms.
+    weights = _weighed(ix, ix.df.where(F.col("term").isin(*times)).withColumn("times", repeats))
+    found = _of_terms(ix.postings, list(times), ix.buckets).join(F.broadcast(weights), "term")
+    return found.groupBy("id").agg(F.sum(_contribution()).alias("score")).where(F.col("score") > 0)
 
 
 def bm25_top(ix: Index, query_terms: Sequence[str], k: int = LEXICAL_POOL) -> DataFrame:
     return bm25(ix, query_terms).orderBy(F.desc("score"), "id").limit(k)
 
 
+def bm25_queries(ix: Index, queries: DataFrame, k: int = LEXICAL_POOL) -> DataFrame:
+    """(query_id, rank, id, score): the k best of each query. queries: (query_id, terms array<string>), of any number.
+
+    Queries meet postings in one join by term; the k best of a query are cut below the last shuffle.
+    """
+    asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    weights = _weighed(ix, asked.join(ix.df, "term"))
+    weights = weights.withColumn("bucket", _bucket(F.col("term"), ix.buckets))
+    scores = ix.postings.join(weights, ["bucket", "term"]).groupBy("query_id", "id").agg(F.sum(_contribution()).alias("score")).where(F.col("score") > 0)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return scores.select("query_id", rank.alias("rank"), "id", "score").where(F.col("rank") <= k)
+
+
 def cosine(vec: Column, query: Sequence[float]) -> Column:
     """Cosine with a fixed vector, in double precision; 0 where there is no vector or it is zero."""
     q = F.array(*[F.lit(float(x)) for x in query])
@@ -102,14 +154,13 @@ def vector_top(vectors: DataFrame, query: Sequence[float], k: int, id_col: str =
 def candidates(ix: Index, vectors: DataFrame, query_terms: Sequence[str], query_vec: Sequence[float], pool: int, top_k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, text, sim, leg, ord, h): the vector leg, then the lexical leg's new texts (sim 0), first of equal texts kept.
 
-    Both legs are bounded (``max(pool, top_k)`` and 40 rows), so what follows them is small.
+    Both legs are bounded (``max(pool, top_k)`` and 40 rows), so what follows them is small; texts are read for them alone, once.
     """
-    lead = vector_top(vectors, query_vec, max(pool, top_k), id_col, vec_col)
-    lead = lead.join(ix.docs.select("id", "text"), "id")
-    lead = lead.select("id", "text", F.round("sim", 4).alias("sim"), F.lit(0).alias("leg"), F.row_number().over(Window.orderBy(F.desc("sim"), "id")).alias("rank"))
-    lexical = bm25_top(ix, query_terms)
-    lexical = lexical.select("id", "text", F.lit(0.0).alias("sim"), F.lit(1).alias("leg"), F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"))
-    both = lead.unionByName(lexical).withColumn("h", content_hash(F.col("text")))
+    lead = vector_top(vectors, query_vec, max(pool, top_k), id_col, vec_col).select("id", F.round("sim", 4).alias("sim"), F.lit(0).alias("leg"), F.col("sim").alias("by"))
+    lexical = bm25_top(ix, query_terms).select("id", F.lit(0.0).alias("sim"), F.lit(1).alias("leg"), F.col("score").alias("by"))
+    hits = lead.unionByName(lexical)
+    both = ix.docs.join(F.broadcast(hits), "id").withColumn("h", content_hash(F.col("text")))
+    both = both.withColumn("rank", F.row_number().over(Window.partitionBy("leg").orderBy(F.desc("by"), "id")))
     first = both.withColumn("_n", F.row_number().over(Window.partitionBy("h").orderBy("leg", "rank"))).where("_n = 1")
     return first.select("id", "text", "sim", "leg", F.row_number().over(Window.orderBy("leg", "rank")).alias("ord"), "h")
 
@@ -130,6 +181,57 @@ def search(found: DataFrame, top_n: int, scorer: Column | None = None, logit: bo
     return rows.select(F.col("place").alias("ord"), "id", F.substring("text", 1, chars).alias("content"), F.round("_shown", 4).alias("score"))
 
 
+def rerank_input(text: Column, chars: int = 1500) -> Column:
+    """What a local rerank model is given of a text: models read so many characters at most. Scorers without that bound take whole texts."""
+    return F.substring(text, 1, chars)
+
+
+def with_metadata(hits: DataFrame, metas: DataFrame) -> DataFrame:
+    """hits (with h, the text's hash) and source, module, language, source_file by hash, with defaults for texts that have none.
+
+    metas: (h, ord, source, module, language, source_file); of equal texts the last by ``ord`` counts.
+    """
+    fields = ["source", "module", "language", "source_file"]
+    last = metas.groupBy("h").agg(F.max_by(F.struct(*fields), F.struct("ord", *fields)).alias("_m"))
+    out = hits.join(last, "h", "left")
+    file = F.coalesce("_m.source_file", F.lit(""))
+    missing = lambda shown: F.when(F.col("_m").isNull(), shown)
+    return out.select(
+        *hits.columns, missing("bm25_match").otherwise(F.coalesce("_m.source", F.lit("unknown"))).alias("source"), F.coalesce("_m.module", file).alias("module"),
+        missing("zh").otherwise(F.coalesce("_m.language", F.lit("unknown"))).alias("language"), file.alias("source_file"),
+    )
+
+
+def with_neighbours(found: DataFrame, context: DataFrame) -> DataFrame:
+    """(id, text, ord) of results (ord) and then of their neighbours (ctx) whose text isn't among what comes before them."""
+    rows = found.select("id", "text", F.lit(0).alias("leg"), F.col("ord").alias("at")).union(context.select("id", "text", F.lit(1), F.col("ctx")))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(content_hash(F.col("text"))).orderBy("leg", "at", "id")))
+    # Results are shown as they are, repeats too; both lists are bounded by the search.
+    kept = rows.where((F.col("leg") == 0) | (F.col("_n") == 1))
+    return kept.select("id", "text", F.row_number().over(Window.orderBy("leg", "at", "id")).alias("ord"))
+
+
+def routed(hits: DataFrame, routes: DataFrame) -> DataFrame:
+    """hits (source_file, module) with route and title, by the file's name or, where that is unknown, the module's; null where both are.
+
+    routes: (source_rel, route, title), one row a page; a missing title is the route. Hits are bounded by the search and broadcast.
+    """
+    names = hits.select("ord", F.explode(F.array(F.struct(F.lit(0).alias("pri"), F.col("source_file").alias("name")), F.struct(F.lit(1).alias("pri"), F.col("module").alias("name")))).alias("n")).select("ord", "n.*")
+    known = routes.select(F.col("source_rel").alias("name"), "route", F.coalesce("title", "route").alias("title"))
+    best = known.join(F.broadcast(names.where("name <> ''")), "name").groupBy("ord").agg(F.min_by(F.struct("route", "title"), F.struct("pri", "route")).alias("r"))
+    return hits.join(best, "ord", "left").select(*hits.columns, "r.route", "r.title")
+
+
+def best_routed(hits: DataFrame) -> DataFrame:
+    """The best hit of each route of :func:`routed`; hits without a route are left out."""
+    return hits.where("route is not null").withColumn("_n", F.row_number().over(Window.partitionBy("route").orderBy("ord"))).where("_n = 1").drop("_n")
+
+
+def unmapped(hits: DataFrame) -> DataFrame:
+    """(unmapped): how many hits of :func:`routed` have no route."""
+    return hits.agg(F.count_if(F.col("route").isNull()).alias("unmapped"))
+
+
 def best_per_route(hits: DataFrame, routes: DataFrame, on: str, source: Column | None = None, top_k: int = 20) -> DataFrame:
     """Hits (with ord) joined to (on, route, title), the best of each route kept; ``source`` filters after the cut.
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.labels import DEFAULTS, Tunables, normalize_ip, not_expired, quota_gate
+from quarry.functions.labels import DEFAULTS, Tunables, normalize_ip, not_expired, quota_gate, tag_summary
 from quarry.functions.text import or_default
 from quarry.operators.ranking import first_per_key, page, top_per_key
 
@@ -190,3 +190,21 @@ def client_errors(errors: DataFrame, most: int = 20) -> DataFrame:
     cut = {"message": 2000, "stack": 8000, "page": 255, "source": 255, "user_agent": 255}
     sent = top_per_key(once, ["session"], [F.col("created_at"), F.col("id")], most)
     return sent.withColumns({c: F.substring(F.col(c), 1, n) for c, n in cut.items() if c in errors.columns})
+
+
+def ban_list(bans: DataFrame, now: Column, number: int = 1, size: int = 50, include_expired: bool = False) -> DataFrame:
+    """A page of bans with ``active``, newest first."""
+    rows = bans.withColumn("active", not_expired(F.col("expires_at"), now))
+    return page(rows if include_expired else rows.where("active"), [F.desc("created_at"), F.desc("id")], number, size)
+
+
+def user_cards(cards: DataFrame) -> DataFrame:
+    """What an overseer sees of cards: (user_id, id, name, tags as one line, has_image, updated_at). A user's are newest first by id."""
+    return cards.select("user_id", "id", "name", tag_summary(F.col("tags")).alias("tags"), (or_default(F.col("image_path"), "") != "").alias("has_image"), "updated_at")
+
+
+def user_books(books: DataFrame, entries: str = "entries") -> DataFrame:
+    """The same for lore books: (user_id, id, name, n_entries, updated_at); entries are a JSON text, and 0 if that is no list."""
+    listed = F.try_parse_json(F.col(entries))
+    n = F.size(F.try_variant_get(listed, "$", "array<variant>"))
+    return books.select("user_id", "id", "name", F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)).alias("n_entries"), "updated_at")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import markdown, text
@@ -22,8 +22,15 @@ def _docs(spark, d) -> DataFrame:
     return table(spark, d, "documents")
 
 
+_indexes: dict[tuple[str, str], retrieval.Index] = {}
+
+
 def _index(spark, d) -> retrieval.Index:
-    return retrieval.index(_docs(spark, d), "doc_id", "text")
+    """The folder's index, made once in an application: its tables don't change while it runs."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexes:
+        _indexes[key] = retrieval.index(_docs(spark, d), "doc_id", "text")
+    return _indexes[key]
 
 
 def _vectors(spark, d) -> DataFrame:
@@ -66,9 +73,15 @@ def hybrid_degraded(spark, d):
     return retrieval.search(_candidates(spark, d), 10).select("ord", F.col("id").alias("doc_id"), "content", "score")
 
 
+def bm25_batch(spark, d):
+    """All benchmark items as queries, the ten best documents of each."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), text.words(F.col("text")).alias("terms"))
+    return retrieval.bm25_queries(_index(spark, d), asked, 10).select("query_id", "rank", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 def overlap_score() -> F.Column:
-    """Share of the text's first 200 words that are query words, as a logit-like number."""
-    w = F.slice(text.words(F.col("text")), 1, 200)
+    """Share of the text's words that are query words, as a logit-like number."""
+    w = text.words(F.col("text"))
     return 8.0 * F.size(F.filter(w, lambda x: x.isin(*TERMS))) / F.greatest(F.size(w), F.lit(1)) - 1.0
 
 
@@ -77,15 +90,35 @@ def hybrid_reranked(spark, d):
 
 
 def best_hit_per_source(spark, d):
-    hits = retrieval.bm25(_index(spark, d), TERMS).select("id", "score").orderBy(F.desc("score"), "id").limit(200)
-    from pyspark.sql import Window
-
+    hits = retrieval.bm25_top(_index(spark, d), TERMS, 200)
     hits = hits.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
     routes = _docs(spark, d).select(F.col("doc_id").alias("id"), F.col("source").alias("route"), F.col("lang").alias("title"))
     best = retrieval.best_per_route(hits, routes, "id", F.col("id") % 2 == 0, top_k=200)
     return best.select("ord", F.col("id").alias("doc_id"), "route", "title")
 
 
+def routed_hits(spark, d):
+    """Lexical hits with metadata by the text's hash, named by file or, for files that are no page, by module."""
+    hits = retrieval.bm25_top(_index(spark, d), TERMS, 200)
+    docs = _docs(spark, d).select("doc_id", "lang", "source", text.content_hash(F.col("text")).alias("h"))
+    hits = docs.select(F.col("doc_id").alias("id"), "h").join(F.broadcast(hits), "id").withColumn("ord", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+    metas = docs.where("doc_id % 3 > 0").select("h", F.col("doc_id").alias("ord"), F.col("source"), F.col("lang").alias("module"), F.col("lang").alias("language"), F.concat("source", F.lit(".md")).alias("source_file"))
+    pages = docs.select("source").distinct().where("source like '%1'").select(F.concat("source", F.lit(".md")).alias("source_rel"), F.concat(F.lit("/"), "source", F.lit("/")).alias("route"), F.lit(None).cast("string").alias("title"))
+    pages = pages.union(docs.select("lang").distinct().where("lang <> 'en'").select("lang", F.concat(F.lit("/"), "lang", F.lit("/")), F.upper("lang")))
+    return retrieval.routed(retrieval.with_metadata(hits, metas), pages).select("ord", F.col("id").alias("doc_id"), "source", "module", "language", "source_file", "route", "title")
+
+
+def expanded_results(spark, d):
+    """The best documents, then their neighbours by doc_id whose text isn't among them yet."""
+    found = retrieval.search(_candidates(spark, d), 10)
+    docs = _docs(spark, d)
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    found = texts.join(F.broadcast(found.select("id", "ord")), "id")
+    rows = docs.select(F.lit(0).alias("f"), F.col("doc_id").cast("long").alias("pos"), F.col("doc_id").alias("id"), "text")
+    around = retrieval.neighbours(found.select(F.lit(0).alias("f"), F.col("id").cast("long").alias("pos")), rows, "f", "pos")
+    return retrieval.with_neighbours(found, around).select(F.col("id").alias("doc_id"), "ord", F.md5(F.col("text").cast("binary")).alias("md5"))
+
+
 def context_expand(spark, d):
     turns = retrieval.positions(table(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
     hits = turns.where("length(text) % 17 = 0").select("conv_id", "pos")
@@ -176,19 +209,26 @@ def tree_order(spark, d):
     return doctree.numbered(nodes).select("route", "parent", F.col("nth").cast("long").alias("nth"))
 
 
+def nested_tree(spark, d):
+    """The pages' hierarchy as one JSON text for each host."""
+    route = F.regexp_extract("url", r"^[a-z]+://([^/]+/[^?#]*)", 1)
+    nodes = doctree.tree(table(spark, d, "pages").select(route.alias("route"), F.lit("t").alias("title")))
+    return doctree.nested(nodes)
+
+
 def markdown_images(spark, d):
     return _docs(spark, d).groupBy("lang").agg(F.sum(markdown.image_count(F.concat(F.lit("![a](b(c)) [d](e) "), "text"))).alias("n_images"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_top, bm25_scores, bm25_corpus_stats, bm25_idf, vector_topk, hybrid_candidates, hybrid_degraded, hybrid_reranked, best_hit_per_source, context_expand, context_budget, prompt_context, content_dedup_first, md5_duplicates, width_to_full, width_round_trip, drop_blank_lines, json_props, source_digest, chunk_documents, cache_misses, drift, changed_paths, corpus_fingerprint, path_hierarchy, tree_order, markdown_images)}
+QUERIES = {f.__name__: f for f in (bm25_top, bm25_scores, bm25_corpus_stats, bm25_idf, bm25_batch, routed_hits, expanded_results, nested_tree, vector_topk, hybrid_candidates, hybrid_degraded, hybrid_reranked, best_hit_per_source, context_expand, context_budget, prompt_context, content_dedup_first, md5_duplicates, width_to_full, width_round_trip, drop_blank_lines, json_props, source_digest, chunk_documents, cache_misses, drift, changed_paths, corpus_fingerprint, path_hierarchy, tree_order, markdown_images)}
 
 
 @lru_cache(maxsize=1)
 def _sql() -> dict[str, str]:
     terms = ", ".join(f"'{t}'" for t in TERMS)
-    bm = f"""WITH tok AS (SELECT doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS t FROM documents),
-        st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok), df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(t) AS term FROM tok) GROUP BY 1),
-        raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df, st), idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw WHERE term IN ({terms})),
+    bm = f"""WITH tok AS MATERIALIZED (SELECT doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS t FROM documents),
+        st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok), df AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(t) AS term FROM tok) GROUP BY 1),
+        raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df, st), idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw WHERE term IN ({terms})),
         tf AS (SELECT doc_id, len(t) AS dl, i.term, i.idf, len(list_filter(t, lambda x: x = i.term)) AS tf FROM tok, idf i),
         score AS (SELECT doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score FROM tf, st GROUP BY 1 HAVING sum(tf) > 0)"""
     vec = """v AS (SELECT vec_id, list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), (SELECT list_transform(embedding, lambda x: x::DOUBLE) FROM embeddings WHERE vec_id = 0)) AS sim FROM embeddings)"""
@@ -209,10 +249,31 @@ def _sql() -> dict[str, str]:
         "bm25_scores": f"{bm} SELECT doc_id, round(score, 6) AS score FROM score WHERE score > 0",
         "bm25_corpus_stats": f"{bm} SELECT n AS n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM raw) AS n_terms, (SELECT count(*) FROM raw WHERE r < 0) AS n_floored FROM st",
         "bm25_idf": f"{bm} SELECT term, df, round(idf, 6) AS idf FROM idf",
+        "bm25_batch": f"""{bm}, every AS (SELECT term, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
+            q AS (SELECT item_id AS query_id, t.term, count(*) AS times FROM benchmark, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+')) AS t(term) GROUP BY 1, 2),
+            p AS (SELECT doc_id, len(t) AS dl, u.term, count(*) AS tf FROM tok, unnest(t) AS u(term) GROUP BY 1, 2, 3),
+            sc AS (SELECT query_id, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score FROM q JOIN every USING (term) JOIN p USING (term), st GROUP BY 1, 2),
+            r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, round(score, 6) AS score FROM sc WHERE score > 0) SELECT * FROM r WHERE rank <= 10""",
+        "routed_hits": f"""{bm}, h AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS ord FROM (SELECT * FROM score WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 200)),
+            m AS (SELECT md5(text) AS h, arg_max(source, doc_id) AS source, arg_max(lang, doc_id) AS lang FROM documents WHERE doc_id % 3 > 0 GROUP BY 1),
+            x AS (SELECT h.ord, h.doc_id, m.h IS NULL AS new, m.source, m.lang FROM h JOIN documents d ON d.doc_id = h.doc_id LEFT JOIN m ON m.h = md5(d.text))
+            SELECT ord, doc_id, CASE WHEN new THEN 'bm25_match' ELSE source END AS source, coalesce(lang, '') AS module, CASE WHEN new THEN 'zh' ELSE lang END AS language, coalesce(source || '.md', '') AS source_file,
+                CASE WHEN source LIKE '%1' THEN '/' || source || '/' WHEN lang <> 'en' THEN '/' || lang || '/' END AS route, CASE WHEN source LIKE '%1' THEN '/' || source || '/' WHEN lang <> 'en' THEN upper(lang) END AS title FROM x""",
+        "expanded_results": f"""{cand}, f AS (SELECT row_number() OVER (ORDER BY sim DESC, ord) AS i, doc_id, text FROM (SELECT * FROM c ORDER BY sim DESC, ord LIMIT 10)),
+            n AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS i FROM documents WHERE EXISTS (SELECT 1 FROM f WHERE abs(f.doc_id - documents.doc_id) <= 2)),
+            a AS (SELECT doc_id, md5(text) AS md5, 0 AS leg, i FROM f UNION ALL SELECT doc_id, md5(text), 1, i FROM n), k AS (SELECT *, row_number() OVER (PARTITION BY md5 ORDER BY leg, i) AS k FROM a)
+            SELECT doc_id, row_number() OVER (ORDER BY leg, i)::INT AS ord, md5 FROM k WHERE leg = 0 OR k = 1""",
+        "chunk_documents": r"""WITH s AS (SELECT doc_id, source, list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '\n(#{1,3}\s)', chr(1) || '\1', 'g'), chr(1)), lambda x: [x]) AS s FROM documents),
+            g AS (SELECT doc_id, source, list_reduce(s, lambda a, x: CASE WHEN length(trim(replace(a[-1], chr(10), ''), chr(9) || ' ')) >= 50 THEN a || x ELSE a[:-2] || [a[-1] || chr(10) || x[1]] END) AS g FROM s),
+            k AS (SELECT doc_id, source, CASE WHEN length(trim(replace(g[-1], chr(10), ''), chr(9) || ' ')) >= 20 THEN g ELSE g[:-2] END AS g FROM g),
+            c AS (SELECT doc_id, source, i, unnest(CASE WHEN length(g[i]) <= 2000 THEN [trim(g[i], chr(9) || chr(10) || ' ')] ELSE list_filter(list_transform(list_reduce(list_transform(regexp_split_to_array(g[i], '\n\s*\n'), lambda x: [x]),
+                lambda a, x: CASE WHEN length(a[-1]) + length(x[1]) > 1800 THEN a || x ELSE a[:-2] || [a[-1] || chr(10) || chr(10) || x[1]] END), lambda x: trim(x, chr(9) || chr(10) || ' ')), lambda x: length(x) >= 20) END) AS text
+                FROM k, range(1, len(g) + 1) AS r(i)), n AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_index FROM c)
+            SELECT md5(concat_ws('|', source, doc_id, chunk_index, md5(text))) AS chunk_id, doc_id AS source_file, chunk_index, text, md5(text) AS chunk_hash, source FROM n""",
         "vector_topk": f"WITH {vec} SELECT vec_id, round(sim, 4) AS sim FROM (SELECT * FROM v ORDER BY sim DESC, vec_id LIMIT 40)",
         "hybrid_candidates": f"{cand} SELECT ord::INT AS ord, doc_id, leg, sim FROM c",
         "hybrid_degraded": f"{cand} SELECT row_number() OVER (ORDER BY sim DESC, ord)::INT AS ord, doc_id, text[:500] AS content, sim AS score FROM (SELECT * FROM c ORDER BY sim DESC, ord LIMIT 10)",
-        "hybrid_reranked": f"""{cand}, w AS (SELECT c.*, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')[:200] AS w FROM c), b AS (SELECT *, {lap} AS b FROM w)
+        "hybrid_reranked": f"""{cand}, w AS (SELECT c.*, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM c), b AS (SELECT *, {lap} AS b FROM w)
             SELECT row_number() OVER (ORDER BY b DESC, ord)::INT AS ord, doc_id, text[:500] AS content, round(1 / (1 + exp(-b)), 4) AS score FROM (SELECT * FROM b ORDER BY b DESC, ord LIMIT 10)""",
         "best_hit_per_source": f"""{bm}, h AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS ord FROM (SELECT * FROM score WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 200)),
             k AS (SELECT ord, h.doc_id, source AS route, lang AS title, row_number() OVER (PARTITION BY source ORDER BY ord) AS k FROM h JOIN documents d ON d.doc_id = h.doc_id WHERE h.doc_id % 2 = 0) SELECT ord::INT AS ord, doc_id, route, title FROM k WHERE k = 1""",

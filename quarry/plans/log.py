@@ -131,7 +131,22 @@ def fixed_anchor_dedup(spark, d):
 
 
 def alert_gate(spark, d):
-    return gates.alert_gate(as_log(spark, d).where("kind = 'ask_stream'"), "query", "created_at", "id")
+    return gates.alert_gate(as_log(spark, d), "query", "created_at", "id")
+
+
+def ban_list(spark, d):
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("10.0.0."), (F.col("s_suppkey") % 70).cast("string")).alias("ip"), F.col("s_name").alias("reason"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_interval(days=(F.col("s_suppkey") % 7).cast("int"))).alias("created_at"), F.when(F.col("s_suppkey") % 3 > 0, F.lit("2024-01-01").cast("timestamp_ntz") + F.make_interval(days=(F.col("s_suppkey") % 60).cast("int"))).alias("expires_at"))
+    return usage.ban_list(rows, now(), 1, 30)
+
+
+def user_books(spark, d):
+    lines = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("name"), F.when(F.col("o_orderkey") % 5 == 0, "{}").when(F.col("o_orderkey") % 7 == 0, "oops").otherwise(F.to_json(F.sequence(F.lit(1), F.lit(1) + (F.col("o_orderkey") % 4).cast("int")))).alias("entries"), F.col("o_orderdate").alias("updated_at"))
+    return usage.user_books(lines).select("user_id", "id", "name", F.col("n_entries").cast("long").alias("n_entries"))
+
+
+def user_cards(spark, d):
+    cards = table(spark, d, "part").select((F.col("p_size") % 3).alias("user_id"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.split("p_type", " ").alias("tags"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise("").alias("image_path"), F.col("p_retailprice").alias("updated_at"))
+    return usage.user_cards(cards)
 
 
 def consecutive_failures(spark, d):
@@ -156,7 +171,7 @@ def ip_labels(spark, d):
     return log.select("id", labels.normalize_ip(raw).alias("ip"), labels.is_loopback(raw).alias("loopback"), labels.client_ip(hops, F.lit(""), F.lit("9.9.9.9")).alias("client"))
 
 
-QUERIES = {f.__name__: f for f in (active_keys, overview, login_summary, newest_logins, user_rollup, log_page, log_filtered_count, answered_label, retention_keep_newest, request_metrics, request_severity, url_templates, storage_usage, quota_gates, rate_limit, fixed_anchor_dedup, alert_gate, consecutive_failures, llm_usage, items_page, ip_labels)}
+QUERIES = {f.__name__: f for f in (active_keys, overview, login_summary, newest_logins, user_rollup, log_page, log_filtered_count, answered_label, retention_keep_newest, request_metrics, request_severity, url_templates, storage_usage, quota_gates, rate_limit, fixed_anchor_dedup, alert_gate, consecutive_failures, llm_usage, items_page, ip_labels, ban_list, user_books, user_cards)}
 
 _STATUS = "CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 404 ELSE 200 END"
 _ATT = "att AS (SELECT o_orderkey AS id, o_custkey % 200 AS user_id, '10.0.0.' || (o_orderkey % 50) AS ip, trunc(o_totalprice * 10)::BIGINT AS size, o_orderdate AS created_at FROM orders)"
@@ -188,6 +203,24 @@ SQL = {
         u AS (SELECT user_id, count(*) AS n FROM att GROUP BY 1), i AS (SELECT ip, count(*) AS n FROM att WHERE created_at >= TIMESTAMP '1995-06-17' GROUP BY 1)
         SELECT up.*, CASE WHEN (SELECT coalesce(sum(size), 0) FROM att) + bytes > 100000 * 1048576::BIGINT THEN 'total' WHEN bytes > 20 * 1048576 THEN 'file' WHEN files > 3 THEN 'submit'
             WHEN coalesce(u.n, 0) + files > 50 THEN 'user' WHEN coalesce(i.n, 0) + files > 5 THEN 'ip_day' END AS refused FROM up LEFT JOIN u ON u.user_id = up.user_id LEFT JOIN i ON i.ip = up.ip""",
+    "rate_limit": f"""{LOG.replace("WITH log", "WITH RECURSIVE log")}, h AS MATERIALIZED (SELECT ip, id, epoch_us(created_at) AS us, CASE WHEN username <> '' THEN 3 ELSE 2 END::BIGINT AS cap, row_number() OVER (PARTITION BY ip ORDER BY created_at, id) AS n FROM log),
+        step AS (SELECT ip, id, us, cap, n, []::BIGINT[] AS kept FROM h WHERE n = 1
+            UNION ALL SELECT h.ip, h.id, h.us, h.cap, h.n, list_filter(CASE WHEN len(s.kept) < s.cap THEN s.kept || [s.us] ELSE s.kept END, lambda t: t > h.us - 21600000000) FROM step s JOIN h ON h.ip = s.ip AND h.n = s.n + 1)
+        SELECT ip, id, us, cap, len(kept) < cap AS allowed, CASE WHEN len(kept) < cap THEN 0 ELSE greatest(1, (21600000000 - (us - kept[1])) // 1000000 + 1) END::BIGINT AS retry_after FROM step""",
+    "fixed_anchor_dedup": f"""{LOG.replace("WITH log", "WITH RECURSIVE log")}, h AS MATERIALIZED (SELECT ip, kind, id, epoch_us(created_at) AS us, row_number() OVER (PARTITION BY ip, kind ORDER BY created_at, id) AS n FROM log),
+        step AS (SELECT ip, kind, id, us, n, id AS anchor_id, us AS since, 1::BIGINT AS repeat_no FROM h WHERE n = 1
+            UNION ALL SELECT h.ip, h.kind, h.id, h.us, h.n, CASE WHEN h.us - s.since >= 3600000000 THEN h.id ELSE s.anchor_id END, CASE WHEN h.us - s.since >= 3600000000 THEN h.us ELSE s.since END,
+                CASE WHEN h.us - s.since >= 3600000000 THEN 1 ELSE s.repeat_no + 1 END FROM step s JOIN h ON h.ip = s.ip AND h.kind = s.kind AND h.n = s.n + 1)
+        SELECT ip, kind, id, us, anchor_id, repeat_no FROM step""",
+    "alert_gate": f"""{LOG.replace("WITH log", "WITH RECURSIVE log")}, h AS MATERIALIZED (SELECT id, epoch_us(created_at) AS us, query AS key, row_number() OVER (ORDER BY created_at, id) AS n FROM log),
+        step AS (SELECT id, us, key, n, []::STRUCT(t BIGINT, k VARCHAR)[] AS kept, true AS sent FROM h WHERE n = 1
+            UNION ALL SELECT id, us, key, n, kept, len(list_filter(kept, lambda x: us - x.t < 600000000)) < 3 AND len(list_filter(kept, lambda x: x.k = key AND us - x.t < 300000000)) = 0
+            FROM (SELECT h.id, h.us, h.key, h.n, list_filter(CASE WHEN s.sent THEN s.kept || [struct_pack(t := s.us, k := s.key)] ELSE s.kept END, lambda x: h.us - x.t < 600000000) AS kept FROM step s JOIN h ON h.n = s.n + 1))
+        SELECT id, us, key, sent FROM step""",
+    "ban_list": f"""SELECT s_suppkey AS id, '10.0.0.' || (s_suppkey % 70) AS ip, s_name AS reason, TIMESTAMP '2024-01-01' + to_days((s_suppkey % 7)::INT) AS created_at, CASE WHEN s_suppkey % 3 > 0 THEN TIMESTAMP '2024-01-01' + to_days((s_suppkey % 60)::INT) END AS expires_at, true AS active
+        FROM supplier WHERE s_suppkey % 3 = 0 OR TIMESTAMP '2024-01-01' + to_days((s_suppkey % 60)::INT) >= TIMESTAMP '{NOW}' ORDER BY created_at DESC, id DESC LIMIT 30""",
+    "user_books": "SELECT o_custkey AS user_id, o_orderkey AS id, o_orderstatus AS name, CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 THEN 0 ELSE 1 + o_orderkey % 4 END AS n_entries FROM orders",
+    "user_cards": "SELECT p_size % 3 AS user_id, p_partkey AS id, p_name AS name, array_to_string(string_split(p_type, ' ')[:6], '、') AS tags, p_partkey % 2 = 0 AS has_image, p_retailprice AS updated_at FROM part",
     "consecutive_failures": f"""{LOG}, a AS (SELECT *, sum(answered::INT) OVER (PARTITION BY ip ORDER BY created_at, id ROWS UNBOUNDED PRECEDING) AS g FROM log),
         b AS (SELECT *, sum((NOT answered)::INT) OVER (PARTITION BY ip, g ORDER BY created_at, id ROWS UNBOUNDED PRECEDING)::BIGINT AS n FROM a)
         SELECT id, ip AS target, CASE WHEN n > 0 THEN (n - 1) % 2 + 1 ELSE 0 END::BIGINT AS failures, n > 0 AND n % 2 = 0 AS restart FROM b""",

@@ -27,11 +27,16 @@ def root(spark: SparkSession) -> str:
     return _own[0]
 
 
+def folder(spark: SparkSession) -> str:
+    """A new path for what is stored."""
+    _made.append(f"{root(spark)}/{uuid.uuid4().hex}")
+    return _made[-1]
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written once and read back: what is used several times is computed once and survives lost executors."""
-    path = f"{root(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = folder(df.sparkSession)
     df.write.parquet(path)
-    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

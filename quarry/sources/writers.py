@@ -33,6 +33,13 @@ def pages(rendered: DataFrame, path: str) -> None:
     rendered.withColumn("top", F.split("path", "/")[0]).write.mode("overwrite").partitionBy("top").parquet(path)
 
 
+def manifest(nodes: DataFrame, path: str, commit: str, fingerprint: DataFrame) -> None:
+    """One JSON line for each node (route, title, path, has_page, synthetic), and beside them (commit, fingerprint, pages, articles)."""
+    nodes.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(f"{path}/flat")
+    totals = nodes.agg(F.count_if("has_page").alias("pages"), F.count_if(F.col("has_page") & ~F.col("synthetic")).alias("articles"))
+    totals.crossJoin(fingerprint).withColumn("commit", F.lit(commit)).coalesce(1).write.mode("overwrite").json(f"{path}/head")
+
+
 def _metric(name: str, labels: list[str], value: Column) -> Column:
     shown = [F.concat(F.lit(f'{c}="'), F.regexp_replace(F.col(c).cast("string"), r'(["\\])', r"\\$1"), F.lit('"')) for c in labels]
     return F.concat(F.lit(f"{name}{{"), F.concat_ws(",", *shown), F.lit("} "), value)

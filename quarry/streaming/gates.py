@@ -8,35 +8,38 @@ same folds in keyed state.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from quarry.functions.labels import DEFAULTS
 
 SECOND = 1_000_000
 
 
-class SlidingWindow:
-    """At most ``cap`` admitted hits in any window; refused hits are not counted."""
+class RateFold:
+    """At most ``cap`` admissions in any window. ``times``: the admissions the rule still remembers, in order; refused hits leave no trace."""
 
     outputs = "allowed boolean, retry_after long"
 
-    def __init__(self, window_s: int = DEFAULTS.rate_window_s, state: Sequence[int] = ()):
-        self.window, self.hits = window_s * SECOND, deque(state)
+    def __init__(self, window_s: int = DEFAULTS.rate_window_s, times: Sequence[int] = ()):
+        self.window, self.times = window_s * SECOND, list(times)
 
     def step(self, id_: int, us: int, cap: int) -> tuple[bool, int]:
-        while self.hits and self.hits[0] <= us - self.window:
-            self.hits.popleft()
-        if len(self.hits) < cap:
-            self.hits.append(us)
-            return True, 0
-        waited = us - self.hits[0] if self.hits else 0
-        return False, max(1, (self.window - waited) // SECOND + 1)
+        del self.times[: bisect_right(self.times, us - self.window)]
+        allowed = len(self.times) < cap
+        if allowed:
+            self.times.append(us)
+            return allowed, 0
+        free_at = (self.times[0] if self.times else us) + self.window
+        return allowed, max(1, (free_at - us) // SECOND + 1)
 
 
 class FixedAnchor:
@@ -97,24 +100,27 @@ def quiet_segments(df: DataFrame, keys: Sequence[str], us: str, order: str, gap_
 
 
 def _replay(rows: DataFrame, keys: Sequence[str], value: str, make: Callable, gap_s: int) -> DataFrame:
-    """rows (keys, id, us, value) with the outputs of one fold per segment."""
-    keys, outputs = list(keys), make().outputs
-    names = [x.split()[0] for x in outputs.split(", ")]
+    """rows (keys, id, us, value) with the outputs of one fold per segment. Arrow carries the columns through as they are, nulls too."""
+    keys, names, outputs = list(keys), rows.columns, make().outputs
+    kinds = {"boolean": pa.bool_(), "long": pa.int64()}
+    new = [tuple(x.split()) for x in outputs.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, fold = None, None
-        for pdf in batches:
+        for b in batches:
             got = []
-            for *k, segment, id_, us, v in zip(*[pdf[c] for c in (*keys, "segment", "id", "us", value)]):
-                if (now := (*map(str, k), segment)) != at:
+            for now, id_, us, v in zip(*[b.column(c).to_pylist() for c in ("_piece", "id", "us", value)]):
+                if now != at:
                     at, fold = now, make()
                 got.append(fold.step(id_, us, v))
-            yield pd.concat([pdf.drop(columns="segment").reset_index(drop=True), pd.DataFrame(got, columns=names)], axis=1)
+            made = [pa.array([g[i] for g in got], kinds[kind]) for i, (_, kind) in enumerate(new)]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *made], [*names, *[n for n, _ in new]])
 
     cut = quiet_segments(rows, keys, "us", "id", gap_s)
-    ordered = cut.repartition(*keys, "segment").sortWithinPartitions(*keys, "segment", "us", "id")
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return ordered.select(*rows.columns, "segment").mapInPandas(run, f"{kind}, {outputs}")
+    # As JSON a null key is no key at all, and so unlike any text.
+    ordered = cut.withColumn("_piece", F.to_json(F.struct(*keys, "segment"))).repartition(*keys, "segment").sortWithinPartitions(*keys, "segment", "us", "id")
+    kind = StructType([*rows.schema.fields, *StructType.fromDDL(outputs).fields])
+    return ordered.select(*names, "_piece").mapInArrow(run, kind)
 
 
 def _micros(ts: str):
@@ -124,7 +130,7 @@ def _micros(ts: str):
 def rate_limit(hits: DataFrame, keys: Sequence[str], ts: str, id_col: str, cap, window_s: int = DEFAULTS.rate_window_s) -> DataFrame:
     """(keys, id, us, cap, allowed, retry_after) of each hit. cap: a column or a number."""
     rows = hits.select(*keys, F.col(id_col).alias("id"), _micros(ts).alias("us"), (F.lit(cap) if isinstance(cap, int) else cap).cast("long").alias("cap"))
-    return _replay(rows, keys, "cap", lambda: SlidingWindow(window_s), window_s)
+    return _replay(rows, keys, "cap", lambda: RateFold(window_s), window_s)
 
 
 def fixed_anchor(log: DataFrame, keys: Sequence[str], ts: str, id_col: str, window_s: int = DEFAULTS.dedup_seconds) -> DataFrame:
@@ -161,14 +167,14 @@ def rate_limit_stream(hits: DataFrame, keys: Sequence[str], ts: str, id_col: str
         if state.hasTimedOut:
             state.remove()
             return
-        fold = SlidingWindow(window_s, state.get[0] if state.exists else ())
+        fold = RateFold(window_s, state.get[0] if state.exists else ())
         pdf = pd.concat(list(batches)).sort_values(["us", "id"], ignore_index=True)
         got = [fold.step(i, us, cap) for i, us in zip(pdf["id"], pdf["us"])]
-        state.update((list(fold.hits),))
+        state.update((fold.times,))
         state.setTimeoutDuration(window_s * 1000)
         yield pd.concat([pdf, pd.DataFrame(got, columns=["allowed", "retry_after"])], axis=1)
 
-    return rows.groupBy(*keys).applyInPandasWithState(run, f"{kind}, {SlidingWindow.outputs}", "hits array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy(*keys).applyInPandasWithState(run, f"{kind}, {RateFold.outputs}", "hits array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def fixed_anchor_stream(log: DataFrame, keys: Sequence[str], ts: str, id_col: str, window_s: int = DEFAULTS.dedup_seconds) -> DataFrame:

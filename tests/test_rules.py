@@ -90,7 +90,10 @@ def test_text_facts(spark):
     assert value(spark, F.to_json(text.salvage_json(F.lit('Sure: {"a": [1, 2,],} done')))) == '{"a":[1,2]}'
     assert value(spark, text.masked_key(F.lit("sk-1234567890"))) == "sk-123…7890" and value(spark, text.masked_key(F.lit("short"))) == "*****"
     with pytest.raises(ValueError):
-        text.convert_chinese("x2y")
+        text.convert_chinese(F.lit("x"), "x2y", {})
+    with pytest.raises(LookupError):
+        text.convert_chinese(F.lit("x"), "s2t", {})
+    assert value(spark, text.convert_chinese(F.lit("龙与书"), "s2t", {"s2t": {"龙": "龍", "书": "書"}})) == "龍与書"
 
 
 def test_label_facts(spark):
@@ -128,13 +131,23 @@ def test_chat_prose(spark):
     assert (got["n_messages"], got["n_blocks"], got["n_empty"], got["n_bad"]) == (4, 3, 1, 1)
 
 
+def test_chunks(spark):
+    chunks = lambda body: value(spark, markdown.chunk_texts(F.lit(body)))
+    assert chunks("short") == [] and chunks(None) == [] and chunks("# a\n" + "x" * 60 + "\n## b\n" + "y" * 60) == ["# a\n" + "x" * 60, "## b\n" + "y" * 60]
+    assert [len(c) for c in chunks("\n\n".join(["p" * 900] * 4))] == [1802, 1802] and len(chunks("z" * 5000)) == 1
+    # A head that follows too little text stays with it; a short end goes; a deeper head cuts nothing.
+    assert chunks("# a\nfew\n# b\n" + "x" * 60 + "\n#### c\n# d") == ["# a\nfew\n# b\n" + "x" * 60 + "\n#### c"]
+    assert chunks("p" * 1990 + "\n \n" + "q" * 15 + "\n\n" + "r" * 30) == ["p" * 1990, "q" * 15 + "\n\n" + "r" * 30]
+
+
 def test_markdown_rules():
     assert markdown.admonitions('!!! warning "T"\n    a\n\n    b\nafter') == "> **⚠️ T**\n>\n> a\n>\n> b\n\nafter"
     assert markdown.admonitions("!!!note\nflat\n!!!\nafter") == "> **📝 Note**\n>\n> flat\n\nafter" and markdown.admonitions("!!!") == "> **📝 提示**"
     assert markdown.containers(":::tip\nx\n:::\ny") == "> **💡 Tip**\n>\n> x\n\ny" and markdown.tabs('=== "A"\n    x') == "**A**\n\nx"
-    assert markdown.chunks("short") == [] and markdown.chunks("# a\n" + "x" * 60 + "\n## b\n" + "y" * 60) == ["# a\n" + "x" * 60, "## b\n" + "y" * 60]
-    long = "\n\n".join(["p" * 900] * 4)
-    assert [len(c) for c in markdown.chunks(long)] == [1802, 1802] and len(markdown.chunks("z" * 5000)) == 1
+    assert markdown.admonitions("!!! tip\none\n\ntwo\n\n# Head\nx") == "> **💡 Tip**\n>\n> one\n>\n> two\n\n# Head\nx"
+    assert markdown.admonitions("??? note\n\n!!! bug Odd one\n\tdeep\nflat") == "> **📝 Note**\n>\n\n> **🐞 Odd one**\n>\n> deep\n\nflat"
+    assert markdown.containers("::: callout\nx\n:::") == "> x\n" and markdown.containers(":::danger\nopen") == "> **🚫 Danger**\n>\n> open"
+    assert markdown.tabs('x\n=== "A"\n    y\n=== "B"\n    z') == "x\n**A**\n\ny\n\n**B**\n\nz" and markdown.tabs("    x") == "    x"
 
 
 def test_document_tree(spark):
