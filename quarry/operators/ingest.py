@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.markdown import chunk_texts
 from quarry.functions.text import content_hash, py_strip, safe_name
+from quarry.sources.scratch import stored
 
 LEAST_TRANSLATION = 10
 
@@ -49,6 +52,18 @@ def chunk(docs: DataFrame, file_col: str, text_col: str, source: Column, model:
     return out.withColumn("model", F.lit(model)) if model else out
 
 
+def numbered(chunks: DataFrame, order: Sequence[str], out: str = "number") -> DataFrame:
+    """chunks with a running number over all of them, from 0, in an order that is unique.
+
+    Ranges of the order are numbered by themselves; what meets in one place is one count a range.
+    """
+    ranged = stored(chunks.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_place", place).join(F.broadcast(starts), "_range").select(*chunks.columns, (F.col("_start") + F.col("_place") - 1).alias(out))
+
+
 def split_sections(files: DataFrame, text_col: str = "text", least: int = 50, prefix: str = "sections") -> DataFrame:
     """(topic, text, chunk_hash, source): one file cut before each level-2 heading; short blocks are dropped."""
     block = files.select(F.explode(F.split(F.col(text_col), r"\n(?=## )")).alias("text")).select(py_strip(F.col("text")).alias("text")).where(F.length("text") >= least)

@@ -210,7 +210,7 @@ def tree_order(spark, d):
 
 
 def nested_tree(spark, d):
-    """The pages' hierarchy as one JSON text for each host."""
+    """The hierarchy of all hosts' pages as one JSON text."""
     route = F.regexp_extract("url", r"^[a-z]+://([^/]+/[^?#]*)", 1)
     nodes = doctree.tree(table(spark, d, "pages").select(route.alias("route"), F.lit("t").alias("title")))
     return doctree.nested(nodes)
@@ -299,6 +299,11 @@ def _sql() -> dict[str, str]:
         "corpus_fingerprint": """WITH s AS (SELECT md5(doc_id::VARCHAR)[:3] AS slice, sha256(string_agg(doc_id::VARCHAR || length(text), '' ORDER BY doc_id::VARCHAR)) AS d FROM documents GROUP BY 1) SELECT sha256(string_agg(d, '' ORDER BY slice))[:16] AS fingerprint FROM s""",
         "path_hierarchy": f"WITH {tree} SELECT route, parent, depth, coalesce(title, CASE WHEN route = '/' THEN '{doctree.ROOT_TITLE}' ELSE g[-1] END) AS title, ord, synthetic FROM nodes",
         "tree_order": f"WITH {tree} SELECT route, parent, row_number() OVER (PARTITION BY parent ORDER BY CASE WHEN NOT synthetic THEN 't' WHEN route = '/' THEN '{doctree.ROOT_TITLE}' ELSE g[-1] END, route) AS nth FROM nodes",
+        "nested_tree": f"""WITH {tree.replace(html_path, "regexp_extract(url, '^[a-z]+://([^/]+/[^?#]*)', 1)")}, t AS (SELECT route, depth, g, synthetic, CASE WHEN NOT synthetic THEN 't' WHEN route = '/' THEN '{doctree.ROOT_TITLE}' ELSE g[-1] END AS title FROM nodes),
+            up AS (SELECT route, i, CASE WHEN i = 0 THEN '/' ELSE '/' || array_to_string(g[:i], '/') || '/' END AS a FROM t, unnest(range(0, len(g) + 1)) AS u(i)),
+            k AS (SELECT up.route, list(struct_pack(t := t.title, r := t.route) ORDER BY i) AS k FROM up JOIN t ON t.route = up.a GROUP BY 1),
+            o AS (SELECT t.*, row_number() OVER w AS pos, lag(depth) OVER w AS was FROM t JOIN k ON k.route = t.route WINDOW w AS (ORDER BY k.k))
+            SELECT '/' AS route, string_agg(CASE WHEN was >= depth THEN repeat(']}}', was - depth + 1) || ',' ELSE '' END || '{{"route":"' || route || '","title":"' || title || '","synthetic":' || synthetic || ',"children":[', '' ORDER BY pos) || repeat(']}}', arg_max(depth, pos) + 1) AS json FROM o""",
         "markdown_images": "SELECT lang, (count(*) + sum(len(regexp_extract_all(text, '!\\[[^\\]]*\\]\\([^()\\s]*(?:\\([^()\\s]*\\)[^()\\s]*)*\\)'))))::BIGINT AS n_images FROM documents GROUP BY 1",
     }
 

@@ -56,6 +56,11 @@ def translation_cache(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("key not like '\\\\_\\\\_%'")
 
 
+def indexed_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(md5, version): hashes of the texts that a stored cache holds, and the version it was made for."""
+    return translation_cache(spark, path).select(F.col("key").alias("md5"), "version").distinct()
+
+
 def json_lines(spark: SparkSession, root: str) -> DataFrame:
     """(file, n, line): lines of .jsonl files with their number, decoded by the ladder of :func:`decode`."""
     files = binary_files(spark, root, "*.jsonl").select("path", decode(F.col("content")).alias("text"))

@@ -129,6 +129,7 @@ def test_files_and_caches(spark, tmp_path):
     for name, doc in (("flat", {"__commit__": "c1", "k": "v"}), ("nested", {"__commit__": "c1", "translations": {"k": "v"}})):
         (tmp_path / f"{name}.json").write_text(json.dumps(doc))
         assert rows(readers.translation_cache(spark, str(tmp_path / f"{name}.json")), "key") == [("c1", "k", "v")]
+        assert rows(readers.indexed_hashes(spark, str(tmp_path / f"{name}.json")), "md5") == [("k", "c1")]
     writers.append_cache(spark.createDataFrame([("k2", "v2")], "key string, translated string"), str(tmp_path / "cache"))
     writers.append_cache(spark.createDataFrame([("k3", "v3")], "key string, translated string"), str(tmp_path / "cache"))
     assert spark.read.parquet(str(tmp_path / "cache")).count() == 2
@@ -148,6 +149,11 @@ def test_files_and_caches(spark, tmp_path):
     assert [value(spark, text.embedding_input(F.lit(x))) for x in (" \t", " a ", None)] == ["空", "a", "空"] and len(value(spark, text.embedding_input(F.lit("y" * 7000)))) == 6000
 
 
+def test_running_numbers(spark):
+    some = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.lit("x").alias("t")).repartition(7)
+    assert all(r["k"] == r["number"] for r in ingest.numbered(some, ["k"]).collect()) and ingest.numbered(some.limit(0), ["k"]).count() == 0
+
+
 def test_scratch_tables_are_removed(spark):
     before = scratch.made()
     kept = scratch.stored(spark.range(3))
@@ -228,6 +234,8 @@ def test_results_with_metadata_neighbours_and_routes(spark):
     chunks = spark.createDataFrame([("f", i, str(i)) for i in range(12)], "f string, pos long, t string")
     ctx = retrieval.neighbours(spark.createDataFrame([("f", 10)], "f string, pos long"), chunks, "f", "pos", lexicographic=True)
     assert [r["pos"] for r in ctx.orderBy("ctx").collect()] == [10, 11, 8, 9]
+    docs = spark.createDataFrame([(i, "c" * 600, 0.5 - i / 10, i) for i in range(3)], "id long, text string, sim double, ord int")
+    assert [(r["id"], len(r["content"]), r["score"]) for r in retrieval.search(docs, 2, chars=400).collect()] == [(0, 400, 0.5), (1, 400, 0.4)]
     assert len(value(spark, retrieval.rerank_input(F.lit("a" * 2000)))) == 1500
 
 
