@@ -78,9 +78,8 @@ def load_index(spark: SparkSession, path: str, docs: DataFrame, id_col: str, tex
 
 
 def _of_terms(postings: DataFrame, terms: Sequence[str], buckets: int) -> DataFrame:
-    """Postings of some terms; the folders of others aren't read."""
-    known = postings.sparkSession.range(1).select(*[_bucket(F.lit(t), buckets).alias(f"b{i}") for i, t in enumerate(terms)]).first() if terms else ()
-    return postings.where(F.col("bucket").isin(*set(known)) & F.col("term").isin(*terms))
+    """Postings of some terms; folders are a function of the terms, known when the query is planned, and others aren't read."""
+    return postings.where(F.col("bucket").isin(*[_bucket(F.lit(t), buckets) for t in terms]) & F.col("term").isin(*terms))
 
 
 def corpus_stats(ix: Index) -> DataFrame:
