@@ -63,9 +63,9 @@ class AlertGate:
 
     outputs = "sent boolean"
 
-    def __init__(self, window_s: int = DEFAULTS.alert_window_s, most: int = DEFAULTS.alerts_per_window, cooldown_s: int = DEFAULTS.alert_cooldown_s):
+    def __init__(self, window_s: int = DEFAULTS.alert_window_s, most: int = DEFAULTS.alerts_per_window, cooldown_s: int = DEFAULTS.alert_cooldown_s, recent: Sequence[tuple[int, str]] = ()):
         self.window, self.most, self.cooldown = window_s * SECOND, most, cooldown_s * SECOND
-        self.recent: deque[tuple[int, str]] = deque()
+        self.recent: deque[tuple[int, str]] = deque(recent)
 
     def step(self, id_: int, us: int, key: str) -> tuple[bool]:
         keep = max(self.window, self.cooldown)
@@ -196,6 +196,25 @@ def fixed_anchor_stream(log: DataFrame, keys: Sequence[str], ts: str, id_col: st
     return rows.groupBy(*keys).applyInPandasWithState(run, f"{kind}, {FixedAnchor.outputs}", "anchor long, since long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def alert_gate_stream(alerts: DataFrame, key: str, ts: str, id_col: str, window_s: int = DEFAULTS.alert_window_s, most: int = DEFAULTS.alerts_per_window, cooldown_s: int = DEFAULTS.alert_cooldown_s) -> DataFrame:
+    """The alert gate on a stream: one state for all keys, the alerts sent within the longer of window and cooldown."""
+    rows = alerts.select(F.lit(0).alias("gate"), F.col(id_col).alias("id"), _micros(ts).alias("us"), F.col(key).cast("string").alias("key"))
+
+    def run(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        sent = zip(*state.get) if state.exists else ()
+        fold = AlertGate(window_s, most, cooldown_s, [(int(t), k) for t, k in sent])
+        pdf = pd.concat(list(batches)).sort_values(["us", "id"], ignore_index=True)
+        got = [fold.step(i, us, k) for i, us, k in zip(pdf["id"], pdf["us"], pdf["key"])]
+        state.update(([t for t, _ in fold.recent], [k for _, k in fold.recent]))
+        state.setTimeoutDuration(max(window_s, cooldown_s, 1) * 1000)
+        yield pd.concat([pdf[["id", "us", "key"]], pd.DataFrame(got, columns=["sent"])], axis=1)
+
+    return rows.groupBy("gate").applyInPandasWithState(run, f"id long, us long, key string, {AlertGate.outputs}", "times array<long>, names array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def request_metrics_stream(requests: DataFrame, ts: str, window: str = "1 minute", late: str = "2 minutes", slow_ms: int = DEFAULTS.slow_ms) -> DataFrame:
     """Request counters by window; rows later than the watermark are left out."""
     return requests.withWatermark(ts, late).groupBy(F.window(ts, window), "method", "path", "status").agg(F.count("*").alias("n"), F.sum("ms").alias("total_ms"), F.count_if(F.col("ms") >= slow_ms).alias("n_slow"))
