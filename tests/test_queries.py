@@ -2,11 +2,11 @@
 
 import pytest
 
-from quarry.plans import chat, corpus, log
+from quarry.plans import chat, corpus, log, state
 from tests.compare import database, differences
 
 FOLDER = "/root/testdata/sf0.01"
-QUERIES, SQL = corpus.QUERIES | log.QUERIES | chat.QUERIES, corpus.SQL | log.SQL | chat.SQL
+QUERIES, SQL = corpus.QUERIES | log.QUERIES | chat.QUERIES | state.QUERIES, corpus.SQL | log.SQL | chat.SQL | state.SQL
 
 
 @pytest.fixture(scope="module")
