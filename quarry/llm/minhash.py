@@ -44,6 +44,8 @@ SIG_WORDS = HASHES * BITS // 64
 SLACK = 0.24
 #: Pairs that one salted run of an end's pairs holds about.
 RUN = 512
+#: Parts that a class of equal sets is dealt over.
+COPY_SALTS = 64
 #: Counters of the sketch that orders shingles from rare to frequent; as a broadcast it has this size whatever the input.
 COUNTERS = 1 << 20
 #: Distinct words that a task remembers the hashes of; then it starts afresh.
@@ -244,8 +246,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = written(rows.mapInArrow(_sketcher(n_words), SKETCH))
     sets = sketch.where("n_shingles > 0 and id is not null")
-    classes = sets.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    same = sets.select("id", "set_a", "set_b").join(classes, ["set_a", "set_b"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    # Copies join the first of their part of the class, and that joins the class's first; a class of any size is dealt over the parts.
+    salted = sets.select("id", "set_a", "set_b", F.pmod(F.xxhash64("id"), F.lit(COPY_SALTS)).cast("int").alias("salt"))
+    parts = written(salted.groupBy("set_a", "set_b", "salt").agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    tops = parts.groupBy("set_a", "set_b").agg(F.min("first").alias("top"), F.count("*").alias("k")).where("k > 1")
+    same = salted.join(parts.where("n > 1"), ["set_a", "set_b", "salt"]).select(F.col("id").alias("a"), F.col("first").alias("b"))
+    same = same.union(parts.join(tops, ["set_a", "set_b"]).select("first", "top")).where("a <> b")
     reps = sets.groupBy("set_a", "set_b").agg(F.min(F.struct("id", "sig", "bands")).alias("rep"))
     reps = written(reps.select("rep.*"))
     bands = reps.select("id", F.explode("bands").alias("band"))
