@@ -23,6 +23,8 @@ empty tables give no rows. Other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -157,16 +159,22 @@ def build(vectors: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray, i
     return x, graph.astype(np.int32), start
 
 
-def _band(vec: Column) -> Column:
-    """The power of two that the vector's norm lies at; sums are taken of components over the largest, so nothing overflows."""
-    largest = F.array_max(F.transform(vec, F.abs))
-    return F.floor(F.log2(largest) + F.log2(F.aggregate(vec, F.lit(0.0), lambda s, x: s + (x / largest) * (x / largest))) / 2).cast("int")
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds each vector's length and the power of two that its norm lies at; sums are of components over the largest, so nothing overflows."""
+    for b in batches:
+        v = b.column("v")
+        sizes = np.diff(v.offsets.to_numpy())
+        flat, starts = np.abs(v.flatten().to_numpy(zero_copy_only=False)), np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
+        largest = np.maximum.reduceat(flat, starts) if len(sizes) else np.empty(0)
+        squares = np.add.reduceat((flat / np.repeat(largest, sizes)) ** 2, starts) if len(sizes) else largest
+        band = np.floor(np.log2(largest) + np.log2(squares) / 2).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes.astype(np.int32)), pa.array(band)], ["id", "va", "v", "dim", "band"])
 
 
 def index(vectors: DataFrame, id_col: str, vec_col: str, shard_rows: int = SHARD) -> DataFrame:
     """(shard, place, id, va, v, edges, start): one row per distinct vector (id, its hash va, v), edges by place within the shard."""
     kinds = ["dim", "band"]
-    rows = vectors.select(F.col(id_col).alias("id"), "va", F.col(vec_col).alias("v"), F.size(vec_col).alias("dim"), _band(F.col(vec_col)).alias("band"))
+    rows = vectors.select(F.col(id_col).alias("id"), "va", F.col(vec_col).alias("v")).mapInArrow(_banded, "id long, va long, v array<double>, dim int, band int")
     # There are at most some two thousand powers of two for each length of vectors.
     sizes = rows.groupBy(*kinds).agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
     sizes = sizes.withColumn("first", (F.sum("shards").over(Window.orderBy(*kinds)) - F.col("shards")).cast("int"))
