@@ -283,12 +283,12 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     size = values.where("letters = 0 and path = ''").groupBy("host").agg(F.sum("n").alias("pages"))
     log_pages = F.log("pages")
     doubt = F.when(F.col("path").rlike("/(article|main)\\b"), DOUBT).otherwise(0)
-    texts = values.where("letters > 0").join(size, "host").groupBy("host", "path").agg(
-        F.sum(F.col("n") * F.col("letters")).alias("letters"), F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"), F.first("pages").alias("pages")
-    )
+    # The number of pages joins one row for each node, not one for each text.
+    each = lambda rows, *more: rows.groupBy("host", "path").agg(*more, F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("n_log_n")).join(size, "host")
+    texts = each(values.where("letters > 0"), F.sum(F.col("n") * F.col("letters")).alias("letters"))
     content = F.when(F.col("path").endswith("!"), 0.0).when(F.col("pages") == 1, 1.0).otherwise(1 - F.col("n_log_n") / F.col("n") / F.log(F.col("pages") + doubt))
     leaves = texts.select("host", "path", "letters", content.alias("own"), F.lit(0.0).alias("g"))
-    layouts = values.where("letters = 0").join(size, "host").groupBy("host", "path").agg(F.count("*").alias("l"), F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"), F.first("pages").alias("pages"))
+    layouts = each(values.where("letters = 0"), F.count("*").alias("l"))
     entropy = F.when(F.col("pages") > 1, (F.log("n") - F.col("n_log_n") / F.col("n")) / log_pages).otherwise(1.0)
     g = (F.col("l") - 1) * F.log(F.lit(G))
     held = leaves.select("host", F.explode(_branches(least=1)).alias("path"), "letters", F.col("path").alias("leaf")).where("path <> leaf").groupBy("host", "path").agg(F.sum("letters").alias("letters"))

@@ -165,7 +165,7 @@ def _planted(n, dim, cosine, seed):
     return u, cosine * u + np.sqrt(1 - cosine**2) * unit(x - (x * u).sum(axis=1, keepdims=True) * u)
 
 
-@pytest.mark.parametrize("rows", [10_000, 100_000, 1_000_000])
+@pytest.mark.parametrize("rows", [500, 10_000, 100_000, 1_000_000, 5_000_000])
 def test_vectors_at_the_limit_share_a_filter(rows):
     """The code of a table of so many distinct vectors, on pairs at exactly 0.98."""
     u, w = _planted(10_000, 64, 0.98, rows)
