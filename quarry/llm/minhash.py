@@ -44,6 +44,8 @@ SIG_WORDS = HASHES * BITS // 64
 SLACK = 0.24
 #: Pairs that one salted run of an end's pairs holds about.
 RUN = 512
+#: Ids (8 bytes each) up to which they are broadcast to pick texts; beyond it the join shuffles.
+BROADCAST_IDS = 1_000_000
 #: Parts that a class of equal sets is dealt over.
 COPY_SALTS = 64
 #: Counters of the sketch that orders shingles from rare to frequent; as a broadcast it has this size whatever the input.
@@ -269,7 +271,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = shared.where("a <> id").select("a", F.col("id").alias("b")).distinct()
     likely = stars.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
     pairs = written(likely.where(estimate(F.col("sa"), F.col("sb")) >= floor).select("a", "b"))
-    texts = written(rows.join(sigs.select("id").distinct(), "id").dropDuplicates(["id", "text"]))
+    # The ids are as many as documents that share a bucket; while they are few, texts that nobody asks for aren't shuffled.
+    wanted = sigs.select("id").distinct()
+    texts = written(rows.join(F.broadcast(wanted) if sigs.count() <= BROADCAST_IDS else wanted, "id").dropDuplicates(["id", "text"]))
     links = written(confirmed(pairs, texts, n_words, percent))
     first = components(links)
 
