@@ -133,4 +133,5 @@ def mix(
         return out.select(*columns)
     # A document's placements are as many as its source's epochs; they meet its one row and are unfolded behind the join.
     each = out.groupBy("_at").agg(F.collect_list(F.struct(*columns)).alias("p"))
-    return base.select("_at", "row").join(each, "_at").select(F.explode("p").alias("p"), "row").select("p.*", "row")
+    # Sorted on both sides whatever their size: what reads well for a small table must be what runs for a large one.
+    return base.select("_at", "row").join(each.hint("merge"), "_at").select(F.explode("p").alias("p"), "row").select("p.*", "row")
