@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType
 
-from quarry.llm.common import placed, schema
+from quarry.llm.common import partitions, placed, schema
 
 BUCKET_BYTES = 16 << 20
 #: Buckets up to which their offsets (two numbers each) are broadcast; beyond it the join shuffles.
@@ -47,7 +47,10 @@ def shuffle_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return table.take(pa.array(order)).append_column("at", pa.array(np.arange(len(table)), pa.int64())).select(["row", "size", "text_crc32", "bucket", "at"])
 
     kind = schema(row=scattered.schema["row"].dataType, size=LongType(), text_crc32=LongType(), bucket=IntegerType(), at=LongType())
-    shuffled = scattered.groupBy("bucket").applyInArrow(shuffle, kind)
+    # Dealt by number, buckets are spread evenly over the tasks; by hash two of few buckets could meet in one.
+    tasks = min(n, 16 * partitions(docs.sparkSession))
+    dealt = scattered.withColumn("task", (F.col("bucket") % tasks).cast("int")).repartitionById(tasks, "task")
+    shuffled = dealt.groupBy("task", "bucket").applyInArrow(shuffle, kind)
     sizes = scattered.groupBy("bucket").agg(F.count("*").alias("n"))
     offsets = sizes.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     return shuffled.join(F.broadcast(offsets) if n <= BROADCAST_BUCKETS else offsets, "bucket").select("row", "size", "text_crc32", "bucket", (F.col("start") + F.col("at")).alias("place"))
