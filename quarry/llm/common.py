@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
@@ -14,18 +17,23 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def placed(docs: DataFrame, name: str = "_at") -> DataFrame:
-    """docs with each row's file name and row index; what is not read from files is written once first, so that places survive retries."""
+def from_files(docs: DataFrame) -> DataFrame:
+    """docs if it is read from files, so that a task that runs again reads the same rows in the same order; else docs written once."""
     try:
-        return docs.select("*", _place(docs).alias(name))
+        docs.select(docs.metadataColumn("_metadata"))
+        return docs
     except AnalysisException:
-        kept = written(docs)
-        return kept.select("*", _place(kept).alias(name))
+        return written(docs)
+
 
+def placed(docs: DataFrame, name: str = "_at") -> DataFrame:
+    """docs with each row's place: file (its whole path, as names repeat in the folders of a partitioned table) and row index in it.
 
-def _place(df: DataFrame) -> Column:
-    meta = df.metadataColumn("_metadata")
-    return F.struct(meta.getField("file_name").alias("file"), meta.getField("row_index").alias("row"))
+    What is not read from files is written once first, so that places survive retries.
+    """
+    docs = from_files(docs)
+    meta = docs.metadataColumn("_metadata")
+    return docs.select("*", F.struct(meta.getField("file_path").alias("file"), meta.getField("row_index").alias("row")).alias(name))
 
 
 def schema(**fields: DataType) -> StructType:
@@ -42,6 +50,20 @@ def ascii_lower(col: Column) -> Column:
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
 
 
+#: What stands between words after lower-casing; bytes beyond ASCII belong to words.
+NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def word_lists(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(offsets, words): words of all texts one after the other, A-Z lower-cased, and where each text's begin. Null texts have none."""
+    lists = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "")), NO_WORD)
+    pieces = lists.flatten()
+    real = pc.greater(pc.binary_length(pieces), 0)
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))]).astype(np.int64)
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    return before[offsets - offsets[0]], pieces.filter(real)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, bpe, html, langid, linededup, minhash, mixing, sharding, toxicity, vectors
+from quarry.llm import ann, bpe, decontaminate, html, langid, linededup, minhash, mixing, resampling, sharding, toxicity, vectors
 from quarry.llm.common import read
 
 SHARDS = 24
@@ -61,7 +61,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_sharding, op3_vector_neardup, op4_mixing, op5_toxicity, op6_minhash, op7_line_dedup, op8_main_text, op9_language, op10_bpe)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    n_hit, names = decontaminate.n_hit(), F.array_join("items", ",")
+    return out.select(F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ann, op2_sharding, op3_vector_neardup, op4_mixing, op5_toxicity, op6_minhash, op7_line_dedup, op8_main_text, op9_language, op10_bpe, op11_resampling, op13_decontaminate)}
 
 SQL = {
     "op3_vector_neardup": """
@@ -94,4 +105,30 @@ SQL = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
             sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM m GROUP BY doc_id""",
+    "op11_resampling": r"""
+        WITH w AS MATERIALIZED (SELECT 0 AS kind, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents
+            UNION ALL SELECT 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') FROM benchmark),
+        feature AS MATERIALIZED (SELECT kind, doc_id, array_to_string(w[i:i + k - 1], ' ') AS g, count(*) AS n FROM w, range(1, 4) AS n(k), range(1, len(w) - k + 2) AS r(i) GROUP BY 1, 2, 3),
+        tab AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i))),
+        byte AS (SELECT g, list_transform(regexp_extract_all(hex(encode(g)), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM (SELECT DISTINCT g FROM feature)),
+        hashed AS MATERIALIZED (SELECT g, xor(list_reduce([4294967295] || b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM byte, tab),
+        f AS MATERIALIZED (SELECT kind, doc_id, bucket, sum(n)::BIGINT AS n FROM feature JOIN hashed USING (g) GROUP BY 1, 2, 3),
+        c AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE kind = 0), 0)::BIGINT AS s, coalesce(sum(n) FILTER (WHERE kind = 1), 0)::BIGINT AS t FROM f GROUP BY 1),
+        gain AS MATERIALIZED (SELECT bucket, floor(1000.0::DOUBLE * ln(((t + 1)::DOUBLE * ((SELECT sum(s) FROM c)::DOUBLE + 10000)) / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM c)::DOUBLE + 10000))))::BIGINT AS gain FROM c),
+        d AS (SELECT doc_id, sum(f.n)::BIGINT AS n_features, sum(f.n * gain)::BIGINT AS weight FROM f JOIN gain USING (bucket) WHERE kind = 0 GROUP BY 1),
+        x AS (SELECT w.doc_id, len(w.w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+            coalesce(weight, 0) + floor(-1000.0::DOUBLE * ln(-ln((('0x' || sha256('42:' || w.doc_id)[:8])::BIGINT::DOUBLE + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM w LEFT JOIN d ON d.doc_id = w.doc_id WHERE kind = 0),
+        r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM x WHERE n_words >= 20)
+        SELECT x.doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 5 * count(*) // 100 FROM x WHERE n_words >= 20) THEN rank END AS rank FROM x LEFT JOIN r ON r.doc_id = x.doc_id""",
+    "op13_decontaminate": r"""
+        WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+        win AS MATERIALIZED (SELECT DISTINCT item_id, least(10, len(w)) AS k, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g FROM b, range(1, len(w) - least(10, len(w)) + 2) AS r(i) WHERE len(w) > 0),
+        ks AS MATERIALIZED (SELECT DISTINCT k FROM win),
+        gram AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM d, ks, range(1, len(w) - k + 2) AS r(i)),
+        hit AS MATERIALIZED (SELECT doc_id, item_id, gram.k, i FROM gram JOIN win ON win.k = gram.k AND win.g = gram.g),
+        n AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM hit, range(0, k) AS r(j) GROUP BY 1),
+        it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hit WHERE item_id IS NOT NULL) GROUP BY 1)
+        SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id""",
 }
