@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -64,6 +66,16 @@ def word_lists(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return before[offsets - offsets[0]], pieces.filter(real)
 
 
+def runs_of(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """[from, to) of runs of texts of about ``size`` bytes; a longer text is a run of its own."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64) + 1)
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + size, "right")))
+        yield low, high
+        low = high
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from quarry.llm.common import schema, word_lists
+from quarry.llm.common import runs_of, schema, word_lists
 
 WINDOW = 10
 SHARD_BYTES = 8 << 20
@@ -159,16 +159,6 @@ def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[which]
 
 
-def _shards(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """[from, to) of runs of texts of about SHARD_BYTES."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64) + 1)
-    low = 0
-    while low < len(texts):
-        high = max(low + 1, int(np.searchsorted(size, (size[low - 1] if low else 0) + SHARD_BYTES, "right")))
-        yield low, high
-        low = high
-
-
 def _merge(a: list[dict], b: list[dict]) -> list[dict]:
     out: list[dict] = []
     for s in sorted(a + b, key=lambda s: s["start"]):
@@ -219,7 +209,7 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
         def run(batches: Iterator[pa.RecordBatch], one=one) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for low, high in _shards(whole.column(1)):
+                for low, high in runs_of(whole.column(1), SHARD_BYTES):
                     b = whole.slice(low, high - low)
                     n_words, found = _search(b.column(1), *one.value)
                     spans, names = b.column("spans").to_pylist(), b.column("items").to_pylist()
@@ -260,7 +250,7 @@ def longest_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
             depth = max(int(sizes.max(initial=0)), 1)
             padded = np.concatenate([block.numbers, np.zeros(depth, np.int64)])
             for b in batches:
-                for low, high in _shards(b.column(1)):
+                for low, high in runs_of(b.column(1), SHARD_BYTES):
                     part = b.slice(low, high - low)
                     shard = Shard(part.column(1), block.words, least, depth)
                     for begin in range(0, len(of), 1 << 14):

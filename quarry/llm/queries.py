@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, bpe, decontaminate, html, langid, linededup, minhash, mixing, resampling, sharding, toxicity, vectors
+from quarry.llm import ann, bpe, decontaminate, html, langid, lexical, linededup, minhash, mixing, resampling, sharding, toxicity, vectors
 from quarry.llm.common import read
 
 SHARDS = 24
@@ -66,13 +66,19 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = read(spark, sf_dir, "benchmark")
+    found = lexical.search(lexical.index(read(spark, sf_dir, "documents"), terms=lexical.distinct_terms(items)), items)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     n_hit, names = decontaminate.n_hit(), F.array_join("items", ",")
     return out.select(F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_sharding, op3_vector_neardup, op4_mixing, op5_toxicity, op6_minhash, op7_line_dedup, op8_main_text, op9_language, op10_bpe, op11_resampling, op13_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_sharding, op3_vector_neardup, op4_mixing, op5_toxicity, op6_minhash, op7_line_dedup, op8_main_text, op9_language, op10_bpe, op11_resampling, op12_lexical, op13_decontaminate)}
 
 SQL = {
     "op3_vector_neardup": """
@@ -120,6 +126,16 @@ SQL = {
             coalesce(weight, 0) + floor(-1000.0::DOUBLE * ln(-ln((('0x' || sha256('42:' || w.doc_id)[:8])::BIGINT::DOUBLE + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM w LEFT JOIN d ON d.doc_id = w.doc_id WHERE kind = 0),
         r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM x WHERE n_words >= 20)
         SELECT x.doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 5 * count(*) // 100 FROM x WHERE n_words >= 20) THEN rank END AS rank FROM x LEFT JOIN r ON r.doc_id = x.doc_id""",
+    "op12_lexical": r"""
+        WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+        b AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark),
+        st AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+        p AS MATERIALIZED (SELECT doc_id, len(w) AS dl, t.term, count(*) AS tf FROM d, unnest(w) AS t(term) GROUP BY 1, 2, 3),
+        wt AS MATERIALIZED (SELECT term, floor(1000.0::DOUBLE * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, st GROUP BY term, n),
+        g AS MATERIALIZED (SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * dl * n) // l)) AS g FROM p, st),
+        s AS (SELECT item_id, doc_id, sum(times * w * g)::BIGINT AS score FROM (SELECT item_id, term, count(*) AS times FROM b GROUP BY 1, 2) q JOIN wt USING (term) JOIN g USING (term) GROUP BY 1, 2),
+        r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT * FROM r WHERE rank <= 10""",
     "op13_decontaminate": r"""
         WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
         b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
