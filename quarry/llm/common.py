@@ -31,11 +31,14 @@ def from_files(docs: DataFrame) -> DataFrame:
 def placed(docs: DataFrame, name: str = "_at") -> DataFrame:
     """docs with each row's place: file (its whole path, as names repeat in the folders of a partitioned table) and row index in it.
 
-    What is not read from files is written once first, so that places survive retries.
+    What is not read from files is written once first, so that places survive retries, and so is what reads a file twice: places are unique.
     """
+    at = lambda df: F.struct(df.metadataColumn("_metadata").getField("file_path").alias("file"), df.metadataColumn("_metadata").getField("row_index").alias("row"))
     docs = from_files(docs)
-    meta = docs.metadataColumn("_metadata")
-    return docs.select("*", F.struct(meta.getField("file_path").alias("file"), meta.getField("row_index").alias("row")).alias(name))
+    # No column is read for it. A file that is read twice gives more rows than it holds.
+    files = docs.select(at(docs).alias("at")).groupBy("at.file").agg(F.count("*").alias("n"), F.max("at.row").alias("last"))
+    docs = written(docs) if files.where("n > last + 1").limit(1).count() else docs
+    return docs.select("*", at(docs).alias(name))
 
 
 def schema(**fields: DataType) -> StructType:

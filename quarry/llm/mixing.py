@@ -7,7 +7,7 @@ documents, epoch after epoch, cut into blocks that all hold the sources in propo
 
 With no budget given it is the smallest that takes each document at least once, so nothing is lost and small sources repeat.
 
-Words are counted in one pass, which writes a narrow row a document: its place in the input (file name and row index), id, source, count
+Words are counted in one pass, which writes a narrow row a document: its place in the input (path of the file and row index), id, source, count
 and hash. Placements are made of those; carried columns are joined last, by place, so a text is shuffled once however often it repeats.
 
 Edge cases: a null source is a source of its own; null or empty texts hold no tokens and are placed once; those of a source
@@ -96,7 +96,8 @@ def mix(
 ) -> DataFrame:
     """One row per placement: id, source, n_tokens, epoch, weight, block, slot, then the columns of ``carry`` as struct ``row``.
 
-    With ``stored``, docs is a plain read of files; else it is written once first, as places must be unique and survive retries.
+    With ``stored``, docs is a plain read of files; else it is written once first, as places must be unique and survive retries. The order of a
+    permutation depends on the places, so on the paths of the files.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row") if carry else F.lit(None).alias("row"))
     base = placed(base if stored else written(base))

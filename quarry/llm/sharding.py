@@ -5,9 +5,9 @@ Pass 2 loads one bucket at a time, puts it in a fixed order and shuffles it (Fis
 after the other are a random permutation of all records; the record at place p goes to shard p mod n, slot p div n,
 so counts of shards are at most one apart and slots have no gaps (law ``rows``).
 
-The hash covers the record's id, its text's checksum and its place in the input (file name and row index), so a group of copies of any
+The hash covers the record's id, its text's checksum and its place in the input (path of the file and row index), so a group of copies of any
 size spreads over all buckets, rows equal in everything too. Input that is not read from files is written once first: places
-must be the same when a lost task runs again. The permutation is fixed by the seed and the stored files.
+must be the same when a lost task runs again. The permutation is fixed by the seed, the stored files and their paths. The buckets' offsets are summed in one task, from a row for each bucket.
 
 Edge cases: null texts count 8 bytes and have the checksum of the empty text; null ids and repeated rows are placed like others;
 an empty table gives no rows; columns may have any name and type, nullable or not, as they travel in a struct.
