@@ -32,11 +32,11 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 from quarry.llm.common import from_files, runs_of, schema, word_lists, written
 
 K = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Words of the queries that are searched together; what the driver holds and broadcasts of them is bounded by it.
 BATCH_WORDS = 1 << 20
 #: Look-ups up to which they are broadcast to the postings; beyond it a join shuffles.
-BROADCAST_LOOKUPS = 1_000_000
+BROADCAST_LOOKUPS = 200_000
 #: Distinct terms of all queries up to which an index of those terms alone is made.
 ASKED_TERMS = 1_000_000
 
