@@ -78,10 +78,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other; each one's own scratch tables are removed when its output is written, and that when it is read."""
-    docs, before = read(spark, sf_dir, "documents"), set(scratch.made())
+    """The stages one after the other; a stage's scratch tables are removed when its output is written, and that when the next one has read it.
+
+    Only tables made by this call are: each call has a scope of its own. What the last stage reads stays until its caller's scope removes it.
+    """
+    docs, own = read(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
-        *others, own = [p for p in scratch.made() if p not in before]
-        scratch.remove(spark, others)
+        with scratch.scope() as made:
+            docs = written(stage(spark, docs, sf_dir))
+        *others, out = made
+        scratch.remove(spark, [*others, *([own] if own else [])])
+        own = out
     return STAGES[-1][1](spark, docs, sf_dir)

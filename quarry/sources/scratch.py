@@ -1,4 +1,8 @@
-"""Intermediate tables in the folder that the cluster shares (spark.checkpoint.dir)."""
+"""Intermediate tables in the folder that the cluster shares (spark.checkpoint.dir).
+
+Who makes tables within :func:`scope` knows which are its own and may remove them when their last reader is done, whatever other
+threads store meanwhile.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +10,25 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
-_made: list[str] = []
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """The paths stored by this thread inside the block, and not removed; those of a block within it, too."""
+    made: list[str] = []
+    before = _scopes.set((*_scopes.get(), made))
+    try:
+        yield made
+    finally:
+        _scopes.reset(before)
 
 
 def root(spark: SparkSession) -> str:
@@ -29,8 +46,10 @@ def root(spark: SparkSession) -> str:
 
 def folder(spark: SparkSession) -> str:
     """A new path for what is stored."""
-    _made.append(f"{root(spark)}/{uuid.uuid4().hex}")
-    return _made[-1]
+    path = f"{root(spark)}/{uuid.uuid4().hex}"
+    for made in _scopes.get():
+        made.append(path)
+    return path
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -40,14 +59,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def made() -> list[str]:
-    """Paths of the tables stored so far and not removed."""
-    return list(_made)
-
-
 def remove(spark: SparkSession, paths: Iterable[str]) -> None:
     """Deletes stored tables that nothing will read again."""
-    for path in paths:
+    for path in list(paths):
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-        _made.remove(path)
+        for made in _scopes.get():
+            if path in made:
+                made.remove(path)

@@ -1,6 +1,7 @@
 """Operators that change stored tables or the knowledge base, and small rules, against facts worked out by hand."""
 
 import json
+import threading
 
 import pandas as pd
 import pytest
@@ -155,15 +156,41 @@ def test_running_numbers(spark):
 
 
 def test_scratch_tables_are_removed(spark):
-    before = scratch.made()
-    kept = scratch.stored(spark.range(3))
-    path = next(p for p in scratch.made() if p not in before)
-    assert kept.count() == 3
-    scratch.remove(spark, [path])
+    with scratch.scope() as outer:
+        other = scratch.stored(spark.range(2))
+        with scratch.scope() as made:
+            kept = scratch.stored(spark.range(3))
+        (path,) = made
+        assert kept.count() == 3 and outer[1:] == [path]
+        scratch.remove(spark, made)
+    assert len(outer) == 1 and other.count() == 2
     with pytest.raises(Exception):
         spark.read.parquet(path)
 
 
+def test_scratch_scopes_of_threads_are_apart(spark):
+    """What another thread stores in the meantime is in no other scope."""
+    stored, inside = threading.Event(), threading.Event()
+    found = {}
+
+    def other():
+        inside.wait(60)
+        with scratch.scope() as made:
+            found["df"], found["made"] = scratch.stored(spark.range(5)), list(made)
+        stored.set()
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    with scratch.scope() as made:
+        inside.set()
+        assert stored.wait(120)
+        scratch.stored(spark.range(1))
+    thread.join()
+    assert len(made) == len(found["made"]) == 1 and made != found["made"]
+    scratch.remove(spark, made)
+    assert found["df"].count() == 5
+
+
 def test_tree_pages(spark, tmp_path):
     assert [value(spark, doctree.route_path(F.lit(r))) for r in ("/", "/a/b/", "a")] == ["index.md", "a/b.md", "a.md"] and value(spark, doctree.depth(F.lit("/a/b/"))) == 2
     found = spark.createDataFrame([("/b/", "B", 2), ("/a/x/", "X", None), ("/c/", "C", 1)], "route string, title string, ord int").withColumn("icon", F.lit(""))
