@@ -16,12 +16,14 @@ so that two near-copies on a small host don't cut each other's text. A page that
 
 Entropy can't see noise that is new on each page (a comment, an advert's text), nor any on a host of one page. So elements whose tag or
 role says that they are navigation, advertising, a form and so on are marked, and so are those whose class or id does and that don't
-hold the page's main text (:meth:`Page._judge`). A marked leaf (``#!``) has the importance 0, whatever its entropy.
+hold the page's main text (:meth:`Page._judge`; comments, adverts and boxes of other pages never do, however long). A mark is a prior of the tree: a marked
+leaf (``#!``) has ``PRIOR`` times the importance of its texts, inside article elements, too, and is cut by the tree like all other noise.
 
 Text: character references are decoded, white space in a block becomes one space, blocks are joined by one newline.
 
 Edge cases: null or empty html gives the empty text; unclosed and stray tags are forgiven; a null url and one without a host belong to
-the host without a name; repeated rows are extracted alike; ids may be null; an empty table gives no rows. Other columns are not read.
+the host without a name; repeated rows are extracted alike; ids may be null; an empty table gives no rows. Elements deeper than ``NAMED`` share the
+node of the deepest one named, so they are kept or cut as one. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ from pyspark.sql.types import StringType
 
 from quarry.llm.common import schema, written
 
-G, NOISE, INSIDE, DOUBT = 0.9, 0.45, 0.1, 8
+G, NOISE, INSIDE, DOUBT, PRIOR = 0.9, 0.45, 0.1, 8, 0.3
 #: Elements that a path names.
 NAMED = 64
 #: Pages a task remembers so as not to take an equal one again; beyond it equal ones meet in the shuffle.
@@ -58,9 +60,13 @@ RAW = frozenset("script style textarea title xmp noembed noframes".split())
 HEAD = frozenset("html title base basefont bgsound link meta script style noscript template".split())
 CUT = frozenset("nav aside footer form button select dialog menu iframe noscript template svg canvas audio video object textarea option fieldset".split())
 CUT_OUTSIDE_ARTICLE = frozenset("header".split())
-CUT_WORDS = frozenset(
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead topbar banner ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices newsletter subscribe subscription signup login share sharing social comment comments disqus respond reply replies related recommended popup modal overlay pagination pager widget toolbar skip".split()
+CUT_WORDS = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead topbar banner notice notices share sharing social popup modal overlay pagination pager widget toolbar skip".split())
+#: What is named so is no main text, whatever its length.
+NEVER_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr newsletter subscribe subscription signup login comment comments disqus discussion feedback respond responses reply replies related recommended".split()
 )
+#: A name that begins or ends so tells of another element.
+ABOUT_OTHERS = (frozenset("has have with no not without show hide".split()), frozenset("enabled disabled open opened closed on off".split()))
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
 #: A start tag closes an open element of these kinds at the top of the stack.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
@@ -70,21 +76,31 @@ _ATTR = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 _WORDS = re.compile(r"[a-z]+")
 
 
-def _style(tag: str, attrs: str, inside: bool) -> tuple[str, bool, bool]:
-    """(the element's name in paths, whether its tag or role says that it is not main text, whether its class or id does)."""
+def _named(value: str) -> int:
+    """What the names in a class or id say: 0 nothing, 1 that the element may be no main text, 2 that it is none."""
+    found = 0
+    for name in value.split():
+        words = _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+        if words and words[0] not in ABOUT_OTHERS[0] and words[-1] not in ABOUT_OTHERS[1]:
+            found = max(found, 0 if CUT_WORDS.isdisjoint(words) else 1, 0 if NEVER_WORDS.isdisjoint(words) else 2)
+    return found
+
+
+def _style(tag: str, attrs: str, inside: bool) -> tuple[str, bool, int]:
+    """(the element's name in paths, whether its tag or role says that it is not main text, what its class or id says)."""
     cut = tag in CUT or (tag in CUT_OUTSIDE_ARTICLE and not inside)
     if "=" not in attrs and "hidden" not in attrs:
-        return tag, cut, False
-    classes, words = "", set()
+        return tag, cut, 0
+    classes, marked = "", 0
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
         if name == "class":
             classes = ".".join(sorted(re.sub(r"\d+", "", x) for x in value.lower().split()))
         if name in ("class", "id"):
-            words.update(_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+            marked = max(marked, _named(value))
         elif name == "role" and value.lower() in CUT_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             cut = True
-    return f"{tag}.{classes}" if classes else tag, cut, not words.isdisjoint(CUT_WORDS)
+    return f"{tag}.{classes}" if classes else tag, cut, marked
 
 
 class Page:
@@ -97,6 +113,7 @@ class Page:
         self._stack: list[tuple[str, str, bool, bool, int, bool]] = [("", "", False, False, -1, False)]  # tag, path, cut, inside, mark, main
         self._opened: Counter[str] = Counter()  # how many of each tag the stack holds
         self._outer: list[int] = []  # of each element marked by its words the next marked one around it, -1 for none
+        self._never: list[bool] = []  # whether those words leave no doubt
         self._marks: list[tuple[int, bool]] = []  # of each block the innermost marked element, and whether it is main by its element
         at, head, low = 0, False, None
         for m in iter(lambda: _TAG.search(html, at), None):
@@ -136,6 +153,7 @@ class Page:
         * where no article or main element has text outside of them, those with over half of the page's text.
 
         Of nested ones the outer comes first. An article whose own words mark it (a comment, say) is none here. Repeated texts count once.
+        Comments, adverts and the like are cut in any case, but on a page that has no text outside of marked elements.
         """
         kept = {m: False for m in range(len(self._outer))}
         weigh: list[list[int]] = [[0, 0] for _ in self._outer]  # of each marked element: letters in all, in main elements
@@ -158,10 +176,11 @@ class Page:
                 weigh[self._outer[m]][0] += weigh[m][0]
                 weigh[self._outer[m]][1] += weigh[m][1]
             inner.setdefault(self._outer[m], []).append(m)
+        never = self._never if free[0] else [False] * len(self._never)
         for kind in (1, 0):
             if kind == 0 and free[1]:
                 break
-            heap = [(-weigh[m][kind], m) for m in range(len(self._outer)) if not kept[m] and (self._outer[m] < 0 or kept[self._outer[m]])]
+            heap = [(-weigh[m][kind], m) for m in range(len(self._outer)) if not kept[m] and not never[m] and (self._outer[m] < 0 or kept[self._outer[m]])]
             heapq.heapify(heap)
             while heap and -heap[0][0] > (free[1] if kind else every / 2):
                 m = heapq.heappop(heap)[1]
@@ -170,7 +189,8 @@ class Page:
                 free[0] += own[0]
                 free[1] += own[1]
                 for x in inner.get(m, ()):
-                    heapq.heappush(heap, (-weigh[x][kind], x))
+                    if not never[x]:
+                        heapq.heappush(heap, (-weigh[x][kind], x))
         gone = []  # whether an element or one around it is cut
         for m, outer in enumerate(self._outer):
             gone.append(not kept[m] or (outer >= 0 and gone[outer]))
@@ -201,10 +221,12 @@ class Page:
         _, path, cut, inside, mark, main = self._stack[-1]
         name, own, marked = _style(tag, attrs, inside)
         self._laid_out(path, name)
-        if tag in ("article", "main"):
-            inside, main = True, main or not marked
+        inside = inside or tag in ("article", "main")
+        if tag in ("article", "main") and marked < 2:
+            main = main or not marked
         elif marked and tag not in ("html", "body"):
             self._outer.append(mark)
+            self._never.append(marked == 2)
             mark = len(self._outer) - 1
         # Deeper elements count as part of the deepest one named.
         self._stack.append((tag, f"{path}/{name}" if len(self._stack) < NAMED else path, cut or own, inside, mark, main))
@@ -230,15 +252,18 @@ def prefixes(path: str) -> list[str]:
     return ["/".join(parts[:i]) for i in range(2, len(parts) + 1)]
 
 
-def main_text(html: str | None, cut: frozenset[str] | set[str] = frozenset()) -> str:
-    """The page's main text without the branches of ``cut`` (paths)."""
+def main_text(html: str | None, cut: frozenset[str] | set[str] | None = None) -> str:
+    """The page's text without the branches of ``cut`` (paths); of a page by itself (None) without what is marked."""
     if not html:
         return ""
-    blocks = [(path, text) for path, marked, text in Page(html).blocks if not marked]
-    if cut:
+    blocks = Page(html).blocks
+    unmarked = [b for b in blocks if not b[1]]
+    if cut is None:
+        blocks = unmarked
+    elif cut:
         known = {p: not cut.isdisjoint(prefixes(p)) for p in {b[0] for b in blocks}}
-        blocks = [b for b in blocks if not known[b[0]]] or blocks
-    return "\n".join(b[1] for b in blocks)
+        blocks = [b for b in blocks if not known[b[0]]] or unmarked
+    return "\n".join(b[2] for b in blocks)
 
 
 STATS = "host string, page long, nodes array<struct<path:string,hash:long,letters:long>>"
@@ -286,7 +311,8 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     # The number of pages joins one row for each node, not one for each text.
     each = lambda rows, *more: rows.groupBy("host", "path").agg(*more, F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("n_log_n")).join(size, "host")
     texts = each(values.where("letters > 0"), F.sum(F.col("n") * F.col("letters")).alias("letters"))
-    content = F.when(F.col("path").endswith("!"), 0.0).when(F.col("pages") == 1, 1.0).otherwise(1 - F.col("n_log_n") / F.col("n") / F.log(F.col("pages") + doubt))
+    prior = F.when(F.col("path").endswith("!"), PRIOR).otherwise(1.0)
+    content = prior * F.when(F.col("pages") == 1, 1.0).otherwise(1 - F.col("n_log_n") / F.col("n") / F.log(F.col("pages") + doubt))
     leaves = texts.select("host", "path", "letters", content.alias("own"), F.lit(0.0).alias("g"))
     layouts = each(values.where("letters = 0"), F.count("*").alias("l"))
     entropy = F.when(F.col("pages") > 1, (F.log("n") - F.col("n_log_n") / F.col("n")) / log_pages).otherwise(1.0)
@@ -306,14 +332,13 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 def cut_branches(tree: DataFrame) -> DataFrame:
     """(host, cut array<string>): the largest branches of noise. A host has as many as its templates have elements."""
-    low = F.when(F.col("path").rlike("/(article|main)\\b"), INSIDE).otherwise(NOISE)
+    low = F.when(F.col("path").rlike("/(article|main)\\b") & ~F.col("path").endswith("/#!"), INSIDE).otherwise(NOISE)
     nodes = tree.where("path <> ''").select("host", "path", (F.col("importance") < low).alias("low"))
     good = nodes.where("not low").select("host", F.explode(_branches()).alias("path")).distinct()
     noise = nodes.where("low").join(good, ["host", "path"], "left_anti")
     inner = noise.select("host", F.col("path").alias("outer"))
     largest = noise.withColumn("outer", F.regexp_replace("path", "/[^/]*$", "")).join(inner, ["host", "outer"], "left_anti")
-    # A page cuts its marked texts by itself.
-    return largest.where(~F.col("path").endswith("/#!")).groupBy("host").agg(F.collect_list("path").alias("cut"))
+    return largest.groupBy("host").agg(F.collect_list("path").alias("cut"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -446,6 +446,34 @@ def test_wrappers_named_after_what_they_lack(wrapper):
     assert html.main_text(f"<body><div {wrapper}><article>{story}</article>{cards}</div></body>") == want
 
 
+LONG = "<p>I read all of this and I think that there is a lot more to say about it than the author did, and here it is, at length</p>" * 3
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        "<article><h1>T</h1><p>The short story is here.</p><div class='comments'>{}</div></article>",
+        "<main><article><h1>T</h1><p>The short story is here.</p></article><section id='comments'><article class='comment'>{}</article><article>{}</article></section></main>",
+        "<main><h1>T</h1><p>The short story is here.</p><article class='comment-body'>{}</article></main>",
+        "<article><h1>T</h1><p>The short story is here.</p></article><div class='related-posts'>{}<article>{}</article></div>",
+        "<article><h1>T</h1><p>The short story is here.</p><div class='adSlot'>{}</div><div id='feedback-list'>{}</div></article>",
+        "<div class='content'><h1>T</h1><p>The short story is here.</p></div><div class='reply'>{}</div>",
+        "<article class='post has-comments'><h1>T</h1><div class='content-widget'><p>The short story is here.</p></div><ul class='comments'><li>{}</li></ul></article>",
+    ],
+)
+def test_comments_longer_than_the_article(spark, body):
+    """On pages by themselves and on hosts of several pages, with comments that are new on each."""
+    page = f"<html><body>{body.replace('{}', LONG)}</body></html>"
+    assert html.main_text(page) == "T\nThe short story is here."
+    many = [page.replace("story", f"story {i}").replace("I read", f"I, reader {i}, read") for i in range(4)]
+    assert _texts(spark, many) == [f"T\nThe short story {i} is here." if "T" in t.split("\n") else f"The short story {i} is here." for i, t in enumerate(_texts(spark, many))]
+    assert all(t.endswith(f"The short story {i} is here.") for i, t in enumerate(_texts(spark, many)))
+
+
+def test_a_page_of_marked_elements_alone_keeps_the_longest(spark):
+    assert html.main_text(f"<body><div class='ad-layout'><p>All that this page says</p>{LONG}</div></body>").startswith("All that this page says")
+
+
 @pytest.mark.parametrize("n", [2, 3, 7])
 def test_small_hosts_lose_what_pages_share(spark, n):
     page = "<body><div><p>Same words on every page</p></div><section><p>Story {i}</p><p>More of {i}</p></section></body>"
@@ -475,7 +503,7 @@ def _tree(pages):
     def walk(p):
         if p in texts:
             n = np.array(list(texts[p].values()))
-            value = 0.0 if p.endswith("!") else 1.0 if m == 1 else 1 - (n * np.log(n)).sum() / n.sum() / np.log(m + html.DOUBT * inside(p))
+            value = (html.PRIOR if p.endswith("!") else 1.0) * (1.0 if m == 1 else 1 - (n * np.log(n)).sum() / n.sum() / np.log(m + html.DOUBT * inside(p)))
         else:
             n = np.array(list(layouts[p].values()))
             f = html.G ** (len(n) - 1)
@@ -485,7 +513,7 @@ def _tree(pages):
         return value
 
     walk("")
-    return importance, {p for p in texts if importance[p] < (html.INSIDE if inside(p) else html.NOISE)}
+    return importance, {p for p in texts if importance[p] < (html.INSIDE if inside(p) and not p.endswith("!") else html.NOISE)}
 
 
 def test_style_tree_by_recursion(spark):
@@ -509,7 +537,8 @@ def test_style_tree_by_recursion(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     for i, (url, x) in enumerate(rows):
         gone = cut[url.split("/")[2]]
-        assert texts[i] == "\n".join(t for p, marked, t in html.Page(x).blocks if not marked and p not in gone)
+        assert all(p in gone for p, marked, _ in html.Page(x).blocks if marked)
+        assert texts[i] == "\n".join(t for p, _, t in html.Page(x).blocks if p not in gone)
     assert "Welcome" not in texts[0] and "Foot" not in texts[0] and "Every article" not in texts[0] and "Words of 0" in texts[0] and "Welcome" in texts[len(rows) - 1]
 
 
