@@ -1,16 +1,16 @@
-"""Rules for markdown: substitutions by one pattern each, and chunks as folds over an array. The pandas UDFs apply the former in Arrow batches."""
+"""Rules for markdown: substitutions by one pattern each, and chunks by a walk over offsets. pandas UDFs apply both in Arrow batches."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarry.functions.text import py_strip
-
 # Icons of admonition kinds, the word for a note without a title.
 ICONS = {
     "note": "📝", "info": "ℹ️", "tip": "💡", "hint": "💡", "important": "❗", "warning": "⚠️", "caution": "⚠️", "danger": "🚫", "error": "⛔",
@@ -108,22 +108,61 @@ def web_markdown(body: Column) -> Column:
     return _mapped(lambda t: tabs(containers(admonitions(t))))(body)
 
 
-def _gathered(pieces: Column, full: Callable[[Column, Column], Column], glue: str) -> Column:
-    """Array of groups of consecutive pieces: a piece joins the last group unless ``full(group, piece)``."""
-    last = lambda groups: F.get(groups, F.size(groups) - 1)
-    joined = lambda groups, p: F.concat(F.slice(groups, F.lit(1), F.size(groups) - 1), F.array(F.concat(last(groups), F.lit(glue), p)))
-    return F.aggregate(pieces, F.array().cast("array<string>"), lambda groups, p: F.when((F.size(groups) == 0) | full(last(groups), p), F.concat(groups, F.array(p))).otherwise(joined(groups, p)))
+_HEADING = re.compile(r"\n(?=#{1,3}[^\S\n])")
+_GAP = re.compile(r"\n\s*\n")
+_INK = re.compile(r"\S")
+
+
+def _runs(n: int, full: Callable[[int, int], bool]) -> Iterator[tuple[int, int]]:
+    """[from, to) of runs of n pieces: piece i begins a new run where ``full(from, i)``."""
+    first = 0
+    for i in range(1, n):
+        if full(first, i):
+            yield first, i
+            first = i
+    if n:
+        yield first, n
+
+
+def chunk_pieces(body: str, longest: int, packed: int, least_head: int, least: int) -> list[str]:
+    """The pieces of one text. Sections and paragraphs are walked by their offsets, each character a bounded number of times."""
+    starts = [0, *(m.end() for m in _HEADING.finditer(body)), len(body) + 1]
+    breaks = [i for i, c in enumerate(body) if c == "\n"]
+
+    def letters(a: int, b: int) -> int:
+        """Characters of body[a:b] but for line breaks and the white space at both ends."""
+        first = _INK.search(body, a, b)
+        if not first:
+            return 0
+        while body[b - 1].isspace():
+            b -= 1
+        return b - first.start() - (bisect_left(breaks, b) - bisect_left(breaks, first.start()))
+
+    out = []
+    for i, j in _runs(len(starts) - 1, lambda i, j: letters(starts[i], starts[j] - 1) >= least_head):
+        a, b = starts[i], starts[j] - 1
+        if b == len(body) and letters(a, b) < least:
+            continue
+        if b - a <= longest:
+            out.append(body[a:b].strip())
+            continue
+        parts = _GAP.split(body[a:b])
+        ends = [0, *accumulate(len(p) + 2 for p in parts)]  # with the blank line that joins it to the next
+        packs = _runs(len(parts), lambda i, j: ends[j + 1] - ends[i] - 4 > packed)  # noqa: B023
+        out += [x for x in ("\n\n".join(parts[i:j]).strip() for i, j in packs) if len(x) >= least]
+    return out
 
 
 def chunk_texts(body: Column, longest: int = 2000, packed: int = 1800, least_head: int = 50, least: int = 20) -> Column:
     """array<string>: pieces at headings of level 1 to 3 once a piece is long enough; long pieces are packed by paragraph, a long
-    paragraph staying whole. A fold over the sections, in the JVM."""
-    letters = lambda x: F.length(py_strip(F.replace(x, F.lit("\n"), F.lit(""))))
-    sections = F.split(F.coalesce(body, F.lit("")), r"\n(?=#{1,3}\s)")
-    parts = _gathered(sections, lambda group, _: letters(group) >= least_head, "\n")
-    parts = F.filter(parts, lambda p, i: (i < F.size(parts) - 1) | (letters(p) >= least))
-    packs = lambda p: F.filter(F.transform(_gathered(F.split(p, r"\n\s*\n"), lambda group, x: F.length(group) + F.length(x) > packed, "\n\n"), py_strip), lambda x: F.length(x) >= least)
-    return F.flatten(F.transform(parts, lambda p: F.when(F.length(p) <= longest, F.array(py_strip(p))).otherwise(packs(p))))
+    paragraph staying whole. A short last piece goes. Null is the empty text."""
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.fillna("").map(lambda t: chunk_pieces(t, longest, packed, least_head, least))
+
+    return run(body)
 
 
 def front_matter(raw: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import ingest, retrieval
+from quarry.operators import ingest, lexical
 from quarry.sources import scratch, writers
 
 
@@ -43,10 +43,9 @@ def update(docs: DataFrame, before: DataFrame, path: str, file_col: str, text_co
     return "updated", now
 
 
-def lexical_index(spark: SparkSession, path: str, version: str) -> retrieval.Index:
-    """The lexical index of the stored chunks for a version: made once, read again by later calls."""
-    chunks, place = spark.read.parquet(path), f"{path.rstrip('/')}-lexical/{version}"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/stats/_SUCCESS")
-    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return retrieval.load_index(spark, place, chunks, "chunk_id", "text")
-    return retrieval.index(chunks, "chunk_id", "text", path=place)
+def lexical_index(spark: SparkSession, path: str) -> lexical.Index:
+    """The lexical index of the stored chunks: built once; later calls bring it to what is stored now, at the cost of what has changed."""
+    chunks, place = spark.read.parquet(path), f"{path.rstrip('/')}-lexical"
+    if not lexical.versions(spark, place):
+        return lexical.index(chunks, "chunk_id", "text", path=place)
+    return lexical.sync(lexical.load_index(spark, place), chunks, "chunk_id", "text")

@@ -88,10 +88,10 @@ def ban_ips(bans: DataFrame, new: DataFrame, now: Column, at: str | None = None)
 
 
 def ban_user(users: DataFrame, sessions: DataFrame, user_id: int, reason: str, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(users, sessions, one row of n_kicked): inactive with the reason, all sessions gone."""
+    """(users, sessions, one row of n_kicked): inactive with the reason, all sessions gone; those without a user stay."""
     hit = F.col("id") == user_id
     new = {"is_active": F.lit(False), "ban_reason": F.lit(reason[:255]), "banned_at": now}
-    return users.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in new.items()}), sessions.where(F.col("user_id") != user_id), sessions.where(F.col("user_id") == user_id).agg(F.count("*").alias("n_kicked"))
+    return users.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in new.items()}), sessions.where(~F.col("user_id").eqNullSafe(user_id)), sessions.where(F.col("user_id") == user_id).agg(F.count("*").alias("n_kicked"))
 
 
 def unban_user(users: DataFrame, user_id: int) -> DataFrame:
@@ -107,7 +107,8 @@ def first_user_is_admin(users: DataFrame) -> DataFrame:
 
 
 def drop_expired(sessions: DataFrame, now: Column) -> DataFrame:
-    return sessions.where(F.col("expires_at") >= now)
+    """Without the sessions whose time is over; those without an expiry stay."""
+    return sessions.where(~F.coalesce(F.col("expires_at") < now, F.lit(False)))
 
 
 def feedback_rows(rows: DataFrame, now: Column) -> DataFrame:

@@ -1,139 +1,24 @@
-"""Hybrid retrieval: a stored BM25 index, cosine candidates, content dedup, rerank, neighbours, budgeted context.
+"""Hybrid retrieval: lexical and vector candidates, content dedup, rerank, neighbours, budgeted context.
 
-The index is made in one pass over the texts and kept as Parquet: postings in folders by the term's hash, sorted by term, so that a
-search reads the folders of its terms and of those the row groups that may hold them. Texts are met again by the few rows that a
-search returns. One query is a driver-side value (words and one vector); :func:`bm25_queries` takes a table of queries.
+The lexical leg is a stored index (:mod:`quarry.operators.lexical`), the vector leg an exact scan or an inverted file
+(:mod:`quarry.operators.vectors`). Texts are met again by the few rows that a search returns. One query is a driver-side value (words
+and one vector); the batched searches of the two indexes take tables of queries.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import content_hash, words
+from quarry.functions.text import content_hash
+from quarry.operators.lexical import Index, bm25_top, texts_of
 from quarry.operators.ranking import context_budget
 from quarry.sources import scratch
 
-#: The published defaults of Okapi BM25, candidates of the lexical leg, most results, budget of a prompt.
-K1, B, EPSILON = 1.5, 0.75, 0.25
-LEXICAL_POOL, MOST_RESULTS, CONTEXT_CHARS = 40, 40, 8000
-#: The term that stands for a document's length.
-LENGTH = "\0"
-
-
-@dataclass(frozen=True)
-class Index:
-    """``postings``: (bucket, term, id, tf, dl); ``df``: (term, df); ``stats``: one row (n, avgdl, avg_idf, buckets); ``docs``: (id, text)."""
-
-    postings: DataFrame
-    df: DataFrame
-    stats: DataFrame
-    docs: DataFrame
-    buckets: int
-
-
-def raw_idf(n: Column, df: Column) -> Column:
-    return F.log(n - df + 0.5) - F.log(df + 0.5)
-
-
-def _bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
-
-
-def _docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-
-
-def index(docs: DataFrame, id_col: str, text_col: str, tokenize: Callable[[Column], Column] = words, path: str | None = None, buckets: int = 16, salts: int = 4) -> Index:
-    """Tokenizes each text once and stores the index under ``path`` (else with the scratch tables).
-
-    A folder's postings are written by up to ``salts`` tasks, dealt by document, so that no frequent term fills one task. For a large
-    corpus take so many buckets that a folder is a few GB.
-    """
-    spark, path = docs.sparkSession, path or scratch.folder(docs.sparkSession)
-    tokens = _docs(docs, id_col, text_col).select("id", F.explode(F.array(tokenize(F.col("text")))).alias("tokens"))
-    each = tokens.select("id", F.size("tokens").alias("dl"), F.explode(F.array_append("tokens", F.lit(LENGTH))).alias("term"))
-    each = each.withColumn("bucket", _bucket(F.col("term"), buckets)).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-    counts = each.repartition("bucket", "salt").groupBy("bucket", "salt", "term", "id", "dl").agg(F.count("*").cast("int").alias("tf"))
-    counts.drop("salt").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
-    postings = spark.read.parquet(f"{path}/postings")
-    postings.where(F.col("term") != LENGTH).groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/df")
-    df = spark.read.parquet(f"{path}/df")
-    size = _of_terms(postings, [LENGTH], buckets).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    mean = df.crossJoin(F.broadcast(size)).agg(F.avg(raw_idf(F.col("n"), F.col("df"))).alias("avg_idf"))
-    size.crossJoin(mean).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/stats")
-    return load_index(spark, path, docs, id_col, text_col)
-
-
-def load_index(spark: SparkSession, path: str, docs: DataFrame, id_col: str, text_col: str) -> Index:
-    """A stored index without tokenizing again; refused if it holds another number of documents than ``docs``."""
-    stats = spark.read.parquet(f"{path}/stats")
-    one, rows = stats.first(), docs.count()
-    if one["n"] != rows:
-        raise ValueError(f"the index under {path} is of {one['n']} documents, not of {rows}")
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/df"), stats, _docs(docs, id_col, text_col), one["buckets"])
-
-
-def _of_terms(postings: DataFrame, terms: Sequence[str], buckets: int) -> DataFrame:
-    """Postings of some terms; folders are a function of the terms, known when the query is planned, and others aren't read."""
-    return postings.where(F.col("bucket").isin(*[_bucket(F.lit(t), buckets) for t in terms]) & F.col("term").isin(*terms))
-
-
-def corpus_stats(ix: Index) -> DataFrame:
-    """(n_docs, avgdl, n_terms, n_floored): size of the corpus and how many terms get the idf floor."""
-    terms = ix.df.crossJoin(F.broadcast(ix.stats.select("n"))).agg(F.count("*").alias("n_terms"), F.count_if(raw_idf(F.col("n"), F.col("df")) < 0).alias("n_floored"))
-    return ix.stats.select(F.col("n").alias("n_docs"), "avgdl").crossJoin(terms)
-
-
-def _weighed(ix: Index, df: DataFrame) -> DataFrame:
-    """df (with term, df) with ``idf``; negative values become EPSILON times the mean."""
-    w = raw_idf(F.col("n"), F.col("df"))
-    both = df.crossJoin(F.broadcast(ix.stats))
-    return both.select(*df.columns, F.when(w < 0, EPSILON * F.col("avg_idf")).otherwise(w).alias("idf"), "avgdl")
-
-
-def idf(ix: Index, terms: Sequence[str]) -> DataFrame:
-    """(term, df, idf) of the terms that occur."""
-    return _weighed(ix, ix.df.where(F.col("term").isin(*terms))).select("term", "df", "idf")
-
-
-def _contribution() -> Column:
-    tf, norm = F.col("tf"), K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    return F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + norm)
-
-
-def bm25(ix: Index, query_terms: Sequence[str]) -> DataFrame:
-    """(id, score) of documents with a positive score. Only postings of the query's terms are read and shuffled."""
-    times = {t: list(query_terms).count(t) for t in query_terms}
-    if not times:
-        return ix.docs.select("id", F.lit(0.0).alias("score")).where("false")
-    repeats = F.lit(None)
-    for t, n in times.items():
-        repeats = F.when(F.col("term") == t, n).otherwise(repeats)
-    # As many rows as the query has terms.
-    weights = _weighed(ix, ix.df.where(F.col("term").isin(*times)).withColumn("times", repeats))
-    found = _of_terms(ix.postings, list(times), ix.buckets).join(F.broadcast(weights), "term")
-    return found.groupBy("id").agg(F.sum(_contribution()).alias("score")).where(F.col("score") > 0)
-
-
-def bm25_top(ix: Index, query_terms: Sequence[str], k: int = LEXICAL_POOL) -> DataFrame:
-    return bm25(ix, query_terms).orderBy(F.desc("score"), "id").limit(k)
-
-
-def bm25_queries(ix: Index, queries: DataFrame, k: int = LEXICAL_POOL) -> DataFrame:
-    """(query_id, rank, id, score): the k best of each query. queries: (query_id, terms array<string>), of any number.
-
-    Queries meet postings in one join by term; the k best of a query are cut below the last shuffle.
-    """
-    asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weights = _weighed(ix, asked.join(ix.df, "term"))
-    weights = weights.withColumn("bucket", _bucket(F.col("term"), ix.buckets))
-    scores = ix.postings.join(weights, ["bucket", "term"]).groupBy("query_id", "id").agg(F.sum(_contribution()).alias("score")).where(F.col("score") > 0)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scores.select("query_id", rank.alias("rank"), "id", "score").where(F.col("rank") <= k)
+#: Most results, budget of a prompt.
+MOST_RESULTS, CONTEXT_CHARS = 40, 8000
 
 
 def cosine(vec: Column, query: Sequence[float]) -> Column:
@@ -153,12 +38,12 @@ def vector_top(vectors: DataFrame, query: Sequence[float], k: int, id_col: str =
 def candidates(ix: Index, vectors: DataFrame, query_terms: Sequence[str], query_vec: Sequence[float], pool: int, top_k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, text, sim, leg, ord, h): the vector leg, then the lexical leg's new texts (sim 0), first of equal texts kept.
 
-    Both legs are bounded (``max(pool, top_k)`` and 40 rows), so what follows them is small; texts are read for them alone, once.
+    Both legs are bounded (``max(pool, top_k)`` and 40 rows), so what follows them is small; texts are read for them alone, by their ids.
     """
     lead = vector_top(vectors, query_vec, max(pool, top_k), id_col, vec_col).select("id", F.round("sim", 4).alias("sim"), F.lit(0).alias("leg"), F.col("sim").alias("by"))
     lexical = bm25_top(ix, query_terms).select("id", F.lit(0.0).alias("sim"), F.lit(1).alias("leg"), F.col("score").alias("by"))
-    hits = lead.unionByName(lexical)
-    both = ix.docs.join(F.broadcast(hits), "id").withColumn("h", content_hash(F.col("text")))
+    hits = scratch.stored(lead.unionByName(lexical))
+    both = texts_of(ix, hits).join(F.broadcast(hits), "id").withColumn("h", content_hash(F.col("text")))
     both = both.withColumn("rank", F.row_number().over(Window.partitionBy("leg").orderBy(F.desc("by"), "id")))
     first = both.withColumn("_n", F.row_number().over(Window.partitionBy("h").orderBy("leg", "rank"))).where("_n = 1")
     return first.select("id", "text", "sim", "leg", F.row_number().over(Window.orderBy("leg", "rank")).alias("ord"), "h")

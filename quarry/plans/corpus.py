@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import markdown, text
-from quarry.operators import doctree, ingest, ranking, retrieval
+from quarry.operators import doctree, ingest, lexical, ranking, retrieval
 from quarry.sources.readers import table
 
 TERMS = ["est", "entin", "the"]
@@ -22,14 +22,14 @@ def _docs(spark, d) -> DataFrame:
     return table(spark, d, "documents")
 
 
-_indexes: dict[tuple[str, str], retrieval.Index] = {}
+_indexes: dict[tuple[str, str], lexical.Index] = {}
 
 
-def _index(spark, d) -> retrieval.Index:
+def _index(spark, d) -> lexical.Index:
     """The folder's index, made once in an application: its tables don't change while it runs."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _indexes:
-        _indexes[key] = retrieval.index(_docs(spark, d), "doc_id", "text")
+        _indexes[key] = lexical.index(_docs(spark, d), "doc_id", "text")
     return _indexes[key]
 
 
@@ -42,19 +42,19 @@ def _query_vector(spark, d) -> list[float]:
 
 
 def bm25_top(spark, d):
-    return retrieval.bm25_top(_index(spark, d), TERMS).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    return lexical.bm25_top(_index(spark, d), TERMS).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 def bm25_scores(spark, d):
-    return retrieval.bm25(_index(spark, d), TERMS).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    return lexical.bm25(_index(spark, d), TERMS).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 def bm25_corpus_stats(spark, d):
-    return retrieval.corpus_stats(_index(spark, d)).select("n_docs", F.round("avgdl", 6).alias("avgdl"), "n_terms", "n_floored")
+    return lexical.corpus_stats(_index(spark, d)).select("n_docs", F.round("avgdl", 6).alias("avgdl"), "n_terms", "n_floored")
 
 
 def bm25_idf(spark, d):
-    return retrieval.idf(_index(spark, d), TERMS).select("term", "df", F.round("idf", 6).alias("idf"))
+    return lexical.idf(_index(spark, d), TERMS).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def vector_topk(spark, d):
@@ -76,7 +76,7 @@ def hybrid_degraded(spark, d):
 def bm25_batch(spark, d):
     """All benchmark items as queries, the ten best documents of each."""
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), text.words(F.col("text")).alias("terms"))
-    return retrieval.bm25_queries(_index(spark, d), asked, 10).select("query_id", "rank", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    return lexical.bm25_queries(_index(spark, d), asked, 10).select("query_id", "rank", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 def overlap_score() -> F.Column:
@@ -90,7 +90,7 @@ def hybrid_reranked(spark, d):
 
 
 def best_hit_per_source(spark, d):
-    hits = retrieval.bm25_top(_index(spark, d), TERMS, 200)
+    hits = lexical.bm25_top(_index(spark, d), TERMS, 200)
     hits = hits.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
     routes = _docs(spark, d).select(F.col("doc_id").alias("id"), F.col("source").alias("route"), F.col("lang").alias("title"))
     best = retrieval.best_per_route(hits, routes, "id", F.col("id") % 2 == 0, top_k=200)
@@ -99,7 +99,7 @@ def best_hit_per_source(spark, d):
 
 def routed_hits(spark, d):
     """Lexical hits with metadata by the text's hash, named by file or, for files that are no page, by module."""
-    hits = retrieval.bm25_top(_index(spark, d), TERMS, 200)
+    hits = lexical.bm25_top(_index(spark, d), TERMS, 200)
     docs = _docs(spark, d).select("doc_id", "lang", "source", text.content_hash(F.col("text")).alias("h"))
     hits = docs.select(F.col("doc_id").alias("id"), "h").join(F.broadcast(hits), "id").withColumn("ord", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
     metas = docs.where("doc_id % 3 > 0").select("h", F.col("doc_id").alias("ord"), F.col("source"), F.col("lang").alias("module"), F.col("lang").alias("language"), F.concat("source", F.lit(".md")).alias("source_file"))
@@ -230,7 +230,7 @@ def _sql() -> dict[str, str]:
         st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok), df AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(t) AS term FROM tok) GROUP BY 1),
         raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df, st), idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw WHERE term IN ({terms})),
         tf AS (SELECT doc_id, len(t) AS dl, i.term, i.idf, len(list_filter(t, lambda x: x = i.term)) AS tf FROM tok, idf i),
-        score AS (SELECT doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score FROM tf, st GROUP BY 1 HAVING sum(tf) > 0)"""
+        score AS (SELECT doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score FROM tf, st GROUP BY 1 HAVING sum(tf) > 0)"""
     vec = """v AS (SELECT vec_id, list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), (SELECT list_transform(embedding, lambda x: x::DOUBLE) FROM embeddings WHERE vec_id = 0)) AS sim FROM embeddings)"""
     cand = f"""{bm}, {vec}, lead AS (SELECT vec_id AS doc_id, round(s.sim, 4) AS sim, 0 AS leg, row_number() OVER (ORDER BY s.sim DESC, vec_id) AS r FROM (SELECT * FROM v ORDER BY sim DESC, vec_id LIMIT 60) s WHERE vec_id IN (SELECT doc_id FROM documents)),
         lex AS (SELECT doc_id, 0.0::DOUBLE AS sim, 1 AS leg, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM (SELECT * FROM score WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 40)),
@@ -248,11 +248,13 @@ def _sql() -> dict[str, str]:
         "bm25_top": f"{bm} SELECT doc_id, round(score, 6) AS score FROM (SELECT * FROM score WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 40)",
         "bm25_scores": f"{bm} SELECT doc_id, round(score, 6) AS score FROM score WHERE score > 0",
         "bm25_corpus_stats": f"{bm} SELECT n AS n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM raw) AS n_terms, (SELECT count(*) FROM raw WHERE r < 0) AS n_floored FROM st",
-        "bm25_idf": f"{bm} SELECT term, df, round(idf, 6) AS idf FROM idf",
+        "bm25_idf": """WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')) AS term FROM documents),
+            r AS (SELECT term, count(*) AS df, ln((SELECT count(*) FROM documents) - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM t GROUP BY 1)
+            SELECT term, df, round(CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM r) ELSE r END, 6) AS idf FROM r WHERE term IN ('est', 'entin', 'the')""",
         "bm25_batch": f"""{bm}, every AS (SELECT term, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
             q AS (SELECT item_id AS query_id, t.term, count(*) AS times FROM benchmark, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+')) AS t(term) GROUP BY 1, 2),
             p AS (SELECT doc_id, len(t) AS dl, u.term, count(*) AS tf FROM tok, unnest(t) AS u(term) GROUP BY 1, 2, 3),
-            sc AS (SELECT query_id, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score FROM q JOIN every USING (term) JOIN p USING (term), st GROUP BY 1, 2),
+            sc AS (SELECT query_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN every USING (term) JOIN p USING (term), st GROUP BY 1, 2),
             r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, round(score, 6) AS score FROM sc WHERE score > 0) SELECT * FROM r WHERE rank <= 10""",
         "routed_hits": f"""{bm}, h AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS ord FROM (SELECT * FROM score WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 200)),
             m AS (SELECT md5(text) AS h, arg_max(source, doc_id) AS source, arg_max(lang, doc_id) AS lang FROM documents WHERE doc_id % 3 > 0 GROUP BY 1),
@@ -304,7 +306,9 @@ def _sql() -> dict[str, str]:
             k AS (SELECT up.route, list(struct_pack(t := t.title, r := t.route) ORDER BY i) AS k FROM up JOIN t ON t.route = up.a GROUP BY 1),
             o AS (SELECT t.*, row_number() OVER w AS pos, lag(depth) OVER w AS was FROM t JOIN k ON k.route = t.route WINDOW w AS (ORDER BY k.k))
             SELECT '/' AS route, string_agg(CASE WHEN was >= depth THEN repeat(']}}', was - depth + 1) || ',' ELSE '' END || '{{"route":"' || route || '","title":"' || title || '","synthetic":' || synthetic || ',"children":[', '' ORDER BY pos) || repeat(']}}', arg_max(depth, pos) + 1) AS json FROM o""",
-        "markdown_images": "SELECT lang, (count(*) + sum(len(regexp_extract_all(text, '!\\[[^\\]]*\\]\\([^()\\s]*(?:\\([^()\\s]*\\)[^()\\s]*)*\\)'))))::BIGINT AS n_images FROM documents GROUP BY 1",
+        # After an image mark: its label ends at the first bracket, a round one follows, and pairs of those inside taken out, the target ends before any white space.
+        "markdown_images": r"""SELECT lang, (count(*) + sum(len(list_filter(string_split(text, '![')[2:], lambda x: strpos(x, '](') > 0 AND strpos(x, '](') = strpos(x, ']')
+            AND regexp_matches(regexp_replace(x[strpos(x, '](') + 2:], '[(][^\s()]*[)]', '', 'g'), '^[^\s()]*[)]')))))::BIGINT AS n_images FROM documents GROUP BY 1""",
     }
 
 

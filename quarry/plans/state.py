@@ -79,7 +79,7 @@ def _users(spark, d):
 def ban_user(spark, d):
     sessions = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"))
     users, left, kicked = mutations.ban_user(_users(spark, d), sessions, 7, "spam" * 100, now())
-    return users.where("id between 5 and 9").crossJoin(F.broadcast(left.agg(F.count("*").alias("n_left")))).crossJoin(F.broadcast(kicked))
+    return users.crossJoin(F.broadcast(left.agg(F.count("*").alias("n_left")))).crossJoin(F.broadcast(kicked))
 
 
 def first_admin(spark, d):
@@ -204,7 +204,7 @@ SQL = {
     "ban_upsert": f"""WITH b AS (SELECT '10.0.0.' || s_suppkey AS ip, s_name AS reason FROM supplier WHERE s_suppkey <= 30), n AS (SELECT '10.0.0.' || (s_suppkey % 50) AS ip, arg_max(CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'again ' || s_suppkey END, s_suppkey) AS reason FROM supplier WHERE s_suppkey > 20 GROUP BY 1)
         SELECT coalesce(b.ip, n.ip) AS ip, coalesce(nullif(n.reason, ''), b.reason, '') AS reason, {_AT} AS created_at, CASE WHEN n.ip IS NOT NULL THEN {_AT} END AS expires_at FROM b FULL JOIN n ON n.ip = b.ip""",
     "ban_user": f"""SELECT c_custkey AS id, c_acctbal >= 0 AND c_custkey <> 7 AS is_active, CASE WHEN c_custkey = 7 THEN repeat('spam', 100)[:255] ELSE '' END AS ban_reason, CASE WHEN c_custkey = 7 THEN {_AT} END AS banned_at, NULL::BOOLEAN AS is_admin,
-        (SELECT count(*) FROM orders WHERE o_custkey <> 7) AS n_left, (SELECT count(*) FROM orders WHERE o_custkey = 7) AS n_kicked FROM customer WHERE c_custkey BETWEEN 5 AND 9""",
+        (SELECT count(*) FROM orders WHERE o_custkey <> 7) AS n_left, (SELECT count(*) FROM orders WHERE o_custkey = 7) AS n_kicked FROM customer""",
     "first_admin": "SELECT c_custkey AS id, c_acctbal >= 0 OR c_custkey = 3 AS is_active, c_custkey = (SELECT min(c_custkey) FROM customer) AS is_admin FROM customer",
     "live_sessions": "SELECT o_orderkey AS id, o_orderdate AS expires_at FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01'",
     "append_feedback": """WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')[:4000] AS c FROM documents WHERE doc_id % 5 > 0)

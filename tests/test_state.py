@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from quarry.functions import labels, lorebook, markdown, text
-from quarry.operators import doctree, ingest, knowledge, mutations, retrieval, usage
+from quarry.operators import doctree, ingest, knowledge, lexical, mutations, retrieval, usage
 from quarry.sources import readers, scratch, writers
 from quarry.streaming import gates
 
@@ -229,22 +229,6 @@ def test_generated_cards_and_books(spark):
     assert got["tags"] == [] and [(e["depth"], e["comment"], e["trigger_words"]) for e in got["entries"]] == [(1, "", []), (4, "c", ["w"])]
 
 
-def test_stored_index_is_read_again_and_refused_if_it_does_not_fit(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "red fox and red dog"), (2, "blue fox"), (3, ""), (4, "the dog sleeps all day"), (5, None), (6, "birds fly")], "id long, text string")
-    made = retrieval.index(docs, "id", "text", path=str(tmp_path / "ix"), buckets=4)
-    again = retrieval.load_index(spark, str(tmp_path / "ix"), docs, "id", "text")
-    for terms in (["red", "fox"], ["red", "red", "dog"], ["none"], []):
-        assert rows(retrieval.bm25(made, terms), "id") == rows(retrieval.bm25(again, terms), "id")
-    asked = spark.createDataFrame([("a", ["red", "fox"]), ("b", ["dog", "none"]), ("c", [])], "query_id string, terms array<string>")
-    batch = {}
-    for r in retrieval.bm25_queries(again, asked, 2).orderBy("query_id", "rank").collect():
-        batch.setdefault(r["query_id"], []).append((r["id"], round(r["score"], 9)))
-    assert batch == {q: [(r["id"], round(r["score"], 9)) for r in retrieval.bm25_top(again, t, 2).collect()] for q, t in (("a", ["red", "fox"]), ("b", ["dog", "none"]))}
-    assert again.postings.where("term = 'red'").first()["tf"] == 2
-    with pytest.raises(ValueError, match="documents"):
-        retrieval.load_index(spark, str(tmp_path / "ix"), docs.limit(2), "id", "text")
-
-
 def test_results_with_metadata_neighbours_and_routes(spark):
     hits = spark.createDataFrame([(1, "h1", 1), (2, "h2", 2), (3, "h3", 3), (4, "h4", 4)], "id long, h string, ord int")
     metas = spark.createDataFrame([("h1", 1, "s", "m1", "en", "a.md"), ("h1", 2, None, None, None, "b.md"), ("h2", 1, "s", "a.md", "zh", "gone.md"), ("h4", 1, "s", "", "zh", None)], "h string, ord int, source string, module string, language string, source_file string")
@@ -276,9 +260,9 @@ def test_knowledge_base_is_rebuilt_and_updated(spark, tmp_path):
     args = ("file", "text", F.lit("docs"), lengths, "m")
     manifest = scratch.stored(knowledge.rebuild(docs("one text of some length", "another text of some length", "few words of its own there"), path, *args))
     first = {r["chunk_id"] for r in knowledge.load_vectors(spark, path).collect()}
-    ix = knowledge.lexical_index(spark, path, "v1")
-    assert len(first) == 3 and [r["id"] in first for r in retrieval.bm25_top(ix, ["another"]).collect()] == [True]
-    assert knowledge.lexical_index(spark, path, "v1").stats.first() == ix.stats.first()
+    ix = knowledge.lexical_index(spark, path)
+    assert len(first) == 3 and [r["id"] in first for r in lexical.bm25_top(ix, ["another"]).collect()] == [True]
+    assert knowledge.lexical_index(spark, path).version == ix.version == 0
     assert knowledge.update(docs("one text of some length", "another text of some length", "few words of its own there"), manifest, path, *args)[0] == "current"
     status, _ = knowledge.update(docs("one text of some length", "a changed text of some length", "a third text of some length"), manifest, path, *args)
     stored = knowledge.load_vectors(spark, path)
