@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import markdown, text
-from quarry.operators import doctree, ingest, lexical, ranking, retrieval
+from quarry.operators import doctree, ingest, lexical, ranking, retrieval, vectors
 from quarry.sources.readers import table
 
 TERMS = ["est", "entin", "the"]
@@ -61,6 +61,38 @@ def vector_topk(spark, d):
     return retrieval.vector_top(_vectors(spark, d), _query_vector(spark, d), 40).select(F.col("id").alias("vec_id"), F.round("sim", 4).alias("sim"))
 
 
+_files: dict[tuple[str, str], vectors.Index] = {}
+
+
+def _vector_index(spark, d) -> vectors.Index:
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _files:
+        _files[key] = vectors.index(_vectors(spark, d))
+    return _files[key]
+
+
+def vector_index_topk(spark, d):
+    """The same by the inverted file: codes of all lists choose ten rows for each result, vectors score them."""
+    ix = _vector_index(spark, d)
+    return vectors.search(ix, _query_vector(spark, d), 40, probe=ix.lists, refine=10).select(F.col("id").alias("vec_id"), F.round("sim", 4).alias("sim"))
+
+
+def vector_index_batch(spark, d):
+    """Every fifth vector as a query, its 40 nearest of the lists it probes."""
+    rows = _vectors(spark, d)
+    found = vectors.search_all(_vector_index(spark, d), rows.where("vec_id % 5 = 0"), 40, id_col="vec_id")
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("sim", 4).alias("sim"))
+
+
+def bm25_updated(spark, d):
+    """Scores after an update of the stored index: some documents changed, some removed, some added again as others."""
+    ix, docs = _index(spark, d), _docs(spark, d).select(F.col("doc_id").alias("id"), "text")
+    changed = docs.where("id % 7 = 0").withColumn("text", F.concat("text", F.lit(" est entin")))
+    added = docs.where("id % 13 = 0").select((F.col("id") + 1_000_000).alias("id"), "text")
+    now = lexical.update(ix, changed.union(added), docs.where("id % 11 = 0 and id % 7 > 0").select("id"))
+    return lexical.bm25(now, TERMS).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 def _candidates(spark, d):
     return retrieval.candidates(_index(spark, d), _vectors(spark, d), TERMS, _query_vector(spark, d), pool=60, top_k=5)
 
@@ -220,7 +252,7 @@ def markdown_images(spark, d):
     return _docs(spark, d).groupBy("lang").agg(F.sum(markdown.image_count(F.concat(F.lit("![a](b(c)) [d](e) "), "text"))).alias("n_images"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_top, bm25_scores, bm25_corpus_stats, bm25_idf, bm25_batch, routed_hits, expanded_results, nested_tree, vector_topk, hybrid_candidates, hybrid_degraded, hybrid_reranked, best_hit_per_source, context_expand, context_budget, prompt_context, content_dedup_first, md5_duplicates, width_to_full, width_round_trip, drop_blank_lines, json_props, source_digest, chunk_documents, cache_misses, drift, changed_paths, corpus_fingerprint, path_hierarchy, tree_order, markdown_images)}
+QUERIES = {f.__name__: f for f in (bm25_top, bm25_scores, bm25_corpus_stats, bm25_idf, bm25_batch, bm25_updated, vector_index_topk, vector_index_batch, routed_hits, expanded_results, nested_tree, vector_topk, hybrid_candidates, hybrid_degraded, hybrid_reranked, best_hit_per_source, context_expand, context_budget, prompt_context, content_dedup_first, md5_duplicates, width_to_full, width_round_trip, drop_blank_lines, json_props, source_digest, chunk_documents, cache_misses, drift, changed_paths, corpus_fingerprint, path_hierarchy, tree_order, markdown_images)}
 
 
 @lru_cache(maxsize=1)
@@ -272,6 +304,8 @@ def _sql() -> dict[str, str]:
                 lambda a, x: CASE WHEN length(a[-1]) + length(x[1]) > 1800 THEN a || x ELSE a[:-2] || [a[-1] || chr(10) || chr(10) || x[1]] END), lambda x: trim(x, chr(9) || chr(10) || ' ')), lambda x: length(x) >= 20) END) AS text
                 FROM k, range(1, len(g) + 1) AS r(i)), n AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_index FROM c)
             SELECT md5(concat_ws('|', source, doc_id, chunk_index, md5(text))) AS chunk_id, doc_id AS source_file, chunk_index, text, md5(text) AS chunk_hash, source FROM n""",
+        "vector_index_topk": f"WITH {vec} SELECT vec_id, round(sim, 4) AS sim FROM (SELECT * FROM v ORDER BY sim DESC, vec_id LIMIT 40)",
+        "bm25_updated": bm.replace("FROM documents)", "FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || ' est entin' ELSE text END AS text FROM documents WHERE doc_id % 11 > 0 OR doc_id % 7 = 0 UNION ALL SELECT doc_id + 1000000, text FROM documents WHERE doc_id % 13 = 0))") + " SELECT doc_id, round(score, 6) AS score FROM score WHERE score > 0",
         "vector_topk": f"WITH {vec} SELECT vec_id, round(sim, 4) AS sim FROM (SELECT * FROM v ORDER BY sim DESC, vec_id LIMIT 40)",
         "hybrid_candidates": f"{cand} SELECT ord::INT AS ord, doc_id, leg, sim FROM c",
         "hybrid_degraded": f"{cand} SELECT row_number() OVER (ORDER BY sim DESC, ord)::INT AS ord, doc_id, text[:500] AS content, sim AS score FROM (SELECT * FROM c ORDER BY sim DESC, ord LIMIT 10)",
