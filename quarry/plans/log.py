@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import labels
-from quarry.operators import ranking, usage
+from quarry.operators import quotas, ranking, usage
 from quarry.sources.readers import table
 from quarry.streaming import gates
 
@@ -121,6 +121,13 @@ def quota_gates(spark, d):
     return usage.quota_snapshot(up, _attachments(spark, d), F.lit("1995-06-17 12:00:00").cast("timestamp_ntz"), labels.Tunables(total_mb=100_000))
 
 
+def quota_replay(spark, d):
+    """All uploads in order, each judged by what was taken before it."""
+    n = F.col("id")
+    up = as_log(spark, d).select("id", (F.col("user_id") % 300).alias("user_id"), "ip", "created_at", ((n % 7) * 4 * 1024 * 1024 + n % 1000).alias("bytes"), (n % 5).cast("int").alias("files"))
+    return quotas.quota_replay(up, t=labels.Tunables(total_mb=9_000)).select("id", "refused")
+
+
 def rate_limit(spark, d):
     log = as_log(spark, d)
     return gates.rate_limit(log, ["ip"], "created_at", "id", labels.rate_cap(F.lit("heavy"), F.col("username") != "", labels.Tunables(rate_user=3, rate_anonymous=2)), window_s=6 * 3600)
@@ -171,7 +178,7 @@ def ip_labels(spark, d):
     return log.select("id", labels.normalize_ip(raw).alias("ip"), labels.is_loopback(raw).alias("loopback"), labels.client_ip(hops, F.lit(""), F.lit("9.9.9.9")).alias("client"))
 
 
-QUERIES = {f.__name__: f for f in (active_keys, overview, login_summary, newest_logins, user_rollup, log_page, log_filtered_count, answered_label, retention_keep_newest, request_metrics, request_severity, url_templates, storage_usage, quota_gates, rate_limit, fixed_anchor_dedup, alert_gate, consecutive_failures, llm_usage, items_page, ip_labels, ban_list, user_books, user_cards)}
+QUERIES = {f.__name__: f for f in (active_keys, overview, login_summary, newest_logins, user_rollup, log_page, log_filtered_count, answered_label, retention_keep_newest, request_metrics, request_severity, url_templates, storage_usage, quota_gates, quota_replay, rate_limit, fixed_anchor_dedup, alert_gate, consecutive_failures, llm_usage, items_page, ip_labels, ban_list, user_books, user_cards)}
 
 _STATUS = "CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 404 ELSE 200 END"
 _ATT = "att AS (SELECT o_orderkey AS id, o_custkey % 200 AS user_id, '10.0.0.' || (o_orderkey % 50) AS ip, trunc(o_totalprice * 10)::BIGINT AS size, o_orderdate AS created_at FROM orders)"
@@ -203,6 +210,13 @@ SQL = {
         u AS (SELECT user_id, count(*) AS n FROM att GROUP BY 1), i AS (SELECT ip, count(*) AS n FROM att WHERE created_at >= TIMESTAMP '1995-06-17' GROUP BY 1)
         SELECT up.*, CASE WHEN (SELECT coalesce(sum(size), 0) FROM att) + bytes > 100000 * 1048576::BIGINT THEN 'total' WHEN bytes > 20 * 1048576 THEN 'file' WHEN files > 3 THEN 'submit'
             WHEN coalesce(u.n, 0) + files > 50 THEN 'user' WHEN coalesce(i.n, 0) + files > 5 THEN 'ip_day' END AS refused FROM up LEFT JOIN u ON u.user_id = up.user_id LEFT JOIN i ON i.ip = up.ip""",
+    "quota_replay": f"""{LOG.replace("WITH log", "WITH RECURSIVE log")}, q AS MATERIALIZED (SELECT id, user_id % 300 AS u, ip, created_at::DATE AS day, (id % 7) * 4 * 1048576 + id % 1000 AS bytes, id % 5 AS files, row_number() OVER (ORDER BY created_at, id) AS n FROM log),
+        r AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS id, NULL::VARCHAR AS refused, NULL::DATE AS day, 0::BIGINT AS total, MAP([-1::BIGINT], [0::BIGINT]) AS us, MAP(['none'], [0::BIGINT]) AS ips
+            UNION ALL SELECT x.n, x.id, x.g, x.day, CASE WHEN g IS NULL THEN total + bytes ELSE total END, CASE WHEN g IS NULL THEN map_concat(us, MAP([x.u], [coalesce(us[x.u], 0) + files])) ELSE us END,
+                CASE WHEN g IS NULL THEN map_concat(x.was, MAP([x.ip], [coalesce(x.was[x.ip], 0) + files])) ELSE x.was END
+            FROM (SELECT *, CASE WHEN total + bytes > 9000 * 1048576::BIGINT THEN 'total' WHEN bytes > 20 * 1048576 THEN 'file' WHEN files > 3 THEN 'submit' WHEN coalesce(us[u], 0) + files > 50 THEN 'user' WHEN coalesce(was[ip], 0) + files > 5 THEN 'ip_day' END AS g
+                FROM (SELECT q.*, r.total, r.us, CASE WHEN r.day = q.day THEN r.ips ELSE MAP(['none'], [0::BIGINT]) END AS was FROM r JOIN q ON q.n = r.n + 1)) x)
+        SELECT id, refused FROM r WHERE n > 0""",
     "rate_limit": f"""{LOG.replace("WITH log", "WITH RECURSIVE log")}, h AS MATERIALIZED (SELECT ip, id, epoch_us(created_at) AS us, CASE WHEN username <> '' THEN 3 ELSE 2 END::BIGINT AS cap, row_number() OVER (PARTITION BY ip ORDER BY created_at, id) AS n FROM log),
         step AS (SELECT ip, id, us, cap, n, []::BIGINT[] AS kept FROM h WHERE n = 1
             UNION ALL SELECT h.ip, h.id, h.us, h.cap, h.n, list_filter(CASE WHEN len(s.kept) < s.cap THEN s.kept || [s.us] ELSE s.kept END, lambda t: t > h.us - 21600000000) FROM step s JOIN h ON h.ip = s.ip AND h.n = s.n + 1)
