@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarry.functions.segment import convert_phrases
+
 #: The 94 printable ASCII characters and the space, with their full-width forms.
 HALF = "".join(chr(c) for c in range(0x20, 0x7F))
 FULL = "　" + "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F))
@@ -109,11 +111,12 @@ def format_text(text: Column, operation: str) -> Column:
     return F.struct(out.alias("text"), F.when(out.isNull(), F.lit(bad)).alias("message"))
 
 
-def convert_chinese(text: Column, direction: str, tables: Mapping[str, Mapping[str, str]]) -> Column:
-    """Script conversion by a table of characters for each direction, as the caller has them; no dictionary comes with the library."""
+def convert_chinese(text: Column, direction: str, tables: Mapping[str, Mapping[str, str] | Sequence[Mapping[str, str]]]) -> Column:
+    """Script conversion by a direction's table of phrases and characters, or by several in turn (phrases, then regional variants), as the
+    caller has them; no dictionary comes with the library. Of what fits at a place the longest phrase counts."""
     if direction not in CHINESE_DIRECTIONS:
         raise ValueError(f"unsupported direction: {direction}")
     if direction not in tables:
         raise LookupError(f"no table of characters for {direction}")
-    table = tables[direction]
-    return F.translate(text, "".join(table), "".join(table.values()))
+    chain = tables[direction]
+    return convert_phrases(text, [chain] if isinstance(chain, Mapping) else chain)
