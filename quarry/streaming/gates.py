@@ -3,7 +3,8 @@
 Each is a small fold with bounded state. Batches replay history exactly and in parallel: after a quiet stretch as long as the rule
 remembers, its state is empty, so history is cut there (:func:`quiet_segments`) and each piece is folded by itself, streamed in
 order through Arrow batches. Only a key that never pauses is one piece, and it too is streamed, not collected. Streams keep the
-same folds in keyed state.
+same folds in keyed state and decide by event time, so they agree with the batches; they need a session whose state store is RocksDB
+(``quarry.session.SETTINGS``).
 """
 
 from __future__ import annotations
@@ -11,12 +12,13 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from quarry.functions.labels import DEFAULTS
@@ -27,10 +29,16 @@ SECOND = 1_000_000
 class RateFold:
     """At most ``cap`` admissions in any window. ``times``: the admissions the rule still remembers, in order; refused hits leave no trace."""
 
-    outputs = "allowed boolean, retry_after long"
+    outputs, saved = "allowed boolean, retry_after long", "times array<long>"
 
     def __init__(self, window_s: int = DEFAULTS.rate_window_s, times: Sequence[int] = ()):
-        self.window, self.times = window_s * SECOND, list(times)
+        self.window, self.times = window_s * SECOND, [int(x) for x in times]
+
+    def save(self) -> tuple:
+        return (self.times,)
+
+    def newest(self) -> int:
+        return self.times[-1] if self.times else 0
 
     def step(self, id_: int, us: int, cap: int) -> tuple[bool, int]:
         del self.times[: bisect_right(self.times, us - self.window)]
@@ -45,11 +53,17 @@ class RateFold:
 class FixedAnchor:
     """A row within the window of its key's anchor is a repeat of it; the anchor is not moved by repeats."""
 
-    outputs = "anchor_id long, repeat_no long"
+    outputs, saved = "anchor_id long, repeat_no long", "anchor long, since long, n long"
 
-    def __init__(self, window_s: int = DEFAULTS.dedup_seconds, state: Sequence[int] = ()):
+    def __init__(self, window_s: int = DEFAULTS.dedup_seconds, anchor: int = 0, since: int | None = None, n: int = 0):
         self.window = window_s * SECOND
-        self.anchor, self.since, self.n = state or (0, None, 0)
+        self.anchor, self.since, self.n = anchor, since, n
+
+    def save(self) -> tuple:
+        return self.anchor, self.since, self.n
+
+    def newest(self) -> int:
+        return self.since or 0
 
     def step(self, id_: int, us: int, cap: int) -> tuple[int, int]:
         if self.since is None or us - self.since >= self.window:
@@ -61,11 +75,17 @@ class FixedAnchor:
 class AlertGate:
     """At most ``most`` alerts of all keys in a window, then a cooldown of each key; only what is sent counts."""
 
-    outputs = "sent boolean"
+    outputs, saved = "sent boolean", "times array<long>, keys array<string>"
 
-    def __init__(self, window_s: int = DEFAULTS.alert_window_s, most: int = DEFAULTS.alerts_per_window, cooldown_s: int = DEFAULTS.alert_cooldown_s):
+    def __init__(self, window_s: int = DEFAULTS.alert_window_s, most: int = DEFAULTS.alerts_per_window, cooldown_s: int = DEFAULTS.alert_cooldown_s, times: Sequence[int] = (), keys: Sequence[str] = ()):
         self.window, self.most, self.cooldown = window_s * SECOND, most, cooldown_s * SECOND
-        self.recent: deque[tuple[int, str]] = deque()
+        self.recent: deque[tuple[int, str]] = deque(zip(map(int, times), keys))
+
+    def save(self) -> tuple:
+        return [t for t, _ in self.recent], [k for _, k in self.recent]
+
+    def newest(self) -> int:
+        return self.recent[-1][0] if self.recent else 0
 
     def step(self, id_: int, us: int, key: str) -> tuple[bool]:
         keep = max(self.window, self.cooldown)
@@ -78,6 +98,57 @@ class AlertGate:
         return (True,)
 
 
+class Replay(StatefulProcessor):
+    """One fold for each key of a stream. Rows wait in state until the watermark has passed them and are folded in order of time and id; a timer
+    wakes the key then, and once more when the fold has forgotten everything, to drop its state."""
+
+    def __init__(self, keys: list[str], make: Callable, columns: list[str], waiting: StructType, out: list[str], value: str, gap_us: int):
+        self.keys, self.make, self.columns, self.kind, self.out, self.value, self.gap = keys, make, columns, waiting, out, value, gap_us
+        self.names = [f.name for f in StructType.fromDDL(make().saved)]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.fold = handle.getValueState("fold", self.make().saved)
+        self.waiting = handle.getListState("waiting", self.kind)
+
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer(-(-us // 1000))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [tuple(None if pd.isna(x) else x for x in r) for pdf in rows for r in pdf[self.columns].astype(object).itertuples(index=False, name=None)]
+        self.waiting.appendList(new)
+        self._wake(min(int(r[self.columns.index("us")]) for r in new))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        id_, us, value = (self.columns.index(c) for c in ("id", "us", self.value))
+        rows = sorted(self.waiting.get(), key=lambda r: (r[us], r[id_])) if self.waiting.exists() else []
+        ready, rest = [r for r in rows if r[us] <= passed], [r for r in rows if r[us] > passed]
+        fold = self.make(*self.fold.get()) if self.fold.exists() else self.make()
+        got = [fold.step(r[id_], r[us], r[value]) for r in ready]
+        if ready:
+            self.fold.update(fold.save())
+        self.waiting.put(rest) if rest else self.waiting.clear()
+        if rest:
+            self._wake(rest[0][us])
+        elif self.fold.exists():
+            if fold.newest() + self.gap <= passed:
+                self.fold.clear()
+            else:
+                self._wake(fold.newest() + self.gap)
+        if ready:
+            yield pd.DataFrame([(*key, *r, *g) for r, g in zip(ready, got)], columns=[*self.keys, *self.columns, *self.out[len(self.keys) + len(self.columns) :]])[self.out]
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        row = initialState.iloc[0]
+        self.fold.update(tuple([int(x) for x in row[n]] if hasattr(row[n], "__len__") else int(row[n]) for n in self.names))
+        self._wake(self.make(*self.fold.get()).newest() + self.gap)
+
+    def close(self) -> None:
+        pass
+
+
 def quiet_segments(df: DataFrame, keys: Sequence[str], us: str, order: str, gap_s: int, slab_s: int = 86_400) -> DataFrame:
     """df with ``segment``: the time at which the key's last stretch without a pause of ``gap_s`` began.
 
@@ -158,42 +229,47 @@ def merged_log(log: DataFrame, anchors: DataFrame) -> DataFrame:
     return out.select(*[new[c].alias(c) if c in new else log[c] for c in log.columns if c != "repeat_count"], latest["repeat_count"])
 
 
-def rate_limit_stream(hits: DataFrame, keys: Sequence[str], ts: str, id_col: str, cap: int, window_s: int = DEFAULTS.rate_window_s) -> DataFrame:
-    """The rate limit on a stream: state is the admitted times within one window, dropped after a window of silence."""
-    rows = hits.select(*keys, F.col(id_col).alias("id"), _micros(ts).alias("us"))
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        fold = RateFold(window_s, state.get[0] if state.exists else ())
-        pdf = pd.concat(list(batches)).sort_values(["us", "id"], ignore_index=True)
-        got = [fold.step(i, us, cap) for i, us in zip(pdf["id"], pdf["us"])]
-        state.update((fold.times,))
-        state.setTimeoutDuration(window_s * 1000)
-        yield pd.concat([pdf, pd.DataFrame(got, columns=["allowed", "retry_after"])], axis=1)
-
-    return rows.groupBy(*keys).applyInPandasWithState(run, f"{kind}, {RateFold.outputs}", "hits array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def fixed_anchor_stream(log: DataFrame, keys: Sequence[str], ts: str, id_col: str, window_s: int = DEFAULTS.dedup_seconds) -> DataFrame:
-    """Dedup on a stream: state is the anchor's id, time and count."""
-    rows = log.select(*keys, F.col(id_col).alias("id"), _micros(ts).alias("us"))
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        fold = FixedAnchor(window_s, tuple(state.get) if state.exists else ())
-        pdf = pd.concat(list(batches)).sort_values(["us", "id"], ignore_index=True)
-        got = [fold.step(i, us, 0) for i, us in zip(pdf["id"], pdf["us"])]
-        state.update((fold.anchor, fold.since, fold.n))
-        state.setTimeoutDuration(max(1, window_s) * 1000)
-        yield pd.concat([pdf, pd.DataFrame(got, columns=["anchor_id", "repeat_no"])], axis=1)
-
-    return rows.groupBy(*keys).applyInPandasWithState(run, f"{kind}, {FixedAnchor.outputs}", "anchor long, since long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def _stream(rows: DataFrame, keys: Sequence[str], ts: str, value: str, make: Callable, gap_s: int, late: str, initial: DataFrame | None) -> DataFrame:
+    rows = rows.withWatermark(ts, late)
+    kept = [f for f in rows.schema.fields if f.name != ts]
+    kind = StructType([*kept, *StructType.fromDDL(make().outputs).fields])
+    waiting = StructType([f for f in kept if f.name not in keys])
+    processor = Replay(list(keys), make, [f.name for f in waiting], waiting, [f.name for f in kind], value, gap_s * SECOND)
+    start = None if initial is None else initial.groupBy(*keys)
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, kind, "Append", "EventTime", start)
+
+
+def rate_limit_stream(hits: DataFrame, keys: Sequence[str], ts: str, id_col: str, cap, window_s: int = DEFAULTS.rate_window_s, late: str = "0 seconds", initial: DataFrame | None = None) -> DataFrame:
+    """The rate limit on a stream, as :func:`rate_limit` decides it. A hit is decided when the watermark, ``late`` behind the newest, has passed it, in
+    order of time whatever the order of arrival; later ones are left out. ``initial``: :func:`rate_state` of the history before the stream."""
+    rows = hits.select(*keys, F.col(ts).cast("timestamp").alias(ts), F.col(id_col).alias("id"), _micros(ts).alias("us"), (F.lit(cap) if isinstance(cap, int) else cap).cast("long").alias("cap"))
+    return _stream(rows, keys, ts, "cap", partial(RateFold, window_s), window_s, late, initial)
+
+
+def fixed_anchor_stream(log: DataFrame, keys: Sequence[str], ts: str, id_col: str, window_s: int = DEFAULTS.dedup_seconds, late: str = "0 seconds", initial: DataFrame | None = None) -> DataFrame:
+    """Dedup on a stream: state is the anchor's id, time and count, and the rows that the watermark has not passed."""
+    rows = log.select(*keys, F.col(ts).cast("timestamp").alias(ts), F.col(id_col).alias("id"), _micros(ts).alias("us"), F.lit(0).cast("long").alias("cap"))
+    return _stream(rows, keys, ts, "cap", partial(FixedAnchor, window_s), max(1, window_s), late, initial).drop("cap")
+
+
+def alert_gate_stream(alerts: DataFrame, key: str, ts: str, id_col: str, window_s: int = DEFAULTS.alert_window_s, most: int = DEFAULTS.alerts_per_window, cooldown_s: int = DEFAULTS.alert_cooldown_s, late: str = "0 seconds") -> DataFrame:
+    """The alert gate on a stream. The gate is one for all keys, so it is one state, of what was sent within its memory; its task sees alerts alone."""
+    rows = alerts.select(F.lit(0).alias("gate"), F.col(ts).cast("timestamp").alias(ts), F.col(id_col).alias("id"), _micros(ts).alias("us"), F.col(key).cast("string").alias("key"))
+    return _stream(rows, ["gate"], ts, "key", partial(AlertGate, window_s, most, cooldown_s), max(window_s, cooldown_s), late, None).drop("gate")
+
+
+def rate_state(decided: DataFrame, keys: Sequence[str], window_s: int = DEFAULTS.rate_window_s) -> DataFrame:
+    """(keys, times): what a stream must remember of a batch that :func:`rate_limit` decided: each key's admissions of its last window, at most its cap."""
+    last = Window.partitionBy(*keys)
+    recent = decided.where("allowed").withColumn("_last", F.max("us").over(last)).where(F.col("us") > F.col("_last") - window_s * SECOND)
+    return recent.groupBy(*keys).agg(F.array_sort(F.collect_list("us")).alias("times"))
+
+
+def anchor_state(decided: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, anchor, since, n): each key's last anchor in a batch that :func:`fixed_anchor` decided."""
+    at = F.struct("us", "id")
+    last = decided.groupBy(*keys, "anchor_id").agg(F.min("us").alias("since"), F.max("repeat_no").alias("n"), F.max(at).alias("_at"))
+    return last.groupBy(*keys).agg(F.max_by(F.struct(F.col("anchor_id").alias("anchor"), "since", "n"), "_at").alias("s")).select(*keys, "s.*")
 
 
 def request_metrics_stream(requests: DataFrame, ts: str, window: str = "1 minute", late: str = "2 minutes", slow_ms: int = DEFAULTS.slow_ms) -> DataFrame:

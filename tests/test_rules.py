@@ -70,17 +70,6 @@ def test_alert_gate_replay(hits):
     assert {r["id"]: r["sent"] for r in gates.alert_gate(df, "k", "ts", "id").collect()} == want
 
 
-def test_streams_agree_with_batches(spark, hits, tmp_path):
-    rows, df = hits
-    df.where("k is not null").orderBy("us").coalesce(1).write.parquet(str(tmp_path / "in"))
-    for make, column, batch in ((lambda s: gates.rate_limit_stream(s, ["k"], "ts", "id", 3), "allowed", gates.rate_limit(df, ["k"], "ts", "id", 3)), (lambda s: gates.fixed_anchor_stream(s, ["k"], "ts", "id"), "anchor_id", gates.fixed_anchor(df, ["k"], "ts", "id"))):
-        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-        query = make(stream).writeStream.format("memory").queryName(f"out_{column}").option("checkpointLocation", str(tmp_path / column)).trigger(availableNow=True).start()
-        query.awaitTermination(120)
-        got = {r["id"]: r[column] for r in spark.table(f"out_{column}").collect()}
-        assert got == {r["id"]: r[column] for r in batch.where("k is not null").collect()}
-
-
 def test_text_facts(spark):
     assert value(spark, text.to_half_width(F.lit("ＡＢＣ１２３，全角！"))) == "ABC123,全角!"
     assert value(spark, text.to_full_width(F.lit("ABC123,全角!"))) == "ＡＢＣ１２３，全角！"
