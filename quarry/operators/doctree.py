@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.markdown import LINK, first_heading, front_matter
 from quarry.functions.text import content_hash, digits_or_null
+from quarry.operators.ingest import numbered as numbered_by
 
 # What marks probe pages; the title of the root.
 PROBE, JUNK_ROUTE, JUNK_TITLE = r"(?i)^#\s*Index Probe", r"(?i)^/(verify|test|tmp)(/|$)", r"(?i)删除探测|deletion[- ]?probe"
@@ -74,11 +75,16 @@ def sort_key() -> Column:
     return F.struct(F.col("ord").isNull().cast("int").alias("late"), F.coalesce("ord", F.lit(0)).alias("at"), F.coalesce("title", "route").alias("name"), F.col("route").alias("r"))
 
 
+def _ancestors(route: Column) -> Column:
+    """A route and all routes above it, from the root down."""
+    s = segments(route)
+    return F.transform(F.sequence(F.lit(0), F.size(s)), lambda i: F.when(i == 0, "/").otherwise(F.concat(F.lit("/"), F.array_join(F.slice(s, F.lit(1), i), "/"), F.lit("/"))))
+
+
 def flatten(nodes: DataFrame) -> DataFrame:
     """nodes with ``path_key``, whose order is depth first: the sort keys of all ancestors. One join on the ancestors' routes."""
     keys = nodes.select(F.col("route").alias("_a"), sort_key().alias("_k"))
-    s = segments(F.col("route"))
-    up = nodes.select("route", F.posexplode(F.transform(F.sequence(F.lit(0), F.size(s)), lambda i: F.when(i == 0, "/").otherwise(F.concat(F.lit("/"), F.array_join(F.slice(s, F.lit(1), i), "/"), F.lit("/"))))).alias("_d", "_a"))
+    up = nodes.select("route", F.posexplode(_ancestors(F.col("route"))).alias("_d", "_a"))
     chain = up.join(keys, "_a").groupBy("route").agg(F.transform(F.array_sort(F.collect_list(F.struct("_d", "_k"))), lambda x: x["_k"]).alias("path_key"))
     return nodes.join(chain, "route")
 
@@ -164,23 +170,31 @@ def staleness(manifest: DataFrame, fingerprint: DataFrame, commit: str, force: b
     return same.select(F.when((F.col("n") > 0) & F.lit(not force), "current").otherwise("stale").alias("status"))
 
 
-def nested(nodes: DataFrame) -> DataFrame:
-    """(route, json): the root's subtree as nested JSON, children in tree order.
+def intervals(nodes: DataFrame) -> DataFrame:
+    """nodes with ``enter`` and ``leave``, long: a node's subtree are the nodes with ``enter`` in [its enter, its leave], depth first in tree order.
 
-    Folded from the deepest level up, one join a level; what a step holds in a row is a node's own subtree.
+    Places are running numbers over ranges of the sort keys; sizes of subtrees are counts by ancestor, made before they are shuffled.
     """
-    levels = nodes.agg(F.max("depth")).first()[0]
-    done = None
-    for d in range(levels if levels is not None else -1, -1, -1):
-        here = nodes.where(F.col("depth") == d)
-        if done is None:
-            here = here.withColumn("_kids", F.array().cast("array<string>"))
-        else:
-            kids = done.groupBy(F.col("parent").alias("route")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "json"))), lambda x: x["json"]).alias("_kids"))
-            here = here.join(kids, "route", "left").withColumn("_kids", F.coalesce("_kids", F.array().cast("array<string>")))
-        own = F.to_json(F.struct("route", "title", "synthetic"))
-        done = here.select("route", "parent", sort_key().alias("_k"), F.concat(F.substring(own, F.lit(1), F.length(own) - 1), F.lit(',"children":['), F.array_join("_kids", ","), F.lit("]}")).alias("json"))
-    return nodes.select("route", F.lit("").alias("json")).where("false") if done is None else done.select("route", "json")
+    ordered = numbered_by(flatten(nodes), ["path_key", "route"], "enter").drop("path_key")
+    sizes = nodes.select(F.explode(_ancestors(F.col("route"))).alias("route")).groupBy("route").agg(F.count("*").alias("_n"))
+    return ordered.join(sizes, "route").withColumn("leave", F.col("enter") + F.col("_n") - 1).select(*nodes.columns, "enter", "leave")
+
+
+def subtree(placed: DataFrame, route: str) -> DataFrame:
+    """The nodes below a route, itself included, of :func:`intervals`: one row is looked up, then a range is read."""
+    found = placed.where(F.col("route") == normal_route(F.lit(route))).select("enter", "leave").first()
+    return placed.where(F.col("enter").between(found["enter"], found["leave"]) if found else F.lit(False))
+
+
+def nested_parts(placed: DataFrame) -> DataFrame:
+    """(enter, route, part) of :func:`intervals`: each node's piece of the nested JSON. Joined by enter they are the whole text; a subtree's pieces,
+    but for the first one's comma and the closings beyond it, are the subtree's."""
+    first = placed.select(F.col("route").alias("parent"), F.col("enter").alias("_of"))
+    closed = placed.groupBy(F.col("leave").alias("enter")).agg(F.count("*").cast("int").alias("_ends"))
+    own = F.to_json(F.struct("route", "title", "synthetic"))
+    comma = F.when(F.col("enter") > F.coalesce(F.col("_of") + 1, F.col("enter")), ",").otherwise("")
+    part = F.concat(comma, F.substring(own, F.lit(1), F.length(own) - 1), F.lit(',"children":['), F.expr("repeat(']}', coalesce(_ends, 0))"))
+    return placed.join(first, "parent", "left").join(closed, "enter", "left").select("enter", "route", part.alias("part"))
 
 
 def children_lists(nodes: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from quarry.functions.text import content_hash, py_strip, safe_name
 from quarry.sources.scratch import stored
 
 LEAST_TRANSLATION = 10
+#: Of a content tree: slices below a slice (one hex digit), keys in a lowest one.
+FAN_OUT, SLICE_KEYS = 16, 64
 
 
 def split_by_cache(docs: DataFrame, cache: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -123,12 +125,58 @@ def embed(chunks: DataFrame, embedder, text_col: str = "text") -> DataFrame:
     return chunks.withColumn("embedding", embedder(embedding_input(F.col(text_col))))
 
 
-def fingerprint(entries: DataFrame, key_col: str, text_col: str, content: bool = False) -> DataFrame:
-    """(fingerprint): 16 hex digits over sorted keys with the lengths of their texts, or with content hashes.
+def content_depth(n: int) -> int:
+    """Levels of a content tree whose lowest slices hold some ``SLICE_KEYS`` of n keys."""
+    depth = 1
+    while SLICE_KEYS * FAN_OUT**depth < n:
+        depth += 1
+    return depth
 
-    Keys are hashed in slices of one prefix each and the slices' digests in order, so no task gathers them all.
+
+def content_tree(manifest: DataFrame, depth: int) -> DataFrame:
+    """(level, slice, digest, n) of a manifest (path, md5): a hash tree over the keys. A slice is a prefix of the hex digits of a key's md5, ``level`` digits
+    long; the lowest slices have the digest of their keys and contents in order, the others that of the (at most 16) slices below them.
+
+    However the rows are dealt the digests are the same. What a task gathers are the keys of one lowest slice, or 16 digests.
     """
-    part = F.concat(F.col(key_col).cast("string"), content_hash(F.col(text_col)) if content else F.length(text_col).cast("string"))
-    slices = entries.select(F.substring(F.md5(F.col(key_col).cast("string").cast("binary")), 1, 3).alias("slice"), F.col(key_col).cast("string").alias("k"), part.alias("p"))
-    digests = slices.groupBy("slice").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "p"))), lambda x: x["p"]), "").cast("binary"), 256).alias("d"))
-    return digests.agg(F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slice", "d"))), lambda x: x["d"]), "").cast("binary"), 256), 1, 16).alias("fingerprint"))
+    name = F.col("path").cast("string")
+    keys = manifest.select(F.substring(F.md5(name.cast("binary")), 1, depth).alias("slice"), F.coalesce(name, F.lit("")).alias("k"), F.coalesce("md5", F.lit("")).alias("v"))
+    digest = lambda items: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(items)), lambda x: F.concat(x["k"], F.lit(" "), x["v"], F.lit("\n"))), "").cast("binary"), 256)
+    level = keys.groupBy("slice").agg(digest(F.struct("k", "v")).alias("digest"), F.count("*").alias("n")).select(F.lit(depth).alias("level"), "slice", "digest", "n")
+    out = level
+    for i in range(depth - 1, -1, -1):
+        inner = level.select(F.substring("slice", 1, i).alias("slice"), F.struct(F.col("slice").alias("k"), F.col("digest").alias("v")).alias("kv"), "n")
+        level = inner.groupBy("slice").agg(digest(F.col("kv")).alias("digest"), F.sum("n").alias("n")).select(F.lit(i).alias("level"), "slice", "digest", "n")
+        out = out.union(level)
+    return out
+
+
+def fingerprint_of(tree: DataFrame) -> DataFrame:
+    """(fingerprint): 16 hex digits of the root; no row for an empty manifest."""
+    return tree.where("level = 0").select(F.substring("digest", 1, 16).alias("fingerprint"))
+
+
+def changed_slices(before: DataFrame, after: DataFrame, depth: int) -> DataFrame:
+    """(slice) of the lowest slices that differ, found from the root down: of each level only what lies below a difference is compared."""
+    ends = None
+    for level in range(depth + 1):
+        sides = [t.where(F.col("level") == level).select("slice", F.col("digest").alias(f"_{n}")) for n, t in (("b", before), ("a", after))]
+        if ends is not None:
+            sides = [s.withColumn("_up", F.substring("slice", 1, level - 1)).join(ends.withColumnRenamed("slice", "_up"), "_up", "left_semi").drop("_up") for s in sides]
+        ends = stored(sides[0].join(sides[1], "slice", "full_outer").where("not (_b <=> _a)").select("slice"))
+    return ends
+
+
+def drift_by_trees(before: DataFrame, after: DataFrame, tree_before: DataFrame, tree_after: DataFrame, depth: int) -> DataFrame:
+    """:func:`drift` of two manifests whose trees are stored; only keys in slices that differ meet."""
+    slices = changed_slices(tree_before, tree_after, depth)
+    some = lambda m: m.withColumn("slice", F.substring(F.md5(F.col("path").cast("string").cast("binary")), 1, depth)).join(slices, "slice", "left_semi").drop("slice")
+    return drift(some(before), some(after))
+
+
+def fingerprint(entries: DataFrame, key_col: str, text_col: str, content: bool = False, depth: int | None = None) -> DataFrame:
+    """(fingerprint): the root of the content tree over keys with the lengths of their texts, or with content hashes. Without ``depth`` it follows from
+    the number of entries."""
+    depth = content_depth(entries.count()) if depth is None else depth
+    mark = content_hash(F.col(text_col)) if content else F.length(text_col).cast("string")
+    return fingerprint_of(content_tree(entries.select(F.col(key_col).alias("path"), mark.alias("md5")), depth))

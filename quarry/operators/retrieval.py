@@ -7,18 +7,20 @@ and one vector); the batched searches of the two indexes take tables of queries.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quarry.functions.text import content_hash
 from quarry.operators.lexical import Index, bm25_top, texts_of
 from quarry.operators.ranking import context_budget
 from quarry.sources import scratch
 
-#: Most results, budget of a prompt.
-MOST_RESULTS, CONTEXT_CHARS = 40, 8000
+#: Most results, budget of a prompt, texts in one call of a reranker.
+MOST_RESULTS, CONTEXT_CHARS, RERANK_BATCH = 40, 8000, 40
 
 
 def cosine(vec: Column, query: Sequence[float]) -> Column:
@@ -65,6 +67,17 @@ def search(found: DataFrame, top_n: int, scorer: Column | None = None, logit: bo
     return rows.select(F.col("place").alias("ord"), "id", F.substring("text", 1, chars).alias("content"), F.round("_shown", 4).alias("score"))
 
 
+def rerank(found: DataFrame, model: Callable[[dict], dict], size: int = RERANK_BATCH) -> DataFrame:
+    """found (with ord) and ``rerank``, double: the model is given ``size`` texts by id at a time and returns scores by id, in any order; one it leaves out is 0."""
+
+    def score(rows: pd.DataFrame) -> pd.DataFrame:
+        scores = model(dict(zip(rows["id"], rows["text"])))
+        return rows.drop(columns="_batch").assign(rerank=[float(scores.get(i) or 0.0) for i in rows["id"]])
+
+    kind = StructType([*found.schema.fields, StructField("rerank", DoubleType())])
+    return found.withColumn("_batch", F.floor((F.col("ord") - 1) / size)).groupBy("_batch").applyInPandas(score, kind)
+
+
 def rerank_input(text: Column, chars: int = 1500) -> Column:
     """What a local rerank model is given of a text: models read so many characters at most. Scorers without that bound take whole texts."""
     return F.substring(text, 1, chars)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import markdown, text
 from quarry.operators import doctree, ingest, lexical, ranking, retrieval, vectors
+from quarry.sources import scratch
 from quarry.sources.readers import table
 
 TERMS = ["est", "entin", "the"]
@@ -213,11 +214,14 @@ def cache_misses(spark, d):
     return ingest.split_by_cache(_docs(spark, d).select("doc_id", "text"), cache)[1].select("doc_id", "key")
 
 
-def drift(spark, d):
+def _states(spark, d):
     docs = _docs(spark, d).select(F.concat(F.lit("p/"), F.col("doc_id").cast("string")).alias("path"), "doc_id", "text")
     before = ingest.manifest(docs.where("doc_id % 7 > 0"), "path", "text")
-    after = ingest.manifest(docs.where("doc_id % 11 > 0").withColumn("text", F.when(F.col("doc_id") % 13 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))), "path", "text")
-    return ingest.drift(before, after)
+    return before, ingest.manifest(docs.where("doc_id % 11 > 0").withColumn("text", F.when(F.col("doc_id") % 13 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))), "path", "text")
+
+
+def drift(spark, d):
+    return ingest.drift(*_states(spark, d))
 
 
 def changed_paths(spark, d):
@@ -226,7 +230,18 @@ def changed_paths(spark, d):
 
 
 def corpus_fingerprint(spark, d):
-    return ingest.fingerprint(_docs(spark, d), "doc_id", "text")
+    return ingest.fingerprint(_docs(spark, d), "doc_id", "text", depth=2)
+
+
+def content_tree(spark, d):
+    return ingest.content_tree(ingest.manifest(_docs(spark, d), "doc_id", "text"), depth=2).select("level", "slice", "digest", "n")
+
+
+def drift_by_trees(spark, d):
+    """The same as ``drift``, by the hash trees of both states."""
+    before, after = _states(spark, d)
+    trees = [scratch.stored(ingest.content_tree(m, depth=2)) for m in (before, after)]
+    return ingest.drift_by_trees(before, after, *trees, depth=2)
 
 
 def path_hierarchy(spark, d):
@@ -241,18 +256,25 @@ def tree_order(spark, d):
     return doctree.numbered(nodes).select("route", "parent", F.col("nth").cast("long").alias("nth"))
 
 
-def nested_tree(spark, d):
-    """The hierarchy of all hosts' pages as one JSON text."""
+def _site_nodes(spark, d):
     route = F.regexp_extract("url", r"^[a-z]+://([^/]+/[^?#]*)", 1)
-    nodes = doctree.tree(table(spark, d, "pages").select(route.alias("route"), F.lit("t").alias("title")))
-    return doctree.nested(nodes)
+    return doctree.tree(table(spark, d, "pages").select(route.alias("route"), F.lit("t").alias("title")))
+
+
+def nested_tree(spark, d):
+    """The hierarchy of all hosts' pages as nested JSON, a piece for each node."""
+    return doctree.nested_parts(doctree.intervals(_site_nodes(spark, d)))
+
+
+def tree_intervals(spark, d):
+    return doctree.intervals(_site_nodes(spark, d)).select("route", "enter", "leave")
 
 
 def markdown_images(spark, d):
     return _docs(spark, d).groupBy("lang").agg(F.sum(markdown.image_count(F.concat(F.lit("![a](b(c)) [d](e) "), "text"))).alias("n_images"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_top, bm25_scores, bm25_corpus_stats, bm25_idf, bm25_batch, bm25_updated, vector_index_topk, vector_index_batch, routed_hits, expanded_results, nested_tree, vector_topk, hybrid_candidates, hybrid_degraded, hybrid_reranked, best_hit_per_source, context_expand, context_budget, prompt_context, content_dedup_first, md5_duplicates, width_to_full, width_round_trip, drop_blank_lines, json_props, source_digest, chunk_documents, cache_misses, drift, changed_paths, corpus_fingerprint, path_hierarchy, tree_order, markdown_images)}
+QUERIES = {f.__name__: f for f in (bm25_top, bm25_scores, bm25_corpus_stats, bm25_idf, bm25_batch, bm25_updated, vector_index_topk, vector_index_batch, routed_hits, expanded_results, nested_tree, tree_intervals, vector_topk, hybrid_candidates, hybrid_degraded, hybrid_reranked, best_hit_per_source, context_expand, context_budget, prompt_context, content_dedup_first, md5_duplicates, width_to_full, width_round_trip, drop_blank_lines, json_props, source_digest, chunk_documents, cache_misses, drift, changed_paths, corpus_fingerprint, content_tree, drift_by_trees, path_hierarchy, tree_order, markdown_images)}
 
 
 @lru_cache(maxsize=1)
@@ -275,6 +297,10 @@ def _sql() -> dict[str, str]:
         every AS (SELECT DISTINCT '/' || array_to_string(s[:i], '/') || '/' AS route FROM (SELECT s, unnest(range(1, len(s) + 1)) AS i FROM s) UNION SELECT '/'),
         n AS (SELECT e.route, list_filter(string_split(e.route, '/'), lambda x: x <> '') AS g, o.title, o.ord, o.route IS NULL AS synthetic FROM every e LEFT JOIN own o ON o.route = e.route),
         nodes AS (SELECT route, CASE len(g) WHEN 0 THEN NULL WHEN 1 THEN '/' ELSE '/' || array_to_string(g[:-2], '/') || '/' END AS parent, len(g) AS depth, g, title, ord, synthetic FROM n)"""
+    drift = """WITH b AS (SELECT 'p/' || doc_id AS path, md5(text) AS m FROM documents WHERE doc_id % 7 > 0), a AS (SELECT 'p/' || doc_id AS path, md5(CASE WHEN doc_id % 13 = 0 THEN text || '!' ELSE text END) AS m FROM documents WHERE doc_id % 11 > 0)
+            SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.m IS NULL THEN 'added' WHEN a.m IS NULL THEN 'removed' ELSE 'modified' END AS change FROM b FULL JOIN a ON a.path = b.path WHERE a.m IS DISTINCT FROM b.m"""
+    hashes = """low AS (SELECT md5(k)[:2] AS slice, sha256(string_agg(k || ' ' || v || chr(10), '' ORDER BY k, v)) AS digest, count(*) AS n FROM e GROUP BY 1),
+            mid AS (SELECT slice[:1] AS slice, sha256(string_agg(slice || ' ' || digest || chr(10), '' ORDER BY slice)) AS digest, sum(n)::BIGINT AS n FROM low GROUP BY 1), top AS (SELECT '' AS slice, sha256(string_agg(slice || ' ' || digest || chr(10), '' ORDER BY slice)) AS digest, sum(n)::BIGINT AS n FROM mid)"""
     half, full = "".join(chr(c) for c in range(0x20, 0x7F)).replace("'", "''"), text.FULL
     return {
         "bm25_top": f"{bm} SELECT doc_id, round(score, 6) AS score FROM (SELECT * FROM score WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 40)",
@@ -328,18 +354,25 @@ def _sql() -> dict[str, str]:
         "source_digest": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents)
             SELECT source AS route, r - 1 AS at, 'doc ' || doc_id AS source, round(1 / r, 4) AS score, trim(regexp_replace(text, '\\s+', ' ', 'g'))[:80] AS preview FROM r WHERE r <= 5""",
         "cache_misses": "SELECT doc_id, md5(text) AS key FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 3 = 0)",
-        "drift": """WITH b AS (SELECT 'p/' || doc_id AS path, md5(text) AS m FROM documents WHERE doc_id % 7 > 0), a AS (SELECT 'p/' || doc_id AS path, md5(CASE WHEN doc_id % 13 = 0 THEN text || '!' ELSE text END) AS m FROM documents WHERE doc_id % 11 > 0)
-            SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.m IS NULL THEN 'added' WHEN a.m IS NULL THEN 'removed' ELSE 'modified' END AS change FROM b FULL JOIN a ON a.path = b.path WHERE a.m IS DISTINCT FROM b.m""",
+        "drift": drift,
+        "drift_by_trees": drift,
         "changed_paths": """WITH d AS (SELECT doc_id, md5(text) AS m FROM documents), u AS (SELECT doc_id, 0 AS ord FROM d WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, 1 FROM d WHERE doc_id % 6 = 0 UNION ALL SELECT doc_id, 2 FROM d WHERE doc_id % 4 = 0 AND m NOT IN (SELECT m FROM d WHERE doc_id % 8 = 0))
             SELECT doc_id::VARCHAR AS path, min(ord) AS ord FROM u GROUP BY doc_id""",
-        "corpus_fingerprint": """WITH s AS (SELECT md5(doc_id::VARCHAR)[:3] AS slice, sha256(string_agg(doc_id::VARCHAR || length(text), '' ORDER BY doc_id::VARCHAR)) AS d FROM documents GROUP BY 1) SELECT sha256(string_agg(d, '' ORDER BY slice))[:16] AS fingerprint FROM s""",
+        "corpus_fingerprint": f"WITH e AS (SELECT doc_id::VARCHAR AS k, length(text)::VARCHAR AS v FROM documents), {hashes} SELECT digest[:16] AS fingerprint FROM top",
+        "content_tree": f"WITH e AS (SELECT doc_id::VARCHAR AS k, md5(text) AS v FROM documents), {hashes} SELECT 2 AS level, * FROM low UNION ALL SELECT 1, * FROM mid UNION ALL SELECT 0, * FROM top",
         "path_hierarchy": f"WITH {tree} SELECT route, parent, depth, coalesce(title, CASE WHEN route = '/' THEN '{doctree.ROOT_TITLE}' ELSE g[-1] END) AS title, ord, synthetic FROM nodes",
         "tree_order": f"WITH {tree} SELECT route, parent, row_number() OVER (PARTITION BY parent ORDER BY CASE WHEN NOT synthetic THEN 't' WHEN route = '/' THEN '{doctree.ROOT_TITLE}' ELSE g[-1] END, route) AS nth FROM nodes",
         "nested_tree": f"""WITH {tree.replace(html_path, "regexp_extract(url, '^[a-z]+://([^/]+/[^?#]*)', 1)")}, t AS (SELECT route, depth, g, synthetic, CASE WHEN NOT synthetic THEN 't' WHEN route = '/' THEN '{doctree.ROOT_TITLE}' ELSE g[-1] END AS title FROM nodes),
             up AS (SELECT route, i, CASE WHEN i = 0 THEN '/' ELSE '/' || array_to_string(g[:i], '/') || '/' END AS a FROM t, unnest(range(0, len(g) + 1)) AS u(i)),
             k AS (SELECT up.route, list(struct_pack(t := t.title, r := t.route) ORDER BY i) AS k FROM up JOIN t ON t.route = up.a GROUP BY 1),
-            o AS (SELECT t.*, row_number() OVER w AS pos, lag(depth) OVER w AS was FROM t JOIN k ON k.route = t.route WINDOW w AS (ORDER BY k.k))
-            SELECT '/' AS route, string_agg(CASE WHEN was >= depth THEN repeat(']}}', was - depth + 1) || ',' ELSE '' END || '{{"route":"' || route || '","title":"' || title || '","synthetic":' || synthetic || ',"children":[', '' ORDER BY pos) || repeat(']}}', arg_max(depth, pos) + 1) AS json FROM o""",
+            o AS (SELECT t.*, row_number() OVER w - 1 AS pos, lag(depth) OVER w AS was, lead(depth, 1, 0) OVER w AS next FROM t JOIN k ON k.route = t.route WINDOW w AS (ORDER BY k.k))
+            SELECT pos AS enter, route, CASE WHEN was >= depth THEN ',' ELSE '' END || '{{"route":"' || route || '","title":"' || title || '","synthetic":' || synthetic || ',"children":['
+                || repeat(']}}', CASE WHEN pos = (SELECT max(pos) FROM o) THEN depth + 1 ELSE greatest(depth - next + 1, 0) END) AS part FROM o""",
+        "tree_intervals": f"""WITH {tree.replace(html_path, "regexp_extract(url, '^[a-z]+://([^/]+/[^?#]*)', 1)")}, t AS (SELECT route, g, CASE WHEN NOT synthetic THEN 't' WHEN route = '/' THEN '{doctree.ROOT_TITLE}' ELSE g[-1] END AS title FROM nodes),
+            up AS (SELECT route, i, CASE WHEN i = 0 THEN '/' ELSE '/' || array_to_string(g[:i], '/') || '/' END AS a FROM t, unnest(range(0, len(g) + 1)) AS u(i)),
+            k AS (SELECT up.route, list(struct_pack(t := t.title, r := t.route) ORDER BY i) AS k FROM up JOIN t ON t.route = up.a GROUP BY 1),
+            o AS (SELECT route, row_number() OVER (ORDER BY k) - 1 AS enter FROM k), sizes AS (SELECT a AS route, count(*) AS n FROM up GROUP BY 1)
+            SELECT o.route, enter, enter + n - 1 AS leave FROM o JOIN sizes ON sizes.route = o.route""",
         # After an image mark: its label ends at the first bracket, a round one follows, and pairs of those inside taken out, the target ends before any white space.
         "markdown_images": r"""SELECT lang, (count(*) + sum(len(list_filter(string_split(text, '![')[2:], lambda x: strpos(x, '](') > 0 AND strpos(x, '](') = strpos(x, ']')
             AND regexp_matches(regexp_replace(x[strpos(x, '](') + 2:], '[(][^\s()]*[)]', '', 'g'), '^[^\s()]*[)]')))))::BIGINT AS n_images FROM documents GROUP BY 1""",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import or_default
@@ -13,6 +15,22 @@ def replace_by_source(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
 
 
+def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: a batch is the folder of its id, so one that is written again after a failure takes its own place and adds nothing."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`batch_writer` wrote, with its ``batch``; folders that were not finished are left out."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")
+    done = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder) or []
+    return spark.read.option("basePath", path).parquet(*[s.getPath().getParent().toString() for s in done])
+
+
 def append_cache(new: DataFrame, path: str) -> None:
     """Adds (key, translated) rows."""
     new.write.mode("append").parquet(path)

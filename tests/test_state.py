@@ -1,7 +1,9 @@
 """Operators that change stored tables or the knowledge base, and small rules, against facts worked out by hand."""
 
 import json
+import random
 import threading
+from collections import Counter
 
 import pandas as pd
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from quarry.functions import labels, lorebook, markdown, text
-from quarry.operators import doctree, ingest, knowledge, lexical, mutations, retrieval, usage
+from quarry.operators import doctree, ingest, knowledge, lexical, mutations, quotas, retrieval, usage
 from quarry.sources import readers, scratch, writers
 from quarry.streaming import gates
 
@@ -197,9 +199,13 @@ def test_tree_pages(spark, tmp_path):
     nodes = doctree.tree(found)
     asked = spark.createDataFrame([("c",), ("/a/x",), ("/nope",), ("",)], "route string")
     assert {r["asked"]: (r["title"], r["top_level"]) for r in doctree.article(nodes, asked).collect()} == {"c": ("C", True), "/a/x": ("X", False), "/nope": (None, None), "": (doctree.ROOT_TITLE, True)}
-    tree = json.loads(doctree.nested(nodes).first()["json"])
+    placed = doctree.intervals(nodes)
+    parts = doctree.nested_parts(placed).orderBy("enter").collect()
+    tree = json.loads("".join(r["part"] for r in parts))
     assert tree["route"] == "/" and [c["route"] for c in tree["children"]] == ["/c/", "/b/", "/a/"] and tree["children"][2]["children"][0]["title"] == "X" and tree["children"][2]["synthetic"]
-    assert doctree.nested(nodes.limit(0)).count() == 0
+    assert len(parts) == nodes.count() and doctree.nested_parts(doctree.intervals(nodes.limit(0))).count() == 0
+    assert {r["route"]: (r["enter"], r["leave"]) for r in placed.collect()} == {"/": (0, 4), "/c/": (1, 1), "/b/": (2, 2), "/a/": (3, 4), "/a/x/": (4, 4)}
+    assert sorted(r["route"] for r in doctree.subtree(placed, "a").collect()) == ["/a/", "/a/x/"] and doctree.subtree(placed, "/nope/").count() == 0
     kids = {r["route"]: [c["route"] for c in r["children"]] for r in doctree.children_lists(nodes).collect()}
     assert kids == {"/": ["/c/", "/b/", "/a/"], "/a/": ["/a/x/"]}
     listed, disk = (spark.createDataFrame([(p,) for p in ps], "path string") for ps in (("a", "b"), ("b", "c")))
@@ -271,3 +277,66 @@ def test_knowledge_base_is_rebuilt_and_updated(spark, tmp_path):
     bad = scratch.stored(stored.withColumn("embedding", F.when(F.col("text").startswith("one"), F.array(F.lit(1.0).cast("float"))).otherwise(F.col("embedding"))))
     with pytest.raises(ValueError, match="not whole"):
         knowledge.load_vectors(spark, bad.inputFiles()[0].rsplit("/", 1)[0])
+
+
+def test_quotas_in_order_by_scalar_replay(spark):
+    """Users, addresses and times with nulls; every gate refuses something, and what refused uploads would have taken is left for later ones."""
+    r = random.Random(11)
+    mb = 1 << 20
+    ups = [(i, r.choice([None, 1, 2, 3]), r.choice([None, "a", "b"]), r.choice([None, 0, mb, 5 * mb, 21 * mb]), r.choice([None, 0, 1, 2, 3, 4]), r.choice([None, 1, 1, 2, 3])) for i in range(160)]
+    t = labels.Tunables(total_mb=90, files_per_user=24, files_per_ip_day=9)
+    df = spark.createDataFrame(ups, "id long, user_id long, ip string, bytes long, files int, day int").withColumn("created_at", F.expr("timestamp_seconds(1700000000 + day * 86400 + id * 7 % 400)"))
+    total, users, ips, want = 0, Counter(), Counter(), {}
+    at = lambda u: (-1, u[0]) if u[5] is None else (u[5] * 86_400 + u[0] * 7 % 400, u[0])
+    for i, user, ip, size, files, day in sorted(ups, key=at):
+        size, files = size or 0, files or 0
+        gate = "total" if total + size > 90 * mb else "file" if size > 20 * mb else "submit" if files > 3 else "user" if users[user] + files > 24 else "ip_day" if ips[ip, day] + files > 9 else None
+        want[i] = gate
+        if gate is None:
+            total, users[user], ips[ip, day] = total + size, users[user] + files, ips[ip, day] + files
+    got = {x["id"]: x["refused"] for x in quotas.quota_replay(df, t=t).collect()}
+    assert got == want and set(want.values()) == {None, "total", "file", "submit", "user", "ip_day"}
+    assert quotas.quota_replay(df.limit(0)).count() == 0
+
+
+def test_content_tree_finds_what_changed(spark):
+    rows = [(f"p{i}", f"text {i % 50}") for i in range(700)]
+    docs = lambda x: ingest.manifest(spark.createDataFrame(x, "path string, text string"), "path", "text")
+    before, after = docs(rows), docs([(k, "new" if k == "p5" else t) for k, t in rows if k != "p9"] + [("q", "added")])
+    a, b = scratch.stored(ingest.content_tree(before, depth=2)), scratch.stored(ingest.content_tree(after, depth=2))
+    assert ingest.fingerprint_of(a).first() == ingest.fingerprint_of(ingest.content_tree(before.repartition(7), depth=2)).first() != ingest.fingerprint_of(b).first()
+    slices = ingest.changed_slices(a, b, 2)
+    assert 1 <= slices.count() <= 3 and ingest.changed_slices(a, a, 2).count() == 0
+    want = sorted(map(tuple, ingest.drift(before, after).collect()))
+    assert sorted(map(tuple, ingest.drift_by_trees(before, after, a, b, 2).collect())) == want == [("p5", "modified"), ("p9", "removed"), ("q", "added")]
+    none = ingest.content_tree(before.limit(0), depth=2)
+    assert ingest.changed_slices(none, b, 2).count() == b.where("level = 2").count() and ingest.content_depth(700) == 1 and ingest.content_depth(10**9) == 6
+
+
+def test_a_batch_written_again_adds_nothing(spark, tmp_path):
+    path = str(tmp_path / "out")
+    write = writers.batch_writer(path)
+    for batch, n in ((0, 3), (1, 4), (1, 4), (0, 3)):
+        write(spark.range(n).withColumn("b", F.lit(batch)), batch)
+    assert sorted((r["b"], r["id"]) for r in writers.read_batches(spark, path).collect()) == [(0, i) for i in range(3)] + [(1, i) for i in range(4)]
+    spark.range(20).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    for again in range(2):  # the second stream has lost its checkpoint and writes the same batch
+        query = stream.writeStream.foreachBatch(writers.batch_writer(str(tmp_path / "s"))).option("checkpointLocation", str(tmp_path / f"c{again}")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+    assert sorted(r["id"] for r in writers.read_batches(spark, str(tmp_path / "s")).collect()) == list(range(20))
+
+
+def test_rerank_in_batches_by_id(spark):
+    """Scores come back by id, from batches of bounded size; an id that the model leaves out has 0."""
+    found = spark.createDataFrame([(i, f"text {i}", 0.1, 0, i + 1, str(i)) for i in range(95)], "id long, text string, sim double, leg int, ord int, h string")
+
+    def model(texts):
+        assert 0 < len(texts) <= 40
+        return {i: float(i % 7) for i in reversed(list(texts)) if i % 5}
+
+    got = {r["id"]: r["rerank"] for r in retrieval.rerank(found, model).collect()}
+    assert got == {i: float(i % 7) if i % 5 else 0.0 for i in range(95)}
+    best = retrieval.search(retrieval.rerank(found, model), 3, scorer=F.col("rerank")).orderBy("ord").collect()
+    assert [r["id"] for r in best] == [6, 13, 27] and abs(best[0]["score"] - 0.9975) < 1e-4
+    assert retrieval.rerank(found.limit(0), model).count() == 0
