@@ -37,12 +37,15 @@ def vector_top(vectors: DataFrame, query: Sequence[float], k: int, id_col: str =
     return vectors.select(F.col(id_col).alias("id"), cosine(F.col(vec_col), query).alias("sim")).orderBy(F.desc("sim"), "id").limit(k)
 
 
-def candidates(ix: Index, vectors: DataFrame, query_terms: Sequence[str], query_vec: Sequence[float], pool: int, top_k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def candidates(ix: Index, vectors: DataFrame, query_terms: Sequence[str], query_vec: Sequence[float], pool: int, top_k: int, id_col: str = "vec_id", vec_col: str = "embedding", nearest: Callable[[Sequence[float], int], DataFrame] | None = None) -> DataFrame:
     """(id, text, sim, leg, ord, h): the vector leg, then the lexical leg's new texts (sim 0), first of equal texts kept.
 
+    ``nearest`` (query, k) -> (id, sim) stands in for the exact scan of ``vectors``, as the search of an inverted file does.
+
     Both legs are bounded (``max(pool, top_k)`` and 40 rows), so what follows them is small; texts are read for them alone, by their ids.
     """
-    lead = vector_top(vectors, query_vec, max(pool, top_k), id_col, vec_col).select("id", F.round("sim", 4).alias("sim"), F.lit(0).alias("leg"), F.col("sim").alias("by"))
+    found = nearest(query_vec, max(pool, top_k)) if nearest else vector_top(vectors, query_vec, max(pool, top_k), id_col, vec_col)
+    lead = found.select("id", F.round("sim", 4).alias("sim"), F.lit(0).alias("leg"), F.col("sim").alias("by"))
     lexical = bm25_top(ix, query_terms).select("id", F.lit(0.0).alias("sim"), F.lit(1).alias("leg"), F.col("score").alias("by"))
     hits = scratch.stored(lead.unionByName(lexical))
     both = texts_of(ix, hits).join(F.broadcast(hits), "id").withColumn("h", content_hash(F.col("text")))

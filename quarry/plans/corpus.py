@@ -11,7 +11,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions import markdown, text
+from quarry.functions import markdown, segment, text
 from quarry.operators import doctree, ingest, lexical, ranking, retrieval, vectors
 from quarry.sources import scratch
 from quarry.sources.readers import table
@@ -209,6 +209,20 @@ def chunk_documents(spark, d):
     return ingest.chunk(_docs(spark, d), "doc_id", "text", F.col("source"))
 
 
+def chunk_sections(spark, d):
+    """Chunks of texts with a heading at each sentence and blank lines within them."""
+    body = F.replace(F.replace(F.col("text"), F.lit(". "), F.lit(".\n## ")), F.lit(", "), F.lit(",\n \n"))
+    return ingest.chunk(_docs(spark, d).select("doc_id", "source", body.alias("text")), "doc_id", "text", F.col("source"))
+
+
+def segmented_terms(spark, d):
+    """How often each word is found in the conversations when their spaces and marks are taken out, by a dictionary of the benchmark's words."""
+    counted = table(spark, d, "benchmark").select(F.explode(text.words(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    cut = segment.tokenizer(spark, {r["w"]: r["n"] for r in counted.orderBy(F.desc("n"), "w").limit(100_000).collect()})
+    closed = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", "")
+    return table(spark, d, "conversations").select(F.explode(cut(closed)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
 def cache_misses(spark, d):
     cache = _docs(spark, d).where("doc_id % 3 = 0").select(text.content_hash(F.col("text")).alias("key"), F.col("lang").alias("translated")).dropDuplicates(["key"])
     return ingest.split_by_cache(_docs(spark, d).select("doc_id", "text"), cache)[1].select("doc_id", "key")
@@ -274,7 +288,7 @@ def markdown_images(spark, d):
     return _docs(spark, d).groupBy("lang").agg(F.sum(markdown.image_count(F.concat(F.lit("![a](b(c)) [d](e) "), "text"))).alias("n_images"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_top, bm25_scores, bm25_corpus_stats, bm25_idf, bm25_batch, bm25_updated, vector_index_topk, vector_index_batch, routed_hits, expanded_results, nested_tree, tree_intervals, vector_topk, hybrid_candidates, hybrid_degraded, hybrid_reranked, best_hit_per_source, context_expand, context_budget, prompt_context, content_dedup_first, md5_duplicates, width_to_full, width_round_trip, drop_blank_lines, json_props, source_digest, chunk_documents, cache_misses, drift, changed_paths, corpus_fingerprint, content_tree, drift_by_trees, path_hierarchy, tree_order, markdown_images)}
+QUERIES = {f.__name__: f for f in (bm25_top, bm25_scores, bm25_corpus_stats, bm25_idf, bm25_batch, bm25_updated, vector_index_topk, vector_index_batch, routed_hits, expanded_results, nested_tree, tree_intervals, vector_topk, hybrid_candidates, hybrid_degraded, hybrid_reranked, best_hit_per_source, context_expand, context_budget, prompt_context, content_dedup_first, md5_duplicates, width_to_full, width_round_trip, drop_blank_lines, json_props, source_digest, chunk_documents, chunk_sections, segmented_terms, cache_misses, drift, changed_paths, corpus_fingerprint, content_tree, drift_by_trees, path_hierarchy, tree_order, markdown_images)}
 
 
 @lru_cache(maxsize=1)
@@ -297,6 +311,13 @@ def _sql() -> dict[str, str]:
         every AS (SELECT DISTINCT '/' || array_to_string(s[:i], '/') || '/' AS route FROM (SELECT s, unnest(range(1, len(s) + 1)) AS i FROM s) UNION SELECT '/'),
         n AS (SELECT e.route, list_filter(string_split(e.route, '/'), lambda x: x <> '') AS g, o.title, o.ord, o.route IS NULL AS synthetic FROM every e LEFT JOIN own o ON o.route = e.route),
         nodes AS (SELECT route, CASE len(g) WHEN 0 THEN NULL WHEN 1 THEN '/' ELSE '/' || array_to_string(g[:-2], '/') || '/' END AS parent, len(g) AS depth, g, title, ord, synthetic FROM n)"""
+    chunked = r"""WITH s AS (SELECT doc_id, source, list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '\n(#{1,3}\s)', chr(1) || '\1', 'g'), chr(1)), lambda x: [x]) AS s FROM documents),
+            g AS (SELECT doc_id, source, list_reduce(s, lambda a, x: CASE WHEN length(trim(replace(a[-1], chr(10), ''), chr(9) || ' ')) >= 50 THEN a || x ELSE a[:-2] || [a[-1] || chr(10) || x[1]] END) AS g FROM s),
+            k AS (SELECT doc_id, source, CASE WHEN length(trim(replace(g[-1], chr(10), ''), chr(9) || ' ')) >= 20 THEN g ELSE g[:-2] END AS g FROM g),
+            l AS (SELECT doc_id, source, i, (CASE WHEN length(g[i]) <= 2000 THEN [trim(g[i], chr(9) || chr(10) || ' ')] ELSE list_filter(list_transform(list_reduce(list_transform(regexp_split_to_array(g[i], '\n\s*\n'), lambda x: [x]),
+                lambda a, x: CASE WHEN length(a[-1]) + length(x[1]) > 1800 THEN a || x ELSE a[:-2] || [a[-1] || chr(10) || chr(10) || x[1]] END), lambda x: trim(x, chr(9) || chr(10) || ' ')), lambda x: length(x) >= 20) END) AS l
+                FROM k, range(1, len(g) + 1) AS r(i)), c AS (SELECT doc_id, source, i, unnest(l) AS text, generate_subscripts(l, 1) AS j FROM l), n AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1)::INT AS chunk_index FROM c)
+            SELECT md5(concat_ws('|', source, doc_id, chunk_index, md5(text))) AS chunk_id, doc_id AS source_file, chunk_index, text, md5(text) AS chunk_hash, source FROM n"""
     drift = """WITH b AS (SELECT 'p/' || doc_id AS path, md5(text) AS m FROM documents WHERE doc_id % 7 > 0), a AS (SELECT 'p/' || doc_id AS path, md5(CASE WHEN doc_id % 13 = 0 THEN text || '!' ELSE text END) AS m FROM documents WHERE doc_id % 11 > 0)
             SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.m IS NULL THEN 'added' WHEN a.m IS NULL THEN 'removed' ELSE 'modified' END AS change FROM b FULL JOIN a ON a.path = b.path WHERE a.m IS DISTINCT FROM b.m"""
     hashes = """low AS (SELECT md5(k)[:2] AS slice, sha256(string_agg(k || ' ' || v || chr(10), '' ORDER BY k, v)) AS digest, count(*) AS n FROM e GROUP BY 1),
@@ -323,13 +344,8 @@ def _sql() -> dict[str, str]:
             n AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS i FROM documents WHERE EXISTS (SELECT 1 FROM f WHERE abs(f.doc_id - documents.doc_id) <= 2)),
             a AS (SELECT doc_id, md5(text) AS md5, 0 AS leg, i FROM f UNION ALL SELECT doc_id, md5(text), 1, i FROM n), k AS (SELECT *, row_number() OVER (PARTITION BY md5 ORDER BY leg, i) AS k FROM a)
             SELECT doc_id, row_number() OVER (ORDER BY leg, i)::INT AS ord, md5 FROM k WHERE leg = 0 OR k = 1""",
-        "chunk_documents": r"""WITH s AS (SELECT doc_id, source, list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '\n(#{1,3}\s)', chr(1) || '\1', 'g'), chr(1)), lambda x: [x]) AS s FROM documents),
-            g AS (SELECT doc_id, source, list_reduce(s, lambda a, x: CASE WHEN length(trim(replace(a[-1], chr(10), ''), chr(9) || ' ')) >= 50 THEN a || x ELSE a[:-2] || [a[-1] || chr(10) || x[1]] END) AS g FROM s),
-            k AS (SELECT doc_id, source, CASE WHEN length(trim(replace(g[-1], chr(10), ''), chr(9) || ' ')) >= 20 THEN g ELSE g[:-2] END AS g FROM g),
-            c AS (SELECT doc_id, source, i, unnest(CASE WHEN length(g[i]) <= 2000 THEN [trim(g[i], chr(9) || chr(10) || ' ')] ELSE list_filter(list_transform(list_reduce(list_transform(regexp_split_to_array(g[i], '\n\s*\n'), lambda x: [x]),
-                lambda a, x: CASE WHEN length(a[-1]) + length(x[1]) > 1800 THEN a || x ELSE a[:-2] || [a[-1] || chr(10) || chr(10) || x[1]] END), lambda x: trim(x, chr(9) || chr(10) || ' ')), lambda x: length(x) >= 20) END) AS text
-                FROM k, range(1, len(g) + 1) AS r(i)), n AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_index FROM c)
-            SELECT md5(concat_ws('|', source, doc_id, chunk_index, md5(text))) AS chunk_id, doc_id AS source_file, chunk_index, text, md5(text) AS chunk_hash, source FROM n""",
+        "chunk_documents": chunked,
+        "chunk_sections": chunked.replace("FROM documents", "FROM (SELECT doc_id, source, replace(replace(text, '. ', '.' || chr(10) || '## '), ', ', ',' || chr(10) || ' ' || chr(10)) AS text FROM documents)"),
         "vector_index_topk": f"WITH {vec} SELECT vec_id, round(sim, 4) AS sim FROM (SELECT * FROM v ORDER BY sim DESC, vec_id LIMIT 40)",
         "bm25_updated": bm.replace("FROM documents)", "FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || ' est entin' ELSE text END AS text FROM documents WHERE doc_id % 11 > 0 OR doc_id % 7 = 0 UNION ALL SELECT doc_id + 1000000, text FROM documents WHERE doc_id % 13 = 0))") + " SELECT doc_id, round(score, 6) AS score FROM score WHERE score > 0",
         "vector_topk": f"WITH {vec} SELECT vec_id, round(sim, 4) AS sim FROM (SELECT * FROM v ORDER BY sim DESC, vec_id LIMIT 40)",

@@ -14,8 +14,10 @@ from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from functools import partial
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -176,22 +178,39 @@ def _replay(rows: DataFrame, keys: Sequence[str], value: str, make: Callable, ga
     kinds = {"boolean": pa.bool_(), "long": pa.int64()}
     new = [tuple(x.split()) for x in outputs.split(", ")]
 
+    piece = [*keys, "segment"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, fold = None, None
+        last, fold = None, None
         for b in batches:
+            if not len(b):
+                continue
+            starts = _starts([b.column(c) for c in piece])
+            first = tuple(b.column(c)[0].as_py() for c in piece)
+            fold = make() if fold is None or first != last else fold
             got = []
-            for now, id_, us, v in zip(*[b.column(c).to_pylist() for c in ("_piece", "id", "us", value)]):
-                if now != at:
-                    at, fold = now, make()
+            for new_piece, id_, us, v in zip(starts, *[b.column(c).to_pylist() for c in ("id", "us", value)]):
+                if new_piece:
+                    fold = make()
                 got.append(fold.step(id_, us, v))
-            made = [pa.array([g[i] for g in got], kinds[kind]) for i, (_, kind) in enumerate(new)]
+            last = tuple(b.column(c)[len(b) - 1].as_py() for c in piece)
+            made = [pa.array(x, kinds[kind]) for x, (_, kind) in zip(zip(*got), new)]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *made], [*names, *[n for n, _ in new]])
 
     cut = quiet_segments(rows, keys, "us", "id", gap_s)
-    # As JSON a null key is no key at all, and so unlike any text.
-    ordered = cut.withColumn("_piece", F.to_json(F.struct(*keys, "segment"))).repartition(*keys, "segment").sortWithinPartitions(*keys, "segment", "us", "id")
+    ordered = cut.repartition(*piece).sortWithinPartitions(*piece, "us", "id")
     kind = StructType([*rows.schema.fields, *StructType.fromDDL(outputs).fields])
-    return ordered.select(*names, "_piece").mapInArrow(run, kind)
+    return ordered.select(*names, "segment").mapInArrow(run, kind)
+
+
+def _starts(columns: Sequence[pa.Array]) -> list[bool]:
+    """Whether a row differs from the one before it in any column; null equals null alone. The first one doesn't."""
+    out = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        a, b = c.slice(0, len(c) - 1), c.slice(1)
+        either = pc.xor(a.is_null(), b.is_null()).to_numpy(zero_copy_only=False)
+        out[1:] |= either | pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+    return out.tolist()
 
 
 def _micros(ts: str):

@@ -2,7 +2,10 @@
 
 import base64
 import json
+import random
+import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -129,6 +132,44 @@ def test_chunks(spark):
     assert chunks("p" * 1990 + "\n \n" + "q" * 15 + "\n\n" + "r" * 30) == ["p" * 1990, "q" * 15 + "\n\n" + "r" * 30]
 
 
+def _scalar_chunks(body):
+    """Line by line, then paragraph by paragraph."""
+    parts, lines = [], []
+    for line in body.split("\n"):
+        if re.match(r"#{1,3}\s", line) and lines and len("".join(lines).strip()) >= 50:
+            parts.append("\n".join(lines))
+            lines = []
+        lines.append(line)
+    parts += ["\n".join(lines)] if len("".join(lines).strip()) >= 20 else []
+    out = []
+    for p in parts:
+        if len(p) <= 2000:
+            out.append(p.strip())
+            continue
+        pack = None
+        for x in [*re.split(r"\n\s*\n", p), None]:
+            if pack is not None and (x is None or len(pack) + len(x) > 1800):
+                out += [pack.strip()] if len(pack.strip()) >= 20 else []
+                pack = None
+            pack = x if pack is None else f"{pack}\n\n{x}"
+    return out
+
+
+def test_chunks_by_a_scalar_walk():
+    r = random.Random(12)
+    pieces = ["word ", "w" * 40, "\n", "\n", "\n\n", "\n \t\n", "\n# Head", "\n## ", "\n###\n", "\n#### deep", "\n#no head", " ", "\u3000", "p" * 700, "\n# Next\n"]
+    for _ in range(400):
+        body = "".join(r.choice(pieces) for _ in range(r.choice([0, 3, 20, 80])))
+        assert markdown.chunk_pieces(body, 2000, 1800, 50, 20) == _scalar_chunks(body)
+
+
+def test_a_text_of_very_many_sections_is_walked_once():
+    body = "\n".join(f"## Section {i}\n\nSome words of section {i} that say nothing, at some length." for i in range(20_000)) + "\n# x" * 20_000 + "\n\ny" * 20_000
+    began = time.time()
+    got = markdown.chunk_pieces(body, 2000, 1800, 50, 20)
+    assert len(got) > 20_000 and got[7].startswith("## Section 7\n") and time.time() - began < 20
+
+
 def test_markdown_rules():
     assert markdown.admonitions('!!! warning "T"\n    a\n\n    b\nafter') == "> **⚠️ T**\n>\n> a\n>\n> b\n\nafter"
     assert markdown.admonitions("!!!note\nflat\n!!!\nafter") == "> **📝 Note**\n>\n> flat\n\nafter" and markdown.admonitions("!!!") == "> **📝 提示**"
