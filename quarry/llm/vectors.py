@@ -112,24 +112,24 @@ def _local_roots(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
         root = least
 
 
-def _group(ids, weights, units, chunks, across: bool, bucket: int, size: int, least: float):
-    """(id, links, root) of one bucket's (or chunk pair's) linked vectors."""
+def _group(ids, weights, units, chunks, across: bool, lower, least: float):
+    """(id, links, root) of one bucket's (or chunk pair's) linked vectors. A pair counts in the least filter that both have: ``lower`` are each vector's
+    smaller ones, as they were decoded once."""
     linked = units @ units.T >= least
     np.fill_diagonal(linked, False)
     if across:
         linked &= chunks[:, None] != chunks[None, :]
     some = np.flatnonzero(linked.any(axis=1))
     linked = linked[np.ix_(some, some)]
-    filters = decode(units[some], size)
-    less = filters < bucket
-    names, at = np.unique(filters[less], return_inverse=True)
+    before = [lower[i] for i in some]
+    names, at = np.unique(np.concatenate(before) if before else np.empty(0, np.int64), return_inverse=True)
     holds = np.zeros((len(some), max(1, len(names))), np.float32)
-    holds[np.nonzero(less)[0], at] = 1
+    holds[np.repeat(np.arange(len(some)), [len(x) for x in before]), at] = 1
     own = linked & ~(holds @ holds.T > 0)
     return ids[some], own @ weights[some], _local_roots(linked, ids[some])
 
 
-def _linker(size: int, least: float):
+def _linker(least: float):
     """Rows come sorted by bucket; whole groups are compared, the last one of a batch waits for the next batch."""
 
     def groups(batch: pa.RecordBatch):
@@ -142,6 +142,8 @@ def _linker(size: int, least: float):
         many = ends - starts > 1
         ids, w, c = (batch.column(x).to_numpy().astype(np.int64) for x in ("id", "n", "chunk"))
         dims, out = key[:, 1], []
+        flat, at = batch.column("lower").flatten().to_numpy(), batch.column("lower").offsets.to_numpy()
+        at = at - at[0]
         for d in np.unique(dims):
             rows = np.flatnonzero(dims == d)
             place = np.full(len(key), -1)
@@ -163,7 +165,7 @@ def _linker(size: int, least: float):
                 dots = np.einsum("ij,ij->i", units[m[i]], units[m[i + o]])
                 hit[g[i[dots >= least - 1e-9]]] = True
             for a, b in zip(s[hit | ~small], e[hit | ~small]):
-                got = _group(ids[a:b], w[a:b], units[place[a:b]], c[a:b], key[a, 3] != key[a, 4], int(key[a, 2]), size, least)
+                got = _group(ids[a:b], w[a:b], units[place[a:b]], c[a:b], key[a, 3] != key[a, 4], [flat[at[i] : at[i + 1]] for i in range(a, b)], least)
                 if len(got[0]):
                     out.append(got)
         return [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 3
@@ -199,16 +201,16 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     classes = written(good.groupBy(*exact).agg(F.min(F.struct("id", "v")).alias("rep"), F.count("*").alias("n")).select(*exact, "rep.id", "rep.v", "n"))
     size = max(32, int(np.ceil(np.sqrt(max(1, classes.count())))))
     lists = classes.select("id", "dim", "v").mapInArrow(_filters(size), "id long, filters array<long>")
-    lists = written(classes.select("id", "lab", "dim").join(lists, "id").select("id", "lab", "dim", F.explode("filters").alias("bucket")))
+    lists = written(classes.select("id", "lab", "dim").join(lists, "id").select("id", "lab", "dim", "filters", F.posexplode("filters").alias("nth", "bucket")).select("id", "lab", "dim", "bucket", F.slice("filters", F.lit(1), F.col("nth")).alias("lower")))
     heavy = written(lists.groupBy("lab", "dim", "bucket").agg(F.count("*").alias("rows")).where(F.col("rows") > HEAVY))
     heavy = heavy.select("lab", "dim", "bucket", F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks"))
     found = lists.join(F.broadcast(heavy) if heavy.count() <= BROADCAST_BUCKETS else heavy, ["lab", "dim", "bucket"], "left")
     found = found.withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int"), F.lit(0)))
     found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1))).withColumn("p", F.least("chunk", "other")).withColumn("q", F.greatest("chunk", "other"))
-    met = found.select("id", "bucket", "chunk", "p", "q").join(classes.select("id", "lab", "dim", "v", "n"), "id")
+    met = found.select("id", "bucket", "lower", "chunk", "p", "q").join(classes.select("id", "lab", "dim", "v", "n"), "id")
     order = ["lab", "dim", "bucket", "p", "q"]
-    met = met.select(*order, "id", "n", "chunk", "v").repartition(partitions(rows.sparkSession), *order).sortWithinPartitions(*order, "id")
-    linked = written(met.mapInArrow(_linker(size, least), "id long, links long, root long"))
+    met = met.select(*order, "id", "n", "chunk", "lower", "v").repartition(partitions(rows.sparkSession), *order).sortWithinPartitions(*order, "id")
+    linked = written(met.mapInArrow(_linker(least), "id long, links long, root long"))
     counts = linked.groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(linked.select(F.col("id").alias("a"), F.col("root").alias("b")))
     per_class = classes.select(*exact, F.col("id").alias("rep"), "n").join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
