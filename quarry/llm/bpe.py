@@ -80,6 +80,7 @@ class Encoder:
             raise ValueError("this vocabulary squeezes white space; only identity normalisation is supported")
         self.v = vocabulary
         self.rank = {p: -s for p, s in vocabulary.scores.items()}
+        self.names = {p: str(i) for p, i in vocabulary.ids.items()}
         self.seen: dict[str, tuple[int, str, str]] = {}
         self.units = re.compile(f"{MARK}*[^{MARK}]*" if not vocabulary.crossing else ".*", re.S)
 
@@ -91,17 +92,17 @@ class Encoder:
         get, none = self.rank.get, float("inf")
         parts = list(unit)
         agenda = [get(a + b, none) for a, b in zip(parts, parts[1:])]
-        while agenda:
-            best = min(agenda)
-            if best == none:
-                break
+        last = len(agenda)
+        while last and (best := min(agenda)) != none:
             i = agenda.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            new = parts[i] + parts.pop(i + 1)
+            parts[i] = new
             del agenda[i]
+            last -= 1
             if i:
-                agenda[i - 1] = get(parts[i - 1] + parts[i], none)
-            if i < len(agenda):
-                agenda[i] = get(parts[i] + parts[i + 1], none)
+                agenda[i - 1] = get(parts[i - 1] + new, none)
+            if i < last:
+                agenda[i] = get(new + parts[i + 1], none)
         return parts
 
     def _heap(self, unit: str) -> list[str]:
@@ -127,8 +128,11 @@ class Encoder:
         return [p for p in parts if p]
 
     def unit_ids(self, unit: str) -> list[int]:
+        return self._ids_of(self.merged(unit))
+
+    def _ids_of(self, parts: list[str]) -> list[int]:
         ids, out = self.v.ids, []
-        for p in self.merged(unit):
+        for p in parts:
             i = ids.get(p)
             if i is None:
                 out += [self.v.bytes_[b] for b in p.encode("utf-8", "replace")]
@@ -153,8 +157,12 @@ class Encoder:
         return "".join(out)
 
     def _unit(self, unit: str) -> tuple[int, str, str]:
-        ids = self.unit_ids(unit)
-        got = (len(ids), ",".join(map(str, ids)), self.decode(ids))
+        names = [*map(self.names.get, parts := self.merged(unit))]
+        if None in names:
+            ids = self._ids_of(parts)
+            got = (len(ids), ",".join(map(str, ids)), self.decode(ids))
+        else:  # pieces of the vocabulary alone give back what they were made of
+            got = (len(names), ",".join(names), unit.replace(MARK, " "))
         if len(unit) <= SHORT:
             if len(self.seen) >= CACHE:
                 self.seen.clear()
