@@ -274,22 +274,30 @@ def _bounds(ix: Index, blocks: DataFrame, weights: DataFrame, keys: Sequence[str
     return narrow.groupBy(*keys, "segment", "cell").agg((F.sum(F.greatest("w", F.lit(0.0)) * _part(ix, "max_tf", "min_dl")) * (1 + 1e-9) + 10.0**-SCORE_DIGITS).alias("bound"))
 
 
-def needed_cells(ix: Index, query_terms: Sequence[str], k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(bounds of all cells, the cells scored first, the cells whose bound reaches the k-th best score in those)."""
-    weights = F.broadcast(_weights(ix, query_terms))
-    bounds = scratch.stored(_bounds(ix, _blocks(ix, query_terms), weights, []))
-    first = bounds.orderBy(F.desc("bound"), "segment", "cell").limit(max(FIRST_CELLS, k))
+def cell_bounds(ix: Index, query_terms: Sequence[str]) -> DataFrame:
+    """(segment, cell, bound) of the cells that hold a term of the query; no postings are read."""
+    return _bounds(ix, _blocks(ix, query_terms), F.broadcast(_weights(ix, query_terms)), [])
+
+
+def needed_cells(ix: Index, query_terms: Sequence[str], k: int) -> DataFrame | list[tuple[int, int]]:
+    """The cells (segment, cell) that may hold one of the k best: those whose bound reaches the k-th best score of the most promising ones. A list
+    if they are at most ``NAMED_CELLS``, else a table."""
+    bounds = cell_bounds(ix, query_terms)
+    top = bounds.orderBy(F.desc("bound"), "segment", "cell").limit(NAMED_CELLS + 1).collect()
+    first = [(r["segment"], r["cell"]) for r in top[: max(FIRST_CELLS, k)]]
     best = _in_cells(ix, query_terms, first).orderBy(F.desc("score")).limit(k).collect()
     least = best[-1]["score"] if len(best) == k else 0.0
-    return bounds, first, bounds.where(F.col("bound") >= least).join(F.broadcast(first.select("segment", "cell")), ["segment", "cell"], "left_anti")
+    if len(top) > NAMED_CELLS and top[-1]["bound"] >= least:
+        return bounds.where(F.col("bound") >= least).select("segment", "cell")
+    return [(r["segment"], r["cell"]) for r in top if r["bound"] >= least]
 
 
-def _in_cells(ix: Index, query_terms: Sequence[str], cells: DataFrame) -> DataFrame:
+def _in_cells(ix: Index, query_terms: Sequence[str], cells: DataFrame | list[tuple[int, int]]) -> DataFrame:
     blocks = _blocks(ix, query_terms)
-    named = cells.select("segment", "cell").limit(NAMED_CELLS + 1).collect()
-    if len(named) <= NAMED_CELLS:  # the scan skips what lies between them
-        blocks = blocks.where(F.col("cell").isin(*{r["cell"] for r in named}) if named else F.lit(False))
-    blocks = blocks.join(F.broadcast(cells.select("segment", "cell")) if len(named) <= NAMED_CELLS else cells.select("segment", "cell"), ["segment", "cell"], "left_semi")
+    if isinstance(cells, list):  # the scan skips what lies between them
+        blocks = blocks.where(F.col("cell").isin(*{c for _, c in cells}) if cells else F.lit(False))
+        cells = F.broadcast(ix.spark.createDataFrame(cells, "segment int, cell long"))
+    blocks = blocks.join(cells, ["segment", "cell"], "left_semi")
     return _scores(ix, blocks.join(F.broadcast(_weights(ix, query_terms)), "term"), [])
 
 
@@ -297,9 +305,7 @@ def bm25_top(ix: Index, query_terms: Sequence[str], k: int = LEXICAL_POOL) -> Da
     """(id, score) of the k best. Cells whose bound is below the k-th best score of the first ones are not scored, nor read where few are left."""
     if not query_terms:
         return _none(ix)
-    _, first, second = needed_cells(ix, query_terms, k)
-    found = _in_cells(ix, query_terms, first).unionByName(_in_cells(ix, query_terms, second))
-    return found.orderBy(F.desc("score"), "id").limit(k)
+    return _in_cells(ix, query_terms, needed_cells(ix, query_terms, k)).orderBy(F.desc("score"), "id").limit(k)
 
 
 def bm25_queries(ix: Index, queries: DataFrame, k: int = LEXICAL_POOL) -> DataFrame:

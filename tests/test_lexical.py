@@ -125,17 +125,18 @@ def test_empty_index_fills(spark, tmp_path):
     _same(lexical.sync(ix, none), {})
 
 
-def test_search_leaves_most_blocks_unread(spark):
+def test_search_leaves_most_blocks_unread(spark, monkeypatch):
     """A rare term beside one that nearly all hold: of the frequent term's blocks few are scored, with the ranks of all."""
     r = random.Random(7)
     docs = {i: " ".join(["the"] * r.choice([1, 2, 3]) + [f"x{r.randrange(900)}" for _ in range(r.choice([5, 20, 60]))] + (["rare"] if i % 997 == 0 else [])) for i in range(20_000)}
     ix = lexical.index(_table(spark, docs), "id", "text")
-    bounds, first, second = lexical.needed_cells(ix, ["the", "rare"], 5)
-    every, read = bounds.count(), first.count() + second.count()
+    every, read = lexical.cell_bounds(ix, ["the", "rare"]).count(), len(lexical.needed_cells(ix, ["the", "rare"], 5))
     assert every > 120 and read < every / 4
     want = sorted(_bm25(docs, ["the", "rare"]).items(), key=lambda x: (-x[1], x[0]))[:5]
     got = [(x["id"], x["score"]) for x in lexical.bm25_top(ix, ["the", "rare"], 5).collect()]
     assert [i for i, _ in got] == [i for i, _ in want]
+    monkeypatch.setattr(lexical, "NAMED_CELLS", 3)  # as a table
+    assert [(x["id"], x["score"]) for x in lexical.bm25_top(ix, ["the", "rare"], 5).collect()] == got
     files = ix.table("postings").where(F.col("bucket") == 0)
     assert max(x["n"] for x in files.where("term = 'the'").collect()) < 20_000 / 100
 

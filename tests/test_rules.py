@@ -132,35 +132,33 @@ def test_chunks(spark):
     assert chunks("p" * 1990 + "\n \n" + "q" * 15 + "\n\n" + "r" * 30) == ["p" * 1990, "q" * 15 + "\n\n" + "r" * 30]
 
 
-def _scalar_chunks(body):
-    """Line by line, then paragraph by paragraph."""
-    parts, lines = [], []
-    for line in body.split("\n"):
-        if re.match(r"#{1,3}\s", line) and lines and len("".join(lines).strip()) >= 50:
-            parts.append("\n".join(lines))
-            lines = []
-        lines.append(line)
-    parts += ["\n".join(lines)] if len("".join(lines).strip()) >= 20 else []
+def _plain_chunks(body):
+    """Cuts at heads whose distance from the last cut is enough, by copies of the text; then the longest packs of paragraphs, one after the other."""
+    cuts = [0]
+    for head in (m.start() for m in re.finditer(r"(?m)^#{1,3}[^\S\n]", body)):
+        if len(body[cuts[-1] : head].replace("\n", "").strip()) >= 50:
+            cuts.append(head)
+    pieces = [body[a : b - 1] for a, b in zip(cuts, [*cuts[1:], len(body) + 1])]
+    if len(pieces[-1].replace("\n", "").strip()) < 20:
+        pieces.pop()
     out = []
-    for p in parts:
-        if len(p) <= 2000:
-            out.append(p.strip())
-            continue
-        pack = None
-        for x in [*re.split(r"\n\s*\n", p), None]:
-            if pack is not None and (x is None or len(pack) + len(x) > 1800):
-                out += [pack.strip()] if len(pack.strip()) >= 20 else []
-                pack = None
-            pack = x if pack is None else f"{pack}\n\n{x}"
+    for piece in pieces:
+        left = re.split(r"\n\s*\n", piece) if len(piece) > 2000 else []
+        out += [] if left else [piece.strip()]
+        while left:
+            most = next((n for n in range(1, len(left)) if len("\n\n".join(left[:n])) + len(left[n]) > 1800), len(left))
+            pack = "\n\n".join(left[:most]).strip()
+            out += [pack] if len(pack) >= 20 else []
+            left = left[most:]
     return out
 
 
-def test_chunks_by_a_scalar_walk():
+def test_chunks_by_plain_cuts():
     r = random.Random(12)
     pieces = ["word ", "w" * 40, "\n", "\n", "\n\n", "\n \t\n", "\n# Head", "\n## ", "\n###\n", "\n#### deep", "\n#no head", " ", "\u3000", "p" * 700, "\n# Next\n"]
     for _ in range(400):
         body = "".join(r.choice(pieces) for _ in range(r.choice([0, 3, 20, 80])))
-        assert markdown.chunk_pieces(body, 2000, 1800, 50, 20) == _scalar_chunks(body)
+        assert markdown.chunk_pieces(body, 2000, 1800, 50, 20) == _plain_chunks(body)
 
 
 def test_a_text_of_very_many_sections_is_walked_once():
