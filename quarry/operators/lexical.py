@@ -18,11 +18,15 @@ or removed; null ids can't be removed; equal scores (rounded to six digits, as s
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from quarry.functions.text import words
 from quarry.sources import scratch
@@ -31,8 +35,8 @@ from quarry.sources import scratch
 K1, B, EPSILON = 1.5, 0.75, 0.25
 LEXICAL_POOL = 40
 SCORE_DIGITS = 6
-#: Documents in a cell; classes of document length; cells scored first; postings in a folder of the index and written by one task.
-CELL_DOCS, LENGTH_CLASSES, FIRST_CELLS, FOLDER_POSTINGS = 128, 16, 8, 4_000_000
+#: Documents in a cell; classes of document length; cells scored first; postings in a folder of the index, and written by one task.
+CELL_DOCS, LENGTH_CLASSES, FIRST_CELLS, FOLDER_POSTINGS, TASK_POSTINGS = 128, 16, 8, 4_000_000, 250_000
 #: Cells of one search that are named in the scan's filter; more are joined.
 NAMED_CELLS = 2_000
 
@@ -99,24 +103,33 @@ def _print(docs: DataFrame) -> Column:
     return F.coalesce(F.sum(F.xxhash64("id", "h").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, h, tokens) to (id, h, dl, terms, tfs): terms of all rows of a batch are counted at once."""
+    for b in batches:
+        lists = b.column(2)
+        dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        names = coded.dictionary
+        pairs, tfs = np.unique(np.repeat(np.arange(len(b)), dl) * max(1, len(names)) + coded.indices.to_numpy(), return_counts=True)
+        ends = pa.array(np.searchsorted(pairs, np.arange(len(b) + 1) * max(1, len(names))), pa.int32())
+        terms = pa.ListArray.from_arrays(ends, names.take(pa.array(pairs % max(1, len(names)))))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(dl, pa.int32()), terms, pa.ListArray.from_arrays(ends, pa.array(tfs, pa.int32()))], ["id", "h", "dl", "terms", "tfs"])
+
+
 def _forward(docs: DataFrame, tokenize: Callable[[Column], Column]) -> DataFrame:
-    """(id, h, dl, terms, tfs): each text tokenized once, its terms counted in the row: sorted, equal ones are runs."""
-    one = lambda **c: [F.explode(F.array(v)).alias(k) for k, v in c.items()]  # noqa: E731 - a column of its own, not an expression put into the next ones
-    rows = docs.select("id", _hash(F.col("text")).alias("h"), *one(t=F.array_sort(tokenize(F.col("text")))))
-    starts = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: (i == 1) | (F.element_at("t", i) != F.element_at("t", F.greatest(i - 1, F.lit(1)))))
-    rows = rows.select("id", "h", "t", F.size("t").alias("dl"), *one(s=F.when(F.size("t") > 0, starts).otherwise(F.array().cast("array<int>"))))
-    ends = F.concat(F.slice("s", F.lit(2), F.size("s")), F.array(F.size("t") + 1))
-    empty = F.size("s") == 0
-    return rows.select("id", "h", "dl", F.transform("s", lambda i: F.element_at("t", i)).alias("terms"), F.when(empty, F.array().cast("array<int>")).otherwise(F.zip_with("s", ends, lambda a, b: b - a)).alias("tfs"))
+    """(id, h, dl, terms, tfs): each text tokenized once, its terms counted beside it."""
+    rows = docs.select("id", _hash(F.col("text")).alias("h"), tokenize(F.col("text")).alias("t"))
+    kind = StructType([StructField("id", rows.schema["id"].dataType), *StructType.fromDDL("h long, dl int, terms array<string>, tfs array<int>").fields])
+    return rows.mapInArrow(_counted, kind)
 
 
-def _write_postings(forward: DataFrame, path: str, segment: int, buckets: int, n: int) -> None:
+def _write_postings(forward: DataFrame, path: str, segment: int, buckets: int, n: int, size: int) -> None:
     """Blocks of a segment. Cells are hashed within classes of length, so no term, however frequent, is one task's: its cells are dealt over several."""
     cuts = forward.agg(F.percentile_approx("dl", [i / LENGTH_CLASSES for i in range(1, LENGTH_CLASSES)])).first()[0] or []
     cuts = sorted(set(cuts))
     each = max(1, n // (CELL_DOCS * (len(cuts) + 1)))
     kind = sum(((F.col("dl") > c).cast("int") for c in cuts), F.lit(0))
-    salts = max(1, -(-n // FOLDER_POSTINGS))
+    salts = max(1, -(-size // (buckets * TASK_POSTINGS)))
     rows = forward.select("id", "dl", (kind.cast("long") * each + F.pmod(F.xxhash64("id"), F.lit(each))).alias("cell"), F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
     rows = rows.select("id", "dl", "cell", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"), _bucket(F.col("p.terms"), buckets).alias("bucket"), F.pmod("cell", F.lit(salts)).alias("salt"))
     lists = F.array_sort(F.collect_list(F.struct("id", "tf", "dl")))
@@ -138,7 +151,7 @@ def _store(forward: DataFrame, path: str, segment: int, buckets: int | None) ->
     """Writes postings of a forward table that is stored; (buckets, n, total, fingerprint)."""
     n, total, size, seal = forward.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0)), F.coalesce(F.sum(F.size("terms")), F.lit(0)), _print(forward)).first()
     buckets = buckets or max(1, -(-size // FOLDER_POSTINGS))
-    _write_postings(forward, path, segment, buckets, n)
+    _write_postings(forward, path, segment, buckets, n, size)
     return buckets, n, total, int(seal)
 
 
