@@ -73,7 +73,7 @@ def _vector_index(spark, d) -> vectors.Index:
 
 
 def vector_index_topk(spark, d):
-    """The same by the inverted file: codes of all lists choose ten rows for each result, vectors score them."""
+    """The same by the inverted file: codes of all lists choose ten rows for each result, vectors score them and the lists that could hold better ones."""
     ix = _vector_index(spark, d)
     return vectors.search(ix, _query_vector(spark, d), 40, probe=ix.lists, refine=10).select(F.col("id").alias("vec_id"), F.round("sim", 4).alias("sim"))
 
